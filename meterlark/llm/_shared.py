@@ -8,7 +8,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: A batch is worked off in slices of about so many bytes of text (one longer text is a slice).
 SLICE_BYTES = 4 << 20
@@ -31,6 +33,21 @@ def settled(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def carried(docs: DataFrame, carry: bool) -> list[Column]:
+    """The whole input row as one struct column, so that no name of it clashes; nothing unless asked for."""
+    return [F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("carried")] if carry else []
+
+
+def carrying(schema: str, rows: DataFrame) -> T.StructType:
+    out = T._parse_datatype_string(schema)
+    return T.StructType(out.fields + [f for f in rows.schema.fields if f.name == "carried"])
+
+
+def with_carried(columns: list[pa.Array], names: list[str], part: pa.RecordBatch) -> pa.RecordBatch:
+    more = ["carried"] if "carried" in part.schema.names else []
+    return pa.RecordBatch.from_arrays(columns + [part.column(c) for c in more], names=names + more)
+
+
 def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 

@@ -8,10 +8,12 @@ from pyspark.sql import functions as F
 
 from meterlark.llm.decontaminate import decontaminate
 from meterlark.llm.language import fit_centroids, identify_language
+from meterlark.llm.near_dedup import near_duplicates
 from meterlark.llm.packing import pack
 from meterlark.llm.pii import find_pii
 from meterlark.llm.quality import judge_quality
 from meterlark.llm.secrets import scan_secrets
+from meterlark.llm.substrings import find_repeats
 from meterlark.llm.token_counts import count_tokens
 from meterlark.llm.url_lists import filter_urls, host_of
 
@@ -30,6 +32,15 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY), limit=1024)
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_repeats(table(spark, sf_dir, "documents"), window=13)
+    return found.select("doc_id", "n_words", "n_removed", hashed(F.col("kept_text")).alias("kept_sha256"))
+
+
+def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), shingle=5, part=85, whole=100)
+
+
 def dated_entries(pages: DataFrame) -> DataFrame:
     """A deny list made from the pages' own hosts and domains: days of adding, removing and adding again follow a hash."""
     hosts = pages.select(host_of(F.col("url")).alias("domain")).where("domain is not null").distinct()
@@ -78,7 +89,7 @@ def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_assign", "n_access", "n_hex", hashed(F.col("base")).alias("base_sha256"), "spans")
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op4_url_filters, op5_decontamination, op6_personal_data, op7_quality_rules, op8_language_id, op9_packing, op10_secret_scans)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_substring_dedup, op3_near_dedup, op4_url_filters, op5_decontamination, op6_personal_data, op7_quality_rules, op8_language_id, op9_packing, op10_secret_scans)}
 
 SQL: dict[str, str] = {
     "op4_url_filters": r"""

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meterlark.llm._shared import slices, text_bytes
+from meterlark.llm._shared import carried, carrying, slices, text_bytes, with_carried
 from meterlark.llm._words import BLANK, ascii_lower
 
 #: Hashed features: trigrams of bytes (A-Z as a-z, each run of white space as one space).
@@ -127,15 +127,15 @@ def fit_centroids(labelled: DataFrame, *, per_language: int = 3, sample: int = 2
     return Centroids(languages, np.concatenate(centres).astype(np.float32), idf, reject * float(np.quantile(np.concatenate(own), 0.01)))
 
 
-def identify_language(docs: DataFrame, model: Centroids, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def identify_language(docs: DataFrame, model: Centroids, *, carry: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, lang_pred, score (cosine to the nearest centroid, 0 to 1), rejected.
 
     lang_pred is `und`, score 0 and rejected true if the text is null, has no letter, or no language was
     learned; else lang_pred is the nearest centroid's language, and rejected tells a text too far from every one.
-    Ties go to the first language by name.  Null ids stay null; repeated rows repeat; an empty table gives an empty
+    carry adds the input row as struct `carried`.  Ties go to the first language by name.  Null ids stay null; repeated rows repeat; an empty table gives an empty
     one; other columns are ignored.  Map-only; the model is a few vectors per language.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *carried(docs, carry))
 
     def work(batches):
         for part in slices(batches, "text"):
@@ -146,6 +146,6 @@ def identify_language(docs: DataFrame, model: Centroids, *, id_col: str = "doc_i
                 for i, (j, score) in enumerate(zip(best.tolist(), close.tolist(), strict=True), at):
                     if any(map(str.isalpha, texts[i] or "")):
                         langs[i], scores[i], rejected[i] = model.languages[j], score, score < model.least
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(rejected, pa.bool_())], names=["doc_id", "lang_pred", "score", "rejected"])
+            yield with_carried([part.column("doc_id"), pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(rejected, pa.bool_())], ["doc_id", "lang_pred", "score", "rejected"], part)
 
-    return rows.mapInArrow(work, "doc_id long, lang_pred string, score double, rejected boolean")
+    return rows.mapInArrow(work, carrying("doc_id long, lang_pred string, score double, rejected boolean", rows))

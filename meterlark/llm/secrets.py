@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meterlark.llm._shared import slices
+from meterlark.llm._shared import carried, carrying, slices, with_carried
 from meterlark.llm._spans import Span, free_of, listed
 
 ORDER = {"assign": 0, "access": 1, "hex": 2, "entropy": 3}
@@ -81,15 +81,16 @@ def entropy_spans(text: str) -> list[Span]:
     return out
 
 
-def scan_secrets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", redact: bool = False) -> DataFrame:
+def scan_secrets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", redact: bool = False, carry: bool = False) -> DataFrame:
     """One row per input row: doc_id, n_assign, n_access, n_hex, base (spans as text), spans (base and entropy spans).
 
     Spans count code points, end exclusive; entropy spans overlap no base span.  redact adds `redacted`: the text
-    with each span (overlaps merged) replaced by `[SECRET]`, null where the text is null.
+    with each span (overlaps merged) replaced by `[SECRET]`, null where the text is null; carry adds the input row
+  as struct `carried`.
     Null text: empty, no spans.  Null ids stay null; repeated rows repeat; an empty table gives an empty one; other
     columns are ignored.  Whole texts are scanned, in time linear in their length.  Map-only.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *carried(docs, carry))
     kinds = ("assign", "access", "hex")
 
     def work(batches):
@@ -106,9 +107,9 @@ def scan_secrets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
                 if redact:
                     masked.append(redacted(text, spans))
             columns = [part.column("doc_id"), *(pa.array(x, pa.int64()) for x in counts), pa.array(base, pa.string()), pa.array(every, pa.string())]
-            yield pa.RecordBatch.from_arrays(columns + [pa.array(masked, pa.string())] * redact, names=["doc_id", "n_assign", "n_access", "n_hex", "base", "spans"] + ["redacted"] * redact)
+            yield with_carried(columns + [pa.array(masked, pa.string())] * redact, ["doc_id", "n_assign", "n_access", "n_hex", "base", "spans"] + ["redacted"] * redact, part)
 
-    return rows.mapInArrow(work, "doc_id long, n_assign long, n_access long, n_hex long, base string, spans string" + ", redacted string" * redact)
+    return rows.mapInArrow(work, carrying("doc_id long, n_assign long, n_access long, n_hex long, base string, spans string" + ", redacted string" * redact, rows))
 
 
 def redacted(text: str | None, spans: list[Span]) -> str | None:
