@@ -6,13 +6,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from meterlark.llm._shared import carried, carrying, slices, text_bytes, with_carried
-from meterlark.llm._words import BLANK, ascii_lower
+from meterlark.llm._words import BLANK
 
-#: Hashed features: trigrams of bytes (A-Z as a-z, each run of white space as one space).
+#: Hashed features: trigrams of bytes of the text in lower case, each run of white space as one space.
 WIDTH = 4096
 #: Texts turned into vectors at once.
 BLOCK = 256
@@ -27,7 +28,7 @@ def grams(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     keep[:1] |= blank[:1]
     keep[1:] |= blank[1:] & ~blank[:-1]
     doc = np.repeat(np.arange(n), np.diff(offsets))[keep]
-    b = np.where(blank, np.uint8(32), ascii_lower(data))[keep].astype(np.uint32)
+    b = np.where(blank, np.uint8(32), data)[keep].astype(np.uint32)
     if len(b) < 3:
         return np.zeros((n, WIDTH), np.float32)
     h = ((b[:-2] << np.uint32(16) | b[1:-1] << np.uint32(8) | b[2:]) * np.uint32(0x9E3779B1)) >> np.uint32(20)
@@ -37,7 +38,7 @@ def grams(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 def blocks(part: pa.RecordBatch):
     """(first row, counts) of BLOCK texts at a time."""
-    data, offsets = text_bytes(part.column("text"))
+    data, offsets = text_bytes(pc.utf8_lower(part.column("text")))
     for at in range(0, part.num_rows, BLOCK):
         own = offsets[at : at + BLOCK + 1]
         yield at, grams(data[own[0] : own[-1]], own - own[0])
