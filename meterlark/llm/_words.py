@@ -9,6 +9,8 @@ U64 = np.uint64
 BLANK = np.zeros(256, bool)
 BLANK[[0x20, *range(0x09, 0x0E)]] = True
 _ODD = U64(0x9E3779B97F4A7C15)
+#: Bytes of words hashed at once (one longer word is hashed alone).
+HASHED_AT_ONCE = 1 << 18
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -48,11 +50,20 @@ class Words:
         if not len(self.start):
             return np.zeros(0, U64)
         size = self.end - self.start
-        at = np.cumsum(size) - size
         power = np.cumprod(np.full(int(size.max()), _ODD, U64))
-        place = np.arange(int(size.sum())) - np.repeat(at, size)
-        values = self.data[self.inside].astype(U64) + U64(1)
-        return mixed(np.add.reduceat(values * power[place], at) + size.astype(U64))
+        letters, ends = self.data[self.inside], np.cumsum(size)
+        out, a = np.empty(len(size), U64), 0
+        while a < len(size):  # a few words at a time: the numbers take far more room than the letters
+            begin = ends[a] - size[a]
+            b = max(a + 1, int(np.searchsorted(ends, begin + HASHED_AT_ONCE, side="right")))
+            own = size[a:b]
+            at = np.cumsum(own) - own
+            values = letters[begin : ends[b - 1]].astype(U64)
+            values += U64(1)
+            values *= power[np.arange(len(values)) - np.repeat(at, own)]
+            out[a:b] = np.add.reduceat(values, at) + own.astype(U64)
+            a = b
+        return mixed(out)
 
     def windows(self, hashes: np.ndarray, k: int, seed: int = 0xD6E8FEB86659FD93) -> np.ndarray:
         """Hash of the k words from each word on; meaningless where fewer than k are left in the text (see fits)."""

@@ -15,7 +15,7 @@ U64 = np.uint64
 #: Bits of a block's hash that are shipped; a chance match only costs a look at the whole window.
 BLOCK_BITS = 46
 #: Chunks of documents (and ranges of hashes) for each shuffle partition.
-PER_PARTITION = 2
+PER_PARTITION = 4
 #: A null id stands last.
 LAST = np.iinfo(np.int64).max
 
