@@ -11,17 +11,19 @@ from meterlark.llm._shared import partitions, settled, slices, text_bytes
 from meterlark.llm._words import Words, ascii_lower, mixed
 from meterlark.llm.components import components
 
-U64 = np.uint64
-TREES, DEPTH, BRANCHES, COORDINATES = 3, 3, 2, 64
-#: Members compared with each other in one node; larger nodes branch on, up to DEEPEST, then go block by block.
+U64, U32 = np.uint64, np.uint32
+#: Independent trees, branches of a node by level, and minwise values of a set (the first ones choose the paths).
+TREES, BRANCHES, COORDINATES = 6, (2, 1, 1, 1), 256
+#: Values looked at first when two sketches are compared.
+FIRST = 64
+#: Members compared with each other at once; larger nodes are compared block by block.
 NODE = 512
-DEEPEST = 6
-#: Equal sketch bytes of 64 that a pair needs: about four standard deviations below similarity 0.85.
-SKETCH_SLACK = 4.0
+#: A pair of the asked similarity has fewer equal sketch bytes than are needed with a probability below 0.0003.
+SKETCH_SLACK = 3.5
 LAST = np.iinfo(np.int64).max
 _rng = np.random.default_rng(20240607)
-_XOR = _rng.integers(0, 2**64, COORDINATES, U64)
-_MUL = _rng.integers(0, 2**63, COORDINATES, U64) * U64(2) + U64(1)
+_XOR = _rng.integers(0, 2**32, COORDINATES, np.uint32)
+_MUL = _rng.integers(0, 2**31, COORDINATES, np.uint32) * U32(2) + U32(1)
 
 
 def shingle_sets(column: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -48,19 +50,20 @@ def shingle_sets(column: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray, np.n
 
 def sketches(h: np.ndarray, edge: np.ndarray) -> np.ndarray:
     """The least value of each of COORDINATES hash functions over each set (a row per set)."""
+    h = (mixed(h) >> U64(32)).astype(U32)
     return np.stack([np.minimum.reduceat((h ^ x) * m, edge) for x, m in zip(_XOR, _MUL, strict=True)], axis=1)
 
 
 def leaves(values: np.ndarray) -> np.ndarray:
-    """Node keys at DEPTH of each set in each tree: at every node the set follows BRANCHES chosen tokens."""
+    """Node keys at the last level of each set in each tree: at every node the set follows the tokens that its branches choose."""
     out, coordinate = [], 0
     for tree in range(TREES):
         nodes = [np.full(len(values), mixed(np.array([tree + 1], U64))[0], U64)]
-        for _ in range(DEPTH):
+        for branches in BRANCHES:
             down = []
             for node in nodes:
-                for _ in range(BRANCHES):
-                    down.append(mixed(node * U64(0x9E3779B97F4A7C15) + values[:, coordinate] + U64(coordinate)))
+                for _ in range(branches):
+                    down.append(mixed(node * U64(0x9E3779B97F4A7C15) + values[:, coordinate].astype(U64) + (U64(coordinate) << U64(32))))
                     coordinate += 1
             nodes = down
         out += nodes
@@ -71,7 +74,7 @@ SKETCHED = "id long, n long, f1 long, f2 long, sketch binary, nodes array<long>"
 
 
 def sketch(rows: DataFrame, k: int) -> DataFrame:
-    """Set size, 128-bit set fingerprint, 64-byte sketch and node keys of each row."""
+    """Set size, 128-bit set fingerprint, sketch (a byte per coordinate) and node keys of each row."""
 
     def work(batches):
         for part in slices(batches, "text"):
@@ -83,7 +86,7 @@ def sketch(rows: DataFrame, k: int) -> DataFrame:
                 edge = (np.cumsum(size) - size)[has]
                 f1[has], f2[has] = np.add.reduceat(mixed(h), edge), np.add.reduceat(mixed(h ^ U64(0x5851F42D4C957F2D)), edge)
                 values = sketches(h, edge)
-                small, keys = (mixed(values) & U64(255)).astype(np.uint8), leaves(values).view(np.int64).tolist()
+                small, keys = ((values * U32(0x9E3779B1)) >> U32(24)).astype(np.uint8), leaves(values).view(np.int64).tolist()
                 for i, row, own in zip(has.tolist(), small, keys, strict=True):
                     sketched[i], nodes[i] = row.tobytes(), own
             yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(size, pa.int64()), pa.array(f1.view(np.int64)), pa.array(f2.view(np.int64)), pa.array(sketched, pa.binary()), pa.array(nodes, pa.list_(pa.int64()))], names=["id", "n", "f1", "f2", "sketch", "nodes"])
@@ -109,28 +112,39 @@ def confirmed(pairs: DataFrame, rows: DataFrame, k: int, part: int, whole: int)
     return joined.mapInArrow(work, "a long, b long").distinct()
 
 
+def needed(part: int, whole: int, coordinates: int) -> int:
+    """Equal bytes of so many that a pair of similarity part / whole has, but for chance beyond SKETCH_SLACK deviations."""
+    least = part / whole
+    return int(np.floor(coordinates * (least - SKETCH_SLACK * np.sqrt(least * (1 - least) / coordinates))))
+
+
 def compared(members: DataFrame, part: int, whole: int) -> DataFrame:
-    """Pairs of a node's members of different components whose sketches and sizes allow the similarity.
+    """Pairs of a block's members of different components whose sketches and sizes allow the similarity.
 
-    members: node, side (0: in this block, 1: only compared with it), id, comp, n, sketch.  A node's rows come one
-    after another within a partition and are compared when complete; a block has a bounded number of rows.
+    members: node, block, cross, hot, id, comp, n, sketch.  hot: of the node's largest component, whose members
+    are not compared with each other; cross: only hot and other members are compared.  A block's rows come one after another
+    within a partition and are compared when complete; a block has a bounded number of rows.
     """
-    least = part / whole
-    need = int(np.floor(COORDINATES * (least - SKETCH_SLACK * np.sqrt(least * (1 - least) / COORDINATES))))
-    columns = ["node", "block", "id", "comp", "n", "sketch"]
+    first, need = needed(part, whole, FIRST), needed(part, whole, COORDINATES)
+    columns = ["node", "block", "cross", "hot", "id", "comp", "n", "sketch"]
 
     def pairs_of(rows: dict[str, list]) -> pa.RecordBatch:
-        ids, comp, n = (np.array(rows[c], np.int64) for c in ("id", "comp", "n"))
-        seen = np.frombuffer(b"".join(rows["sketch"]), np.uint8).reshape(len(ids), COORDINATES)
+        order = np.argsort(np.array(rows["hot"], bool), kind="stable")
+        ids, comp, n = (np.array(rows[c], np.int64)[order] for c in ("id", "comp", "n"))
+        seen = np.frombuffer(b"".join(rows["sketch"]), np.uint8).reshape(len(ids), COORDINATES)[order]
+        quick = np.ascontiguousarray(seen[:, :FIRST])
+        others = len(ids) - sum(rows["hot"])
         a, b = [], []
-        for i in range(len(ids) - 1):
-            other = slice(i + 1, None)
-            near = (comp[other] != comp[i]) & (whole * np.minimum(n[other], n[i]) >= part * np.maximum(n[other], n[i]))
-            at = np.flatnonzero(near) + i + 1
-            at = at[(seen[at] == seen[i]).sum(axis=1) >= need]
-            a += [int(ids[i])] * len(at)
-            b += ids[at].tolist()
-        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b).astype(np.int64)), pa.array(np.maximum(a, b).astype(np.int64))], names=["a", "b"])
+        for i in range(others):
+            at = others if rows["cross"][0] else i + 1
+            near = (comp[at:] != comp[i]) & (whole * np.minimum(n[at:], n[i]) >= part * np.maximum(n[at:], n[i]))
+            near = np.flatnonzero(near) + at
+            near = near[(quick[near] == quick[i]).sum(axis=1) >= first]
+            near = near[(seen[near] == seen[i]).sum(axis=1) >= need]
+            a += [int(ids[i])] * len(near)
+            b += ids[near].tolist()
+        a, b = np.array(a, np.int64), np.array(b, np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
     def work(batches):
         key, rows = None, {c: [] for c in columns}
@@ -151,30 +165,31 @@ def compared(members: DataFrame, part: int, whole: int) -> DataFrame:
     return ordered.mapInArrow(work, "a long, b long").distinct()
 
 
-def blocked(members: DataFrame, sizes: DataFrame) -> DataFrame:
-    """Members by pairs of blocks of at most about NODE rows, so that each two of a node meet in one block pair."""
-    rows = members.join(sizes, "node").withColumn("_nb", F.ceil(F.col("size") / NODE).cast("long")).withColumn("_own", F.pmod(F.xxhash64("id"), F.col("_nb")))
-    pairs = F.transform(F.sequence(F.lit(0).cast("long"), F.col("_nb") - 1), lambda j: F.least(F.col("_own"), j) * F.col("_nb") + F.greatest(F.col("_own"), j))
-    return rows.withColumn("block", F.explode(pairs))
-
+def unsettled(members: DataFrame) -> DataFrame:
+    """Nodes with more than one component: node, size, top (their largest component) and its size."""
+    counts = members.groupBy("node", "comp").agg(F.count(F.lit(1)).alias("_c"))
+    nodes = counts.groupBy("node").agg(F.sum("_c").alias("size"), F.max(F.struct("_c", "comp")).alias("_t"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    return nodes.select("node", "size", F.col("_t.comp").alias("top"), F.col("_t._c").alias("top_size"))
 
-def branched(members: DataFrame, level: int) -> DataFrame:
-    """Members in BRANCHES children of their node, by sketch bytes that the node's key picks."""
-    children = []
-    for j in range(BRANCHES):
-        spot = F.pmod(F.xxhash64("node", F.lit(level * BRANCHES + j)), F.lit(COORDINATES)).cast("int") + 1
-        children.append(members.withColumn("node", F.xxhash64("node", F.lit(j), F.substring(F.hex("sketch"), 2 * spot - 1, 2))))
-    out = children[0]
-    for more in children[1:]:
-        out = out.unionByName(more)
-    return out
 
+def blocked(members: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Members of unsettled nodes by blocks: a small node is one block, a larger one is cut into blocks of about NODE members.
 
-def unsettled(members: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Members of nodes with more than one component, and those nodes' sizes."""
-    nodes = members.groupBy("node").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi"), F.count(F.lit(1)).alias("size")).where("_lo != _hi")
-    nodes = settled(nodes.select("node", "size"), "nodes")
-    return members.join(nodes, "node", "left_semi"), nodes
+    Each block of other members meets each block of hot ones, and each other one.  A node whose largest component is nearly
+    all of it sends every hot member once or a few times, however large it is.
+    """
+    rows = members.join(nodes, "node").withColumn("hot", F.col("comp") == F.col("top"))
+    long = lambda c: F.ceil(c / NODE).cast("long")
+    rows = rows.withColumn("_hots", long(F.col("top_size"))).withColumn("_others", long(F.col("size") - F.col("top_size")))
+    rows = rows.withColumn("_all", F.col("_hots") + F.col("_others")).withColumn("_own", F.pmod(F.xxhash64("id"), F.when(F.col("hot"), F.col("_hots")).otherwise(F.col("_others"))))
+    zero = F.lit(0).cast("long")
+    upto = lambda c: F.sequence(zero, F.col(c) - 1)
+    cell = lambda block, cross: F.struct(block.alias("block"), F.lit(cross).alias("cross"))
+    hot = F.transform(upto("_others"), lambda i: cell(i * F.col("_all") + F.col("_own"), True))
+    across = F.transform(upto("_hots"), lambda j: cell(F.col("_own") * F.col("_all") + j, True))
+    among = F.transform(upto("_others"), lambda k: cell(F.least(F.col("_own"), k) * F.col("_all") + F.col("_hots") + F.greatest(F.col("_own"), k), False))
+    cells = F.when(F.col("size") <= NODE, F.array(cell(zero, False))).when(F.col("hot"), hot).otherwise(F.concat(across, among))
+    return rows.withColumn("_cell", F.explode(cells)).select("node", "_cell.block", "_cell.cross", "hot", "id", "comp", "n")
 
 
 def near_duplicates(docs: DataFrame, *, shingle: int = 5, part: int = 85, whole: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -183,12 +198,12 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, part: int = 85, whole:
     Documents are sets of distinct `shingle`-word shingles; two are linked if whole * intersection >= part * union,
     confirmed on full sets.  kept: doc_id is its component's id.
 
-    Documents of one set (128-bit fingerprint) become one before anything is joined.  Each set follows two
-    minwise tokens at every node of three independent trees, three levels deep: a pair of similarity 0.85 shares no
-    node with probability below 0.00003.  (1) Each node's smallest id is compared with the node's other members, which
-    makes large groups of copies one component in linear work.  (2) Nodes that still hold several components are compared
-    exhaustively by sketch, then on full sets: those above NODE members branch on to DEEPEST levels first, and what
-    is still larger is compared by pairs of blocks.  Nothing is capped.
+    Documents of one set (128-bit fingerprint) become one before anything is joined.  Each of six independent trees
+    branches a set by two minwise tokens at its root and by one at each of three further levels: a pair of similarity
+    0.85 shares no last node with probability below 0.0002.  (1) Each node's smallest id is compared with the node's
+    other members, which makes large groups of copies one component in linear work.  (2) Nodes that still hold
+    several components are compared exhaustively by sketch, members of the largest one only with the others, in blocks where a node is
+    large; what a sketch allows is confirmed on full sets.  Nothing is capped.
 
     A document without words or with null text has n_shingles 0 and is linked with nothing.  Rows of one id are one
     document, linked by any of its texts.  Null ids count as the largest id and are returned as null, component_id likewise.
@@ -213,21 +228,10 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, part: int = 85, whole:
     links = links.union(tied)
     roots = settled(components(links), "roots")
 
-    left, big = unsettled(settled(shared.select("node", "id", "n").join(roots.withColumnRenamed("node", "id"), "id", "left").select("node", "id", "n", F.coalesce("root", "id").alias("comp")), "members"))
-    left = settled(left.join(firsts.select("id", "n", "sketch"), ["id", "n"]).select("node", "id", "n", "comp", "sketch"), "left")
-    close = []
-    for level in range(DEPTH, DEEPEST + 1):
-        last = level == DEEPEST
-        ready = big if last else big.where(f"size <= {NODE}")
-        close.append(compared(blocked(left, ready), part, whole))
-        if last or big.where(f"size > {NODE}").isEmpty():
-            break
-        left, big = unsettled(settled(branched(left.join(big.where(f"size > {NODE}"), "node", "left_semi"), level), "branched"))
-        left = settled(left, "left")
-    found = close[0]
-    for more in close[1:]:
-        found = found.union(more)
-    found = settled(found.distinct().join(stars, ["a", "b"], "left_anti"), "pairs")
+    placed = settled(shared.select("node", "id", "n").join(roots.withColumnRenamed("node", "id"), "id", "left").select("node", "id", "n", F.coalesce("root", "id").alias("comp")), "members")
+    blocks = blocked(placed, settled(unsettled(placed), "unsettled"))
+    found = compared(blocks.join(firsts.select("id", "n", "sketch"), ["id", "n"]), part, whole)
+    found = settled(found.join(stars, ["a", "b"], "left_anti"), "pairs")
     if not found.isEmpty():
         roots = settled(components(links.union(confirmed(found, rows, shingle, part, whole))), "roots")
 
