@@ -278,3 +278,6 @@ def rollup_repriced(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = usage(spark, sf_dir)
     out = rollup.repriced(rows, rollup.built(rows), T.rates(spark), ODD.start, ODD.end)
     return out.select("model_key", "tier", F.col("inp").alias("input"), F.col("outp").alias("output"), F.col("cr").alias("cache_read"), F.col("cc").alias("cache_write"), "records", F.round(F.col("nanos").cast("double") / F.lit(1e9), 2).alias("cost"))
+
+
+from meterlark import catalog_limits  # noqa: E402, F401  registers its queries

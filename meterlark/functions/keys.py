@@ -7,6 +7,7 @@ import hashlib
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 #: Fixed value: what stands between the parts.
 SEPARATOR = "\x1f"
@@ -17,7 +18,7 @@ def ledger_key_of(material: str) -> int:
     return int.from_bytes(hashlib.blake2b(material.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(LongType())
 def _keys(material: pd.Series) -> pd.Series:
     return material.map(lambda x: None if x is None else ledger_key_of(x)).astype("Int64")
 

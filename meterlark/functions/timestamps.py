@@ -8,6 +8,7 @@ from datetime import UTC, datetime, timedelta
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 USUAL = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(\.\d{1,6})?(Z|[+-]\d{2}:\d{2})$"
 _MIDNIGHT = re.compile(r"^(.*?[T ])24:00(:00(?:[.,]0+)?)?(.*)$")
@@ -31,7 +32,7 @@ def timestamp_of(text: str | None) -> int | None:
     return whole + (rest > 500 or (rest == 500 and whole % 2))
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(LongType())
 def _unusual(text: pd.Series) -> pd.Series:
     return text.map(timestamp_of).astype("Int64")
 

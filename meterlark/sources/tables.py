@@ -107,9 +107,9 @@ def rates_sql() -> str:
   {rows})"""
 
 
-def priced_sql() -> str:
+def priced_sql(usage_sql: str = USAGE_SQL) -> str:
     """usage, rates and priced (one row per usage row) as common table expressions."""
-    return USAGE_SQL + ", " + rates_sql() + """,
+    return usage_sql + ", " + rates_sql() + """,
 keyed as (select *, regexp_replace(regexp_replace(regexp_replace(replace(lower(model), '[1m]', ''), '^anthropic/', ''), '-[0-9]{4}-[0-9]{2}-[0-9]{2}$', ''), '-[0-9]{6,8}$', '') as mkey from usage),
 joined as (select k.*, r.*, coalesce(inp + cr + case when lc_counts_cw then cc else 0 end > lc_threshold, false) as is_long
            from keyed k left join rates r on k.mkey = r.model_key and least(k.tier, 1) = r.rtier and k.ts >= r.from_ms and k.ts < r.to_ms),
@@ -134,3 +134,51 @@ MEASURES_SQL = """coalesce(sum(inp), 0)::bigint as input, coalesce(sum(outp), 0)
   case when sum(case when price_status = 'unpriced' then tokens end) > 0 then 'unpriced'
        when sum(case when price_status = 'unpriced-tier' then tokens end) >= sum(tokens) and sum(tokens) > 0 then 'unpriced-tier'
        when sum(case when price_status = 'unpriced-tier' then tokens end) > 0 then 'partial' else 'priced' end as status"""
+
+
+# --- captures of limits, and usage of the same days --------------------------------------------------------------------
+
+
+def usage_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as usage rows of the nine accounts."""
+    e = F.col("event_id")
+    return table(spark, sf_dir, "events").select(
+        e.alias("key"), (F.col("user_id") % N_ACCOUNTS).cast("int").alias("acct"), F.unix_millis(F.col("ts").cast("timestamp")).alias("ts"), F.concat(F.lit("model-"), e % 3 + 1, e % 4 + 2).alias("model"),
+        (e * 7919 % 50000).alias("inp"), (e * 104729 % 3000).alias("outp"), (e * 31 % 90000).alias("cr"), F.lit(0).cast("long").alias("cc"), F.lit(None).cast("long").alias("e5"), F.lit(None).cast("long").alias("e1"), F.lit(0).alias("tier"),
+    )
+
+
+USAGE_EVENTS_SQL = """usage as (
+  select event_id as key, (user_id % 9)::int as acct, epoch_us(ts) // 1000 as ts, 'model-' || (event_id % 3 + 1) || (event_id % 4 + 2) as model, event_id * 7919 % 50000 as inp, event_id * 104729 % 3000 as outp, event_id * 31 % 90000 as cr, 0::bigint as cc, null::bigint as e5, null::bigint as e1, 0 as tier from events)"""
+
+#: (provider's remainder, kind, label, stated minutes, used percent, length in ms) of the windows made from events.
+WINDOW_RULES = (
+    (0, "five_hour", None, None, "event_id * 37 % 130", 18_000_000), (0, "weekly_all", "WEEKLY", None, "event_id * 13 % 112", 604_800_000), (0, "weekly_scoped", "MODEL-11 WEEKLY", None, "event_id * 7 % 95", 604_800_000),
+    (1, "codex_primary", None, 300, "event_id * 41 % 125", 18_000_000), (1, "codex_secondary", None, 10_080, "event_id * 17 % 108", 604_800_000), (1, "sol_primary", "GPT SOL 5-HOUR", 300, "event_id * 11 % 105", 18_000_000),
+)
+
+
+def captures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as limit captures, three windows each; resets jitter as providers' do."""
+    rows = table(spark, sf_dir, "events").withColumn("_a", F.col("user_id") % N_ACCOUNTS).withColumn("_at", F.unix_millis(F.col("ts").cast("timestamp")))
+
+    def limits(side: int):
+        parts = []
+        for own, kind, label, minutes, used, length in WINDOW_RULES:
+            if own == side:
+                resets = (F.floor(F.col("_at") / length) + 1) * length + F.col("event_id") % 3 * 200
+                parts += [F.lit(kind), F.struct(F.lit(label).cast("string").alias("label"), F.expr(used).cast("double").alias("used_percentage"), (resets / 1000).alias("resets_at"), F.lit(minutes).cast("double").alias("window_minutes"))]
+        return F.create_map(*parts)
+
+    side = F.col("_a") % 2
+    return rows.select(F.concat(F.lit("identity-"), "_a").alias("identity"), F.when(side == 0, PROVIDERS[0]).otherwise(PROVIDERS[1]).alias("provider"), (F.col("_at") / 1000).alias("captured_at"), F.lit("api").alias("via"), F.when(side == 0, limits(0)).otherwise(limits(1)).alias("rate_limits"), F.col("event_id").alias("seq"))
+
+
+def windows_sql() -> str:
+    """windows: what operators.windows.windows makes of captures."""
+    shown = {"five_hour": ("5-HOUR", None), "weekly_all": ("WEEKLY", None), "weekly_scoped": ("MODEL-11 WEEKLY", "MODEL-11"), "codex_primary": ("5-HOUR", None), "codex_secondary": ("WEEKLY", None), "sol_primary": ("GPT SOL 5-HOUR", "GPT SOL")}
+    parts = []
+    for own, kind, _, _, used, length in WINDOW_RULES:
+        label, scope = shown[kind]
+        parts.append(f"select event_id as seq, 'identity-' || (user_id % 9) as identity, '{PROVIDERS[own]}' as provider, epoch_us(ts) // 1000 as at_ms, '{kind}' as kind, '{label}' as label, ({used})::double / 100 as utilization, (epoch_us(ts) // 1000 // {length} + 1) * {length} + event_id % 3 * 200 as resets_at, {length // 60_000}::double as minutes, {_literal(scope)}::varchar as scope from events where user_id % 9 % 2 = {own}")
+    return "windows as (" + " union all ".join(parts) + ")"
