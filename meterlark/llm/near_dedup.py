@@ -13,7 +13,7 @@ from meterlark.llm.components import components
 
 U64, U32 = np.uint64, np.uint32
 #: Independent trees, branches of a node by level, and minwise values of a set (the first ones choose the paths).
-TREES, BRANCHES, COORDINATES = 6, (2, 1, 1, 1), 256
+TREES, BRANCHES, COORDINATES = 6, (2, 1, 1, 1), 512
 #: Values looked at first when two sketches are compared.
 FIRST = 64
 #: Members compared with each other at once; larger nodes are compared block by block.
@@ -121,19 +121,20 @@ def needed(part: int, whole: int, coordinates: int) -> int:
 def compared(members: DataFrame, part: int, whole: int) -> DataFrame:
     """Pairs of a block's members of different components whose sketches and sizes allow the similarity.
 
-    members: node, block, cross, hot, id, comp, n, sketch.  hot: of the node's largest component, whose members
+    members: node, leaf, block, cross, hot, id, comp, n, sketch, nodes.  A pair that meets in several nodes comes from
+    the first of them (leaf: the node's place among its members' nodes).  hot: of the node's largest component, whose members
     are not compared with each other; cross: only hot and other members are compared.  A block's rows come one after another
     within a partition and are compared when complete; a block has a bounded number of rows.
     """
     first, need = needed(part, whole, FIRST), needed(part, whole, COORDINATES)
-    columns = ["node", "block", "cross", "hot", "id", "comp", "n", "sketch"]
+    columns = ["node", "leaf", "block", "cross", "hot", "id", "comp", "n", "sketch", "nodes"]
 
     def pairs_of(rows: dict[str, list]) -> pa.RecordBatch:
         order = np.argsort(np.array(rows["hot"], bool), kind="stable")
         ids, comp, n = (np.array(rows[c], np.int64)[order] for c in ("id", "comp", "n"))
         seen = np.frombuffer(b"".join(rows["sketch"]), np.uint8).reshape(len(ids), COORDINATES)[order]
         quick = np.ascontiguousarray(seen[:, :FIRST])
-        others = len(ids) - sum(rows["hot"])
+        others, before = len(ids) - sum(rows["hot"]), np.array(rows["nodes"], np.int64)[order][:, : rows["leaf"][0]]
         a, b = [], []
         for i in range(others):
             at = others if rows["cross"][0] else i + 1
@@ -141,6 +142,7 @@ def compared(members: DataFrame, part: int, whole: int) -> DataFrame:
             near = np.flatnonzero(near) + at
             near = near[(quick[near] == quick[i]).sum(axis=1) >= first]
             near = near[(seen[near] == seen[i]).sum(axis=1) >= need]
+            near = near[~(before[near] == before[i]).any(axis=1)]
             a += [int(ids[i])] * len(near)
             b += ids[near].tolist()
         a, b = np.array(a, np.int64), np.array(b, np.int64)
@@ -162,7 +164,7 @@ def compared(members: DataFrame, part: int, whole: int) -> DataFrame:
 
     spark = members.sparkSession
     ordered = members.select(*columns).repartition(partitions(spark), "node", "block").sortWithinPartitions("node", "block")
-    return ordered.mapInArrow(work, "a long, b long").distinct()
+    return ordered.mapInArrow(work, "a long, b long")
 
 
 def unsettled(members: DataFrame) -> DataFrame:
@@ -189,7 +191,7 @@ def blocked(members: DataFrame, nodes: DataFrame) -> DataFrame:
     across = F.transform(upto("_hots"), lambda j: cell(F.col("_own") * F.col("_all") + j, True))
     among = F.transform(upto("_others"), lambda k: cell(F.least(F.col("_own"), k) * F.col("_all") + F.col("_hots") + F.greatest(F.col("_own"), k), False))
     cells = F.when(F.col("size") <= NODE, F.array(cell(zero, False))).when(F.col("hot"), hot).otherwise(F.concat(across, among))
-    return rows.withColumn("_cell", F.explode(cells)).select("node", "_cell.block", "_cell.cross", "hot", "id", "comp", "n")
+    return rows.withColumn("_cell", F.explode(cells)).select("node", "leaf", "_cell.block", "_cell.cross", "hot", "id", "comp", "n")
 
 
 def near_duplicates(docs: DataFrame, *, shingle: int = 5, part: int = 85, whole: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -214,7 +216,7 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, part: int = 85, whole:
     sets = settled(every.where("n > 0").groupBy("f1", "f2", "n").agg(F.min("id").alias("rep")), "sets")
     firsts = every.where("n > 0").join(sets.select("f1", "f2", "n", F.col("rep").alias("id")), ["f1", "f2", "n", "id"], "left_semi").dropDuplicates(["f1", "f2", "n", "id"])
     firsts = settled(firsts.select("id", "n", "sketch", "nodes"), "firsts")
-    members = firsts.select("id", "n", F.explode("nodes").alias("node"))
+    members = firsts.select("id", "n", F.posexplode("nodes").alias("leaf", "node"))
     nodes = settled(members.groupBy("node").agg(F.min("id").alias("pivot"), F.count(F.lit(1)).alias("size")).where("size > 1"), "nodes")
     shared = members.join(nodes, "node")
     stars = shared.where("id != pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
@@ -228,9 +230,9 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, part: int = 85, whole:
     links = links.union(tied)
     roots = settled(components(links), "roots")
 
-    placed = settled(shared.select("node", "id", "n").join(roots.withColumnRenamed("node", "id"), "id", "left").select("node", "id", "n", F.coalesce("root", "id").alias("comp")), "members")
+    placed = settled(shared.select("node", "leaf", "id", "n").join(roots.withColumnRenamed("node", "id"), "id", "left").select("node", "leaf", "id", "n", F.coalesce("root", "id").alias("comp")), "members")
     blocks = blocked(placed, settled(unsettled(placed), "unsettled"))
-    found = compared(blocks.join(firsts.select("id", "n", "sketch"), ["id", "n"]), part, whole)
+    found = compared(blocks.join(firsts.select("id", "n", "sketch", "nodes"), ["id", "n"]), part, whole)
     found = settled(found.join(stars, ["a", "b"], "left_anti"), "pairs")
     if not found.isEmpty():
         roots = settled(components(links.union(confirmed(found, rows, shingle, part, whole))), "roots")
