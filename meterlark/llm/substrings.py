@@ -14,8 +14,9 @@ from meterlark.llm._words import Words, spans_of
 U64 = np.uint64
 #: Bits of a block's hash that are shipped; a chance match only costs a look at the whole window.
 BLOCK_BITS = 46
-#: Chunks of documents (and ranges of hashes) for each shuffle partition.
-PER_PARTITION = 4
+#: Chunks of documents for each shuffle partition, and shuffle partitions for each range of hashes: a chunk sends one message
+#: to each range, so that messages are as many as the partitions squared, as blocks of a shuffle are.
+PER_PARTITION, PER_RANGE = 4, 4
 #: A null id stands last.
 LAST = np.iinfo(np.int64).max
 
@@ -111,14 +112,14 @@ def find_repeats(docs: DataFrame, *, window: int = 13, id_col: str = "doc_id", t
     (they don't remove from each other) and are each returned.  Empty table: no rows.  Other columns are ignored.
     """
     spark = docs.sparkSession
-    chunks = PER_PARTITION * partitions(spark)
+    chunks, ranges = PER_PARTITION * partitions(spark), max(1, partitions(spark) // PER_RANGE)
     keyed = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     keyed = keyed.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).cast("int"))
     parts = keyed.groupBy("chunk")
 
     def send_blocks(key, table):
         keys, many, anchor, _ = Chunk(table, window).blocks()
-        at, rows = cuts(keys, chunks, BLOCK_BITS), []
+        at, rows = cuts(keys, ranges, BLOCK_BITS), []
         for b in np.flatnonzero(np.diff(at)):
             own = slice(at[b], at[b + 1])
             rows.append((int(b), key[0].as_py(), int(at[b + 1] - at[b]), packed(keys[own]), bits(many[own]), bits(anchor[own])))
@@ -150,7 +151,7 @@ def find_repeats(docs: DataFrame, *, window: int = 13, id_col: str = "doc_id", t
         chunk = Chunk(docs_, window)
         keys, _, _, index = chunk.blocks()
         found, second, least, _ = chunk.keyed(chunk.shared(*_answers(_rows(answers, 0), len(keys)), index))
-        at, rows = cuts(found, chunks, 64), []
+        at, rows = cuts(found, ranges, 64), []
         for b in np.flatnonzero(np.diff(at)):
             own = slice(at[b], at[b + 1])
             rows.append((int(b), key[0].as_py(), int(at[b + 1] - at[b]), packed(found[own]), second[own].astype("<u4").tobytes(), planes(least[own].view(U64))))
