@@ -29,14 +29,14 @@ ALLOWED = [
 #: (class, characters, least entropy in bits of a full window): per character class.
 CLASSES = [("hex", frozenset("0123456789abcdefABCDEF"), 2.6), ("base64", frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"), 3.5)]
 WINDOW = 20
-_LOG = [0.0] + [n * math.log2(n) for n in range(1, WINDOW + 1)]
+_LOG = [0.0] + [n * math.log2(n) for n in range(1, WINDOW + 2)]  # the next character comes before the oldest goes
 
 
 def high_entropy(text: str, least: float, window: int = WINDOW) -> list[tuple[int, int]]:
     """Runs covered by windows of at least that entropy; counts are kept up as the window moves on."""
     counts: dict[str, int] = {}
     total, runs = 0.0, []  # total: sum of n log n over the characters in the window
-    log = _LOG if window == WINDOW else [0.0] + [n * math.log2(n) for n in range(1, window + 1)]
+    log = _LOG if window == WINDOW else [0.0] + [n * math.log2(n) for n in range(1, window + 2)]
     for i, c in enumerate(text):
         n = counts.get(c, 0)
         counts[c] = n + 1
@@ -86,7 +86,7 @@ def scan_secrets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
 
     Spans count code points, end exclusive; entropy spans overlap no base span.  redact adds `redacted`: the text
     with each span (overlaps merged) replaced by `[SECRET]`, null where the text is null; carry adds the input row
-  as struct `carried`.
+    as struct `carried`.
     Null text: empty, no spans.  Null ids stay null; repeated rows repeat; an empty table gives an empty one; other
     columns are ignored.  Whole texts are scanned, in time linear in their length.  Map-only.
     """
