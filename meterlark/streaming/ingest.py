@@ -43,23 +43,41 @@ def changed(before: DataFrame, after: DataFrame) -> DataFrame:
     return after.join(keys, "key", "left_semi").groupBy("acct").agg(F.min("ts").alias("lo"), F.max("ts").alias("hi"), F.count(F.lit(1)).alias("n"))
 
 
-def refresh_rollup(usage: DataFrame, touched: DataFrame, path: str) -> None:
-    """Rebuild the rollup's days that a pass touched (touched: lo, hi in ms), one partition per day; other days stay as they are."""
-    days = touched.select(F.explode(F.sequence(F.floor(F.col("lo") / DAY_MS).cast("long"), F.floor(F.col("hi") / DAY_MS).cast("long"))).alias("day")).distinct()
-    rows = usage.withColumn("day", F.floor(F.col("ts") / DAY_MS).cast("long")).join(F.broadcast(days), "day", "left_semi").drop("day")
-    out = rollup.built(rows).withColumn("day", F.floor(F.col("hour") * HOUR_MS / DAY_MS).cast("long"))
+def related(log: DataFrame, part: DataFrame, provider: str) -> DataFrame:
+    """The log's lines that decide the rows of part: those of its keys; of a rollout, its session's and its parent's."""
+    if provider == "a":
+        return log.join(part.where("key is not null").select("key").distinct(), "key", "left_semi")
+    sessions = part.select("sid").union(part.where("parent is not null").select("parent")).distinct()
+    return log.join(sessions, "sid", "left_semi")
+
+
+def day_of(ts: str):
+    return F.floor(F.col(ts) / DAY_MS).cast("long").alias("day")
+
+
+def refresh_rollup(usage: DataFrame, days: list[int], path: str) -> None:
+    """Overwrite the rollup's partitions of these days from their rows; other days stay as they are."""
+    out = rollup.built(usage.where(day_of("ts").isin(days))).withColumn("day", F.floor(F.col("hour") * HOUR_MS / DAY_MS).cast("long"))
     out.repartition("day").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(path)
 
 
 def on_batch(log_path: str, accounts: DataFrame, provider: str, rollup_path: str):
-    """For foreachBatch over parsed rows: append to the log, then rebuild the days whose rows changed.  A batch run twice leaves the same tables."""
+    """For foreachBatch over parsed rows: append to the log, then rebuild the rollup's days whose rows the batch touches.
+
+    A batch run twice leaves the same tables: it overwrites its own part of the log and whole days of the rollup.  The log is
+    partitioned by day, so a batch reads the days it touches; lines of the same keys on other days are found by a semi-join
+    that bloom filters on the key keep small.
+    """
 
     def work(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         rows = batch.withColumn("day", F.floor(F.coalesce("ts", F.lit(0)) / DAY_MS).cast("long"))
-        rows.withColumn("batch", F.lit(number)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(log_path)
-        fresh = rows.where("ts is not null").agg(F.min("ts").alias("lo"), F.max("ts").alias("hi")).where("lo is not null")
-        if not fresh.isEmpty():
-            refresh_rollup(usage_of(spark.read.parquet(log_path).drop("batch"), accounts, provider), fresh, rollup_path)
+        spread = rows.withColumn("batch", F.lit(number)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        (spread.option("parquet.bloom.filter.enabled#key", "true") if provider == "a" else spread).partitionBy("day", "batch").parquet(log_path)
+        log = spark.read.schema(rows.withColumn("batch", F.lit(0)).schema).parquet(log_path).drop("batch")
+        touched = usage_of(related(log, rows, provider), accounts, provider)
+        days = [r["day"] for r in touched.select(day_of("ts")).distinct().collect()]  # a few numbers
+        if days:
+            refresh_rollup(usage_of(related(log, log.where(F.col("day").isin(days)), provider), accounts, provider), days, rollup_path)
 
     return work
