@@ -10,6 +10,7 @@ from meterlark.operators import account_groups, alerts, limit_events, pricing
 from meterlark.operators import windows as W
 from meterlark.plans import forecasts
 from meterlark.sources import tables as T
+from meterlark.sources.local import local_table
 
 #: 2024-01-20 12:00 UTC, inside the events.
 AT = 1_705_752_000_000
@@ -41,7 +42,7 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def members(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(f"identity-{i}", i, g) for i, g in GROUPS], "identity string, acct int, group string")
+    return local_table(spark, [(f"identity-{i}", i, g) for i, g in GROUPS], "identity string, acct int, group string")
 
 
 @query(f"{WINDOWS} select identity, provider, at_ms, kind, label, utilization, resets_at, minutes, scope from windows")
@@ -130,7 +131,7 @@ forecast as (select *, case when k > 0 and pace > 0 then case when now_u >= 1 th
 
 def forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
     usage = pricing.priced(T.usage_events(spark, sf_dir), T.rates(spark))
-    own = spark.createDataFrame([(f"identity-{i}", i) for i in range(T.N_ACCOUNTS)], "identity string, acct int")
+    own = local_table(spark, [(f"identity-{i}", i) for i in range(T.N_ACCOUNTS)], "identity string, acct int")
     return forecasts.forecast(current(spark, sf_dir), own, usage, AT, extra=True)
 
 
@@ -167,7 +168,7 @@ ALERTS = [(i, [f"identity-{i}"] + ([f"identity-{i + 2}"] if i < 4 else []), ("an
 
 
 def alert_rows(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(ALERTS, "alert_id int, members array<string>, window string, threshold int, note string, label string")
+    return local_table(spark, ALERTS, "alert_id int, members array<string>, window string, threshold int, note string, label string")
 
 
 ALERTS_SQL = "alerts as (select * from (values " + ", ".join(f"({a}, {m!r}, '{w}', {t})" for a, m, w, t, _, _ in ALERTS) + ") t(alert_id, members, win, threshold))"

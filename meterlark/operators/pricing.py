@@ -7,20 +7,18 @@ from pyspark.sql import functions as F
 
 from meterlark.functions.cost import is_long, nanos, row_cost, tokens, usd
 from meterlark.functions.models import normalize_model
-
-#: Rate rows that may be broadcast; a larger dimension is joined by shuffle.
-BROADCAST_RATES = 200_000
+from meterlark.sources.local import is_small
 
 
 def priced(usage: DataFrame, rates: DataFrame) -> DataFrame:
     """Each row with model_key, price status (`priced`, `unpriced`, `unpriced-tier`), cost in nanos and is_estimated.
 
-    One equi-join on model and tier with the interval as residual; the dimension has a few rows per model.
+    One equi-join on model and tier with the interval as residual; the dimension has a few rows per model and is broadcast
+    where its size is known to be small.
     """
-    small = rates.limit(BROADCAST_RATES + 1).count() <= BROADCAST_RATES
     rows = usage.withColumn("model_key", normalize_model(F.col("model"))).withColumn("tier", F.least(F.col("tier"), F.lit(1)))
     dim = rates.withColumnRenamed("model_key", "_key").withColumnRenamed("tier", "_tier")
-    joined = rows.join(F.broadcast(dim) if small else dim, (F.col("model_key") == F.col("_key")) & (F.col("tier") == F.col("_tier")) & (F.col("ts") >= F.col("from_ms")) & (F.col("ts") < F.col("to_ms")), "left")
+    joined = rows.join(F.broadcast(dim) if is_small(rates) else dim, (F.col("model_key") == F.col("_key")) & (F.col("tier") == F.col("_tier")) & (F.col("ts") >= F.col("from_ms")) & (F.col("ts") < F.col("to_ms")), "left")
     joined = joined.withColumn("is_long", is_long())
     status = F.when(F.col("status").isNull(), "unpriced").when((F.col("status") == "priced") & F.col("is_long") & F.col("lc_unpriced"), "unpriced-tier").otherwise(F.col("status"))
     joined = joined.withColumn("price_status", status)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from meterlark.schema import HOUR_MS
+from meterlark.sources.local import is_small
 
 KEYS = ("hour", "acct", "model", "tier")
 SUMS = ("inp", "outp", "cr", "cc", "e5", "e1", "ccx", "n")
@@ -57,7 +58,7 @@ def repriced(usage: DataFrame, rollup: DataFrame, rates: DataFrame, lo_ms: int,
     first, last = -(-lo_ms // HOUR_MS), hi_ms // HOUR_MS
     buckets = rollup.where((F.col("hour") >= first) & (F.col("hour") < last))
     limits = rates.groupBy("model_key").agg(F.min("lc_threshold").alias("_limit"), F.collect_set("from_ms").alias("_starts"))
-    keyed = buckets.withColumn("_key", normalize_model(F.col("model"))).join(F.broadcast(limits), F.col("_key") == F.col("model_key"), "left").drop("model_key")
+    keyed = buckets.withColumn("_key", normalize_model(F.col("model"))).join(F.broadcast(limits) if is_small(rates) else limits, F.col("_key") == F.col("model_key"), "left").drop("model_key")
     begin = F.col("hour") * HOUR_MS
     cut = F.exists(F.coalesce("_starts", F.array().cast("array<bigint>")), lambda t: (t > begin) & (t < begin + HOUR_MS))
     by_rows = F.coalesce(F.col("inp") + F.col("cr") + F.col("cc") > F.col("_limit"), F.lit(False)) | cut

@@ -44,7 +44,7 @@ def categories(differences: DataFrame) -> DataFrame:
 
 def health(usage: DataFrame, accounts: DataFrame, stored_rollup: DataFrame) -> DataFrame:
     """One row per provider: accounts, rows, models, rows without a known model, rows whose account is unknown; and the rollup's drift."""
-    rows = usage.join(F.broadcast(accounts.select(F.col("id").alias("acct"), "provider")), "acct", "left")
+    rows = usage.join(accounts.select(F.col("id").alias("acct"), "provider"), "acct", "left")
     by = rows.groupBy(F.coalesce("provider", F.lit("unknown")).alias("provider")).agg(F.count(F.lit(1)).alias("rows"), F.countDistinct("acct").alias("accounts"), F.countDistinct("model").alias("models"), F.count_if(F.col("model") == PLACEHOLDER).alias("unattributed"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
     off = rollup.drift(stored_rollup, usage).agg(F.count(F.lit(1)).alias("drifted"))
     return by.join(F.broadcast(off), F.lit(True)).orderBy("provider")

@@ -20,8 +20,6 @@ MARGIN_S = 30
 STALE_MS = 10 * 60_000
 EPSILON = 1e-9
 WARNING = 0.8
-#: Windows that may be broadcast to the usage rows; more are joined by shuffle.
-BROADCAST_WINDOWS = 100_000
 
 
 def _dollars(nanos: Column) -> Column:
@@ -48,8 +46,6 @@ def forecast(windows: DataFrame, members: DataFrame, usage: DataFrame, now: int,
     rows = rows.withColumn("_start", (F.col("resets_at") + (passed - 1) * F.col("_len")).cast("long"))
     rows = rows.withColumn("_weekly", F.coalesce((F.col("_len") >= WEEK_MS) & (F.lit(now) - F.col("_start") >= LEAST_AVERAGE_MS), F.lit(False)))
     asked = rows.join(members, "identity").select(F.col("identity").alias("_i"), F.col("kind").alias("_k"), F.col("acct").alias("_acct"), F.col("at").alias("_at"), "_begin", "_start")
-    if asked.limit(BROADCAST_WINDOWS + 1).count() <= BROADCAST_WINDOWS:
-        asked = F.broadcast(asked)
     ts = F.col("ts")
     recent = (ts >= now - PACE_MINUTES * 60_000) & (ts < now + 1)
     inside = {"captured": (ts >= F.col("_begin")) & (ts < F.col("_at")), "since": (ts >= F.col("_at")) & (ts < now + 1), "recent": recent, "average": (ts >= F.col("_start")) & (ts < now + 1)}

@@ -8,6 +8,8 @@ from zoneinfo import ZoneInfo, available_timezones
 
 from pyspark.sql import DataFrame, SparkSession
 
+from meterlark.sources.local import local_table
+
 HOUR = 3_600_000
 #: Rolling periods, by name, in milliseconds.
 ROLLING = {"1h": HOUR, "5h": 5 * HOUR, "24h": 24 * HOUR}
@@ -141,4 +143,4 @@ def activity_range(kind: str, now: int) -> tuple[Range, int]:
 def spine(spark: SparkSession, slots: list[Range], days: list[date] | None = None) -> DataFrame:
     """The slots of a series as a table: slot, day, lo, hi."""
     rows = [(i, days[i] if days else None, s.start, s.end) for i, s in enumerate(slots)]
-    return spark.createDataFrame(rows, "slot int, day date, lo long, hi long")
+    return local_table(spark, rows, "slot int, day date, lo long, hi long")

@@ -11,6 +11,7 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 
 from meterlark.functions.models import ALIASES, PREFIXES
+from meterlark.sources.local import local_table
 
 FOREVER = 2**53
 RATES = ("input", "output", "cache_read", "cache_write")
@@ -158,7 +159,7 @@ class RateTable:
         return out
 
     def dimension(self, spark: SparkSession) -> DataFrame:
-        return spark.createDataFrame(self.rows(), DIMENSION)
+        return local_table(spark, self.rows(), DIMENSION)
 
     def boundaries(self) -> list[int]:
         """Every instant at which some price changes, ascending."""

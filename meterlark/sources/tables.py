@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from meterlark.sources.local import local_table
 from meterlark.sources.rates import RateTable, periods_of
 
 PROVIDERS = ("claude", "codex")
@@ -58,7 +59,7 @@ usage as (select key, f.acct as acct, f.ts as ts, f.model as model, inp, outp, c
 
 
 def accounts(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(i, PROVIDERS[i % 2], f"identity-{i}", f"Account {i}") for i in range(N_ACCOUNTS)], "id int, provider string, identity string, label string")
+    return local_table(spark, [(i, PROVIDERS[i % 2], f"identity-{i}", f"Account {i}") for i in range(N_ACCOUNTS)], "id int, provider string, identity string, label string")
 
 
 ACCOUNTS_SQL = "accounts as (select i::int as id, case i % 2 when 0 then 'claude' else 'codex' end as provider, 'identity-' || i as identity, 'Account ' || i as label from range(9) t(i))"
