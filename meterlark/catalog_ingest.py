@@ -46,7 +46,7 @@ def json_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return transcripts.parse(transcript_lines(spark, sf_dir)).drop("key")
 
 
-@query(f"with {NUMBERED} select path, count(*) as lines, count(*) filter (event_id % 10 <> 9 and event_id % 16 <> 5) as candidates, 0::bigint as malformed, count(*) filter (event_id % 10 <> 9 and event_id % 8 <> 7 and event_id % 16 <> 5) as usage_lines, 0::bigint as unkeyed from numbered group by path")
+@query(f"with {NUMBERED} select path, count(*) as lines, count(*) filter (event_id % 16 <> 5) as candidates, 0::bigint as malformed, count(*) filter (event_id % 10 <> 9 and event_id % 8 <> 7 and event_id % 16 <> 5) as usage_lines, 0::bigint as unkeyed from numbered group by path")
 def ingest_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return transcripts.stats(transcript_lines(spark, sf_dir))
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from meterlark.functions.keys import SEPARATOR, ledger_key
 from meterlark.functions.models import PLACEHOLDER
 from meterlark.functions.timestamps import timestamp_ms
-from meterlark.sources.transcripts import is_object, text, whole_number
+from meterlark.sources.transcripts import as_told, is_object, kind_of, text, whole_number
 
 #: Service tiers that are fast; the longest pause within a replayed burst; fork times at or below are seconds.
 FAST_TIERS = ("fast", "priority")
@@ -40,6 +40,12 @@ def _triple(v: Column, path: str) -> Column:
     return F.when(is_object(v, path), F.array(*(_counter(v, f"{path}.{c}") for c in TRIPLE)))
 
 
+def _told(v: Column, path: str) -> Column:
+    """The counts as key material, comma-joined: truth values by name, what isn't a whole number of at least 0 as 0; '' without counts."""
+    one = lambda p: F.when(kind_of(v, p) == "BOOLEAN", as_told(v, p)).otherwise(_counter(v, p).cast("string"))
+    return F.when(is_object(v, path), F.concat_ws(",", *(one(f"{path}.{c}") for c in TRIPLE))).otherwise("")
+
+
 def parse(lines: DataFrame) -> DataFrame:
     """Marked lines and first lines, with what each carries: model, tier, token counts, markers, parent."""
     marked = F.lit(False)
@@ -59,6 +65,7 @@ def parse(lines: DataFrame) -> DataFrame:
         F.when((kind == "event_msg") & (inner == "thread_settings_applied") & text(v, "$.payload.thread_settings.service_tier").isNotNull(), text(v, "$.payload.thread_settings.service_tier").isin(*FAST_TIERS).cast("int")).alias("tier"),
         F.coalesce(count & is_object(v, "$.payload.info"), F.lit(False)).alias("counts"),
         F.when(count, _triple(v, "$.payload.info.total_token_usage")).alias("total"), F.when(count, _triple(v, "$.payload.info.last_token_usage")).alias("last"),
+        F.when(count, F.concat_ws(SEPARATOR, _told(v, "$.payload.info.total_token_usage"), _told(v, "$.payload.info.last_token_usage"))).alias("told"),
         F.coalesce((kind == "event_msg") & (inner == "task_started"), F.lit(False)).alias("started"),
         F.coalesce(kind.isin("inter_agent_communication", "inter_agent_communication_metadata") & F.try_variant_get(v, "$.payload.trigger_turn", "boolean"), F.lit(False)).alias("trigger"),
         F.when(meta & (parent != ""), F.lower(parent)).alias("parent"), F.when(meta, fork_at).alias("fork_at"), F.coalesce(meta & is_object(v, "$.payload.source.subagent.thread_spawn"), F.lit(False)).alias("spawn"),
@@ -119,10 +126,9 @@ def judged(parsed: DataFrame) -> DataFrame:
 
 def usage_rows(parsed: DataFrame) -> DataFrame:
     """One row per key that isn't inherited: path, key, ts, model and counts; cached input counts as cache reads."""
-    shown = lambda c: F.coalesce(F.array_join(F.col(c), ","), F.lit(""))
     rows = judged(parsed)
     read = F.least(F.col("usage")[0], F.col("usage")[1])
-    rows = rows.select("path", "line_no", "inherited", ledger_key(F.concat_ws(SEPARATOR, F.lit("x"), "sid", "at", shown("total"), shown("last"))).alias("key"), "ts", "model", (F.col("usage")[0] - read).alias("inp"), F.col("usage")[2].alias("outp"), read.alias("cr"), "tier")
+    rows = rows.select("path", "line_no", "inherited", ledger_key(F.concat_ws(SEPARATOR, F.lit("x"), "sid", "at", "told")).alias("key"), "ts", "model", (F.col("usage")[0] - read).alias("inp"), F.col("usage")[2].alias("outp"), read.alias("cr"), "tier")
     zero = F.lit(0).cast("long")
     own = rows.where("not inherited").groupBy("key").agg(F.min(F.struct("path", "line_no", "ts", "model", "tier")).alias("f"), *(F.max(c).alias(c) for c in ("inp", "outp", "cr")))
     return own.select("key", F.col("f.path").alias("path"), F.col("f.ts").alias("ts"), F.col("f.model").alias("model"), "inp", "outp", "cr", zero.alias("cc"), zero.alias("e5"), zero.alias("e1"), F.col("f.tier").alias("tier"))
@@ -130,8 +136,7 @@ def usage_rows(parsed: DataFrame) -> DataFrame:
 
 def dropped_keys(parsed: DataFrame) -> DataFrame:
     """Keys that every reading judges inherited: to be dropped from the store."""
-    shown = lambda c: F.coalesce(F.array_join(F.col(c), ","), F.lit(""))
-    rows = judged(parsed).select("inherited", ledger_key(F.concat_ws(SEPARATOR, F.lit("x"), "sid", "at", shown("total"), shown("last"))).alias("key"))
+    rows = judged(parsed).select("inherited", ledger_key(F.concat_ws(SEPARATOR, F.lit("x"), "sid", "at", "told")).alias("key"))
     return rows.groupBy("key").agg(F.min(F.col("inherited").cast("int")).alias("_all")).where("_all = 1").select("key")
 
 

@@ -20,10 +20,15 @@ def read_lines(spark: SparkSession, *roots: str) -> DataFrame:
     return lines.withColumn("value", F.rtrim(F.col("value"), F.lit("\r")))
 
 
+def marked() -> Column:
+    """The cheapest sign of a usage line."""
+    return F.contains(F.col("value"), F.lit('"usage"'))
+
+
 def candidate() -> Column:
-    """The cheap sign of a usage line, before any JSON is parsed."""
+    """The signs of a usage line that need no JSON."""
     has = lambda x: F.contains(F.col("value"), F.lit(x))
-    return has('"usage"') & has("assistant") & ~has('"token_count"') & ~has('"turn_context"')
+    return marked() & has("assistant") & ~has('"token_count"') & ~has('"turn_context"')
 
 
 def whole_number(v: Column, path: str) -> Column:
@@ -42,18 +47,35 @@ def text(v: Column, path: str) -> Column:
     return F.when(F.schema_of_variant(F.try_variant_get(v, path, "variant")) == "STRING", F.try_variant_get(v, path, "string"))
 
 
+def kind_of(v: Column, path: str) -> Column:
+    return F.coalesce(F.schema_of_variant(F.try_variant_get(v, path, "variant")), F.lit("VOID"))
+
+
+def truthy(v: Column, path: str) -> Column:
+    """Whether a JSON value counts as stated: not null, false, zero or empty."""
+    kind, shown = kind_of(v, path), F.try_variant_get(v, path, "string")
+    number = F.coalesce(F.try_variant_get(v, path, "double") != 0, F.lit(False))
+    return F.when(kind == "VOID", False).when(kind == "STRING", shown != "").when(kind == "BOOLEAN", shown == "true").when(F.rlike(kind, F.lit("^(BIGINT|DOUBLE|FLOAT|DECIMAL)")), number).otherwise(~shown.isin("[]", "{}"))
+
+
+def as_told(v: Column, path: str) -> Column:
+    """A JSON value as key material: a string itself, a whole number in digits, `True`, `False`, null as ''."""
+    shown = F.coalesce(F.try_variant_get(v, path, "string"), F.lit(""))
+    return F.when(kind_of(v, path) == "BOOLEAN", F.initcap(shown)).otherwise(shown)
+
+
 def parse(lines: DataFrame) -> DataFrame:
     """Usage lines with path, line_no, key (null: unkeyed), ts (null: none), model and counts."""
     rows = lines.where(candidate()).withColumn("v", F.try_parse_json("value"))
     v = F.col("v")
-    rows = rows.where(v.isNotNull() & (text(v, "$.type") == "assistant") & is_object(v, "$.message.usage"))
+    rows = rows.where(v.isNotNull() & (text(v, "$.type") == "assistant") & is_object(v, "$.message.usage") & ~odd_model(v))
     n = lambda name: whole_number(v, f"$.message.usage.{name}")
     split = is_object(v, "$.message.usage.cache_creation")
     out = rows.select(
         "path", "line_no", "v", n("input_tokens").alias("inp"), n("output_tokens").alias("outp"), n("cache_read_input_tokens").alias("cr"), n("cache_creation_input_tokens").alias("_cc"),
         F.when(split, n("cache_creation.ephemeral_5m_input_tokens")).alias("e5"), F.when(split, n("cache_creation.ephemeral_1h_input_tokens")).alias("e1"),
-        F.coalesce(text(v, "$.message.model"), F.lit("")).alias("model"), F.coalesce(F.try_variant_get(v, "$.message.id", "string"), F.lit("")).alias("_id"),
-        F.coalesce(F.try_variant_get(v, "$.requestId", "string"), F.lit("")).alias("_req"), F.coalesce(text(v, "$.uuid"), F.lit("")).alias("_uuid"), text(v, "$.timestamp").alias("_ts"),
+        F.coalesce(text(v, "$.message.model"), F.lit("")).alias("model"), F.when(truthy(v, "$.message.id"), as_told(v, "$.message.id")).otherwise("").alias("_id"),
+        as_told(v, "$.requestId").alias("_req"), F.coalesce(text(v, "$.uuid"), F.lit("")).alias("_uuid"), text(v, "$.timestamp").alias("_ts"),
         F.coalesce(text(v, "$.message.usage.speed") == "fast", F.lit(False)).cast("int").alias("tier"),
     ).where(F.col("model") != SYNTHETIC)
     material = F.when(F.col("_id") != "", F.concat_ws(SEPARATOR, F.lit("c"), "_req", "_id")).when(F.col("_uuid") != "", F.concat_ws(SEPARATOR, F.lit("u"), "_uuid"))
@@ -61,6 +83,11 @@ def parse(lines: DataFrame) -> DataFrame:
     return out.select("path", "line_no", F.when(F.col("_m").isNotNull(), ledger_key(F.col("_m"))).alias("key"), timestamp_ms(F.col("_ts")).alias("ts"), "model", *COUNTS)
 
 
+def odd_model(v: Column) -> Column:
+    """A model that is stated but isn't text: such a line is malformed."""
+    return truthy(v, "$.message.model") & (kind_of(v, "$.message.model") != "STRING")
+
+
 def path_order(path: Column) -> Column:
     """Paths by their parts, each by code point."""
     return F.split(path, "/")
@@ -84,7 +111,8 @@ def folded(parsed: DataFrame, known: DataFrame | None = None) -> DataFrame:
 
 def stats(lines: DataFrame) -> DataFrame:
     """Lines, candidates, malformed and unkeyed lines by path."""
-    marked = lines.withColumn("_c", candidate())
+    v = F.try_parse_json("value")
+    usage = F.coalesce((text(v, "$.type") == "assistant") & is_object(v, "$.message.usage") & odd_model(v), F.lit(False))
     parsed = parse(lines).groupBy("path").agg(F.count(F.lit(1)).alias("usage_lines"), F.count_if(F.col("key").isNull()).alias("unkeyed"))
-    seen = marked.groupBy("path").agg(F.count(F.lit(1)).alias("lines"), F.count_if("_c").alias("candidates"), F.count_if(F.col("_c") & F.try_parse_json("value").isNull()).alias("malformed"))
+    seen = lines.groupBy("path").agg(F.count(F.lit(1)).alias("lines"), F.count_if(marked()).alias("candidates"), F.count_if(candidate() & (v.isNull() | usage)).alias("malformed"))
     return seen.join(parsed, "path", "left").select("path", "lines", "candidates", "malformed", F.coalesce("usage_lines", F.lit(0)).alias("usage_lines"), F.coalesce("unkeyed", F.lit(0)).alias("unkeyed"))

@@ -18,9 +18,9 @@ from meterlark.streaming import ingest, states
 from meterlark.streaming.lines import register
 
 
-def line_a(i, *, ts="2026-06-01T00:00:00.000Z", out=5, model="claude-x-1", message=None, **more):
+def line_a(i, *, ts="2026-06-01T00:00:00.000Z", out=5, model="claude-x-1", message="", **more):
     usage = {"input_tokens": 10, "output_tokens": out, "cache_read_input_tokens": 3, "cache_creation_input_tokens": 4} | more.pop("usage", {})
-    return json.dumps({"type": "assistant", "requestId": f"r{i}", "uuid": f"u{i}", "timestamp": ts, "message": {"id": message or f"m{i}", "model": model, "usage": usage}} | more)
+    return json.dumps({"type": "assistant", "requestId": f"r{i}", "uuid": f"u{i}", "timestamp": ts, "message": {"id": f"m{i}" if message == "" else message, "model": model, "usage": usage}} | more)
 
 
 def frame(spark, lines, path="/x/projects/a.jsonl"):
@@ -37,13 +37,15 @@ def test_line_rules(spark):
         "buckets": (line_a(2, usage={"cache_creation": {"ephemeral_5m_input_tokens": 6, "ephemeral_1h_input_tokens": 1}, "cache_creation_input_tokens": 0}), ("m2", 10, 5, 3, 7, 6, 1, 0)),
         "odd numbers": (line_a(3, usage={"input_tokens": True, "output_tokens": 5.0, "cache_read_input_tokens": "9", "speed": "fast"}), ("m3", 1, 0, 0, 4, None, None, 1)),
     }
-    lines = [v[0] for v in cases.values()] + [line_a(4, model="<synthetic>"), '{"type": "assistant", "usage": broken', line_a(5, type="user"), ""]
+    lines = [v[0] for v in cases.values()] + [line_a(4, model="<synthetic>"), '{"type": "assistant", "usage": broken', line_a(5, type="user"), line_a(6, model=[1]), ""]
     found = by_key(transcripts.parse(frame(spark, lines)))
     assert len(found) == 3
+    odd = by_key(transcripts.parse(frame(spark, [line_a(7, message=True, requestId=12), line_a(8, message=0), line_a(9, requestId=None)])))
+    assert set(odd) == {ledger_key_of(x) for x in ("c\x1f12\x1fTrue", "u\x1fu8", "c\x1f\x1fm9")}
     for _, (message, *counts) in cases.values():
         r = found[ledger_key_of(f"c\x1fr{message[1:]}\x1f{message}")]
         assert [r[c] for c in transcripts.COUNTS] == counts
-    assert [tuple(r) for r in transcripts.stats(frame(spark, lines)).collect()] == [("/x/projects/a.jsonl", 7, 5, 1, 3, 0)]
+    assert [tuple(r) for r in transcripts.stats(frame(spark, lines)).collect()] == [("/x/projects/a.jsonl", 8, 7, 2, 3, 0)]
 
 
 def test_fold_takes_the_first_timed_line_and_later_maxima(spark):
@@ -85,6 +87,13 @@ def test_counter_advance(spark):
     assert got == [(5, 60, 10, 40, "gpt-z"), (8, 30, 5, 20, "gpt-z"), (9, 15, 3, 5, "gpt-z"), (10, 0, 2, 7, "gpt-z")]
 
 
+def test_keys_tell_truth_values(spark):
+    line = count_b((True, 0, 9), (True, False, 9), 5)
+    path = "/x/sessions/s.jsonl"
+    row = rollouts.usage_rows(rollouts.parse(frame(spark, ["{}", line], path))).first()
+    assert row["key"] == ledger_key_of("x\x1fs\x1f2026-06-01T00:00:05.000Z\x1fTrue,0,9\x1fTrue,False,9") and (row["inp"], row["outp"]) == (1, 9)
+
+
 def test_children_do_not_repeat_their_parents(spark):
     ids = [f"00000000-0000-0000-0000-00000000000{x}" for x in "ab"]
     meta = json.dumps({"type": "session_meta", "timestamp": "2026-06-01T00:01:00Z", "payload": {"forked_from_id": ids[0]}})
