@@ -7,10 +7,11 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from meterlark.llm._shared import carried, carrying, slices, text_bytes, with_carried
+from meterlark.llm._shared import slices, text_bytes
 from meterlark.llm._words import BLANK
 
 #: Hashed features: trigrams of bytes of the text in lower case, each run of white space as one space.
@@ -128,25 +129,35 @@ def fit_centroids(labelled: DataFrame, *, per_language: int = 3, sample: int = 2
     return Centroids(languages, np.concatenate(centres).astype(np.float32), idf, reject * float(np.quantile(np.concatenate(own), 0.01)))
 
 
-def identify_language(docs: DataFrame, model: Centroids, *, carry: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: doc_id, lang_pred, score (cosine to the nearest centroid, 0 to 1), rejected.
-
-    lang_pred is `und`, score 0 and rejected true if the text is null, has no letter, or no language was
-    learned; else lang_pred is the nearest centroid's language, and rejected tells a text too far from every one.
-    carry adds the input row as struct `carried`.  Ties go to the first language by name.  Null ids stay null; repeated rows repeat; an empty table gives an empty
-    one; other columns are ignored.  Map-only; the model is a few vectors per language.
-    """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *carried(docs, carry))
+def language_of(text: Column, model: Centroids) -> Column:
+    """lang_pred, score and rejected of a text column as a struct; other columns of the row stay in the JVM."""
 
-    def work(batches):
-        for part in slices(batches, "text"):
+    @F.arrow_udf(T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("rejected", T.BooleanType())]))
+    def work(column: pa.Array) -> pa.Array:
+        langs, scores, rejected = [], [], []
+        for part in slices([pa.RecordBatch.from_arrays([column], names=["text"])], "text"):
             texts = part.column("text").to_pylist()
-            langs, scores, rejected = [UNKNOWN] * len(texts), [0.0] * len(texts), [True] * len(texts)
+            first = len(langs)
+            langs += [UNKNOWN] * len(texts)
+            scores += [0.0] * len(texts)
+            rejected += [True] * len(texts)
             for at, counts in blocks(part) if model.languages else ():
                 best, close = model.nearest(counts)
                 for i, (j, score) in enumerate(zip(best.tolist(), close.tolist(), strict=True), at):
                     if any(map(str.isalpha, texts[i] or "")):
-                        langs[i], scores[i], rejected[i] = model.languages[j], score, score < model.least
-            yield with_carried([part.column("doc_id"), pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(rejected, pa.bool_())], ["doc_id", "lang_pred", "score", "rejected"], part)
+                        langs[first + i], scores[first + i], rejected[first + i] = model.languages[j], score, score < model.least
+        return pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(rejected, pa.bool_())], names=["lang_pred", "score", "rejected"])
+
+    return work(text)
 
-    return rows.mapInArrow(work, carrying("doc_id long, lang_pred string, score double, rejected boolean", rows))
+
+def identify_language(docs: DataFrame, model: Centroids, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per input row: doc_id, lang_pred, score (cosine to the nearest centroid, 0 to 1), rejected.
+
+    lang_pred is `und`, score 0 and rejected true if the text is null, has no letter, or no language was
+    learned; else lang_pred is the nearest centroid's language, and rejected tells a text too far from every one.
+    Ties go to the first language by name.  Null ids stay null; repeated rows repeat; an empty table gives an empty
+    one; other columns are ignored.  Map-only; the model is a few vectors per language.
+    """
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), language_of(F.col(text_col).cast("string"), model).alias("_l"))
+    return rows.select("doc_id", "_l.*")

@@ -6,10 +6,11 @@ import math
 import re
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from meterlark.llm._shared import carried, carrying, slices, with_carried
+from meterlark.llm._shared import slices
 from meterlark.llm._spans import Span, free_of, listed
 
 ORDER = {"assign": 0, "access": 1, "hex": 2, "entropy": 3}
@@ -81,35 +82,44 @@ def entropy_spans(text: str) -> list[Span]:
     return out
 
 
-def scan_secrets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", redact: bool = False, carry: bool = False) -> DataFrame:
-    """One row per input row: doc_id, n_assign, n_access, n_hex, base (spans as text), spans (base and entropy spans).
+KINDS = ("assign", "access", "hex")
 
-    Spans count code points, end exclusive; entropy spans overlap no base span.  redact adds `redacted`: the text
-    with each span (overlaps merged) replaced by `[SECRET]`, null where the text is null; carry adds the input row
-    as struct `carried`.
-    Null text: empty, no spans.  Null ids stay null; repeated rows repeat; an empty table gives an empty one; other
-    columns are ignored.  Whole texts are scanned, in time linear in their length.  Map-only.
-    """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *carried(docs, carry))
-    kinds = ("assign", "access", "hex")
 
-    def work(batches):
-        for part in slices(batches, "text"):
+def secrets_of(text: Column, redact: bool = False) -> Column:
+    """n_assign, n_access, n_hex, base, spans (and redacted) of a text column as a struct; other columns of the row stay in the JVM."""
+    fields = [(f"n_{k}", T.LongType(), pa.int64()) for k in KINDS] + [(c, T.StringType(), pa.string()) for c in ("base", "spans", *["redacted"] * redact)]
+
+    @F.arrow_udf(T.StructType([T.StructField(name, kind) for name, kind, _ in fields]))
+    def work(column: pa.Array) -> pa.Array:
+        out = []
+        for part in slices([pa.RecordBatch.from_arrays([column], names=["text"])], "text"):
             counts: tuple[list[int], ...] = ([], [], [])
             base, every, masked = [], [], []
-            for text in part.column("text").to_pylist():
-                known = base_spans(text or "")
-                spans = known + [s for s in entropy_spans(text or "") if free_of(s[1:], known)]
-                for column, kind in zip(counts, kinds, strict=True):
-                    column.append(sum(s[0] == kind for s in known))
+            for x in part.column("text").to_pylist():
+                known = base_spans(x or "")
+                spans = known + [s for s in entropy_spans(x or "") if free_of(s[1:], known)]
+                for n, kind in zip(counts, KINDS, strict=True):
+                    n.append(sum(s[0] == kind for s in known))
                 base.append(listed(known, ORDER))
                 every.append(listed(spans, ORDER))
-                if redact:
-                    masked.append(redacted(text, spans))
-            columns = [part.column("doc_id"), *(pa.array(x, pa.int64()) for x in counts), pa.array(base, pa.string()), pa.array(every, pa.string())]
-            yield with_carried(columns + [pa.array(masked, pa.string())] * redact, ["doc_id", "n_assign", "n_access", "n_hex", "base", "spans"] + ["redacted"] * redact, part)
+                masked.append(redacted(x, spans) if redact else None)
+            columns = [*counts, base, every, *[masked] * redact]
+            out.append(pa.StructArray.from_arrays([pa.array(c, t) for c, (_, _, t) in zip(columns, fields, strict=True)], names=[name for name, _, _ in fields]))
+        return pa.concat_arrays(out) if out else pa.array([], pa.struct([(name, t) for name, _, t in fields]))
+
+    return work(text)
 
-    return rows.mapInArrow(work, carrying("doc_id long, n_assign long, n_access long, n_hex long, base string, spans string" + ", redacted string" * redact, rows))
+
+def scan_secrets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", redact: bool = False) -> DataFrame:
+    """One row per input row: doc_id, n_assign, n_access, n_hex, base (spans as text), spans (base and entropy spans).
+
+    Spans count code points, end exclusive; entropy spans overlap no base span.  redact adds `redacted`: the text
+    with each span (overlaps merged) replaced by `[SECRET]`, null where the text is null.
+    Null text: empty, no spans.  Null ids stay null; repeated rows repeat; an empty table gives an empty one; other
+    columns are ignored.  Whole texts are scanned, in time linear in their length.  Map-only.
+    """
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), secrets_of(F.col(text_col).cast("string"), redact).alias("_s"))
+    return rows.select("doc_id", "_s.*")
 
 
 def redacted(text: str | None, spans: list[Span]) -> str | None:
