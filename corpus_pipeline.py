@@ -11,15 +11,15 @@ from pyspark.sql import functions as F
 
 from meterlark.llm._shared import settled
 from meterlark.llm.decontaminate import decontaminate
-from meterlark.llm.language import fit_centroids, identify_language
+from meterlark.llm.language import fit_centroids, language_of
 from meterlark.llm.near_dedup import near_duplicates
 from meterlark.llm.packing import pack
-from meterlark.llm.secrets import scan_secrets
+from meterlark.llm.secrets import secrets_of
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the identifier rejects (no text, no letter, or far from every language) go."""
-    return identify_language(docs, fit_centroids(docs), carry=True).where("not rejected").select("carried.*")
+    return docs.where(~language_of(F.col("text"), fit_centroids(docs))["rejected"])
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,8 +37,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets are replaced by a mark; every document stays."""
-    found = scan_secrets(docs, redact=True, carry=True)
-    return found.select(*(F.col("redacted").alias("text") if c == "text" else F.length("redacted").cast("long").alias(c) if c == "n_chars" else F.col(f"carried.`{c}`").alias(c) for c in docs.columns))
+    return docs.withColumn("text", secrets_of(F.col("text"), redact=True)["redacted"]).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
