@@ -151,6 +151,25 @@ def test_states_equal_windows(spark, tmp_path):
     assert got == sorted((r["line_no"], list(r["usage"])) for r in rollouts.advanced(parsed).collect())
 
 
+def test_streamed_limit_events_equal_a_history(spark, tmp_path):
+    from meterlark.operators import limit_events
+
+    rng = random.Random(4)
+    t0, rows = 1_705_752_000_000, []
+    for i in range(120):
+        at = t0 + i * 1_700_000
+        rows.append(("a", "claude", at, "w", "L", rng.choice([0.2, 0.85, 1.0]), (at // 18_000_000 + 1) * 18_000_000 + rng.randrange(700), 300.0))
+    schema = "identity string, provider string, at long, kind string, label string, utilization double, resets_at long, minutes double"
+    for part in (rows[:50], rows[50:51], rows[51:]):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        time.sleep(1.1)  # files are taken by their time
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    query = states.limit_events(stream).writeStream.format("memory").queryName("streamed_events").outputMode("append").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "c")).start()
+    assert query.awaitTermination(240)
+    got = sorted((r["event"], r["resets_at"], r["at"]) for r in spark.table("streamed_events").collect())
+    assert got == sorted((r["event"], r["resets_at"], r["at"]) for r in limit_events.detect(spark.createDataFrame(rows, schema)).collect())
+
+
 def test_ledger(spark, tmp_path):
     import sqlite3
 
