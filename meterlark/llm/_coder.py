@@ -23,7 +23,7 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 #: Below this code point all Unicode versions agree on letters, numbers and spaces.
 LATIN = "\u0250"
 #: Chunks a worker process remembers in each of two generations.
-REMEMBERED = 250_000
+REMEMBERED = 120_000
 
 
 class _Memo(dict):

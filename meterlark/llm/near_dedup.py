@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meterlark.llm._shared import partitions, settled, slices, text_bytes
+from meterlark.llm._shared import give_back, partitions, settled, slices, text_bytes
 from meterlark.llm._words import Words, ascii_lower, mixed
 from meterlark.llm.components import components
 
@@ -161,6 +161,7 @@ def compared(members: DataFrame, part: int, whole: int) -> DataFrame:
                     rows[c].append(got[c][i])
         if rows["id"]:
             yield pairs_of(rows)
+        give_back()
 
     spark = members.sparkSession
     ordered = members.select(*columns).repartition(partitions(spark), "node", "block").sortWithinPartitions("node", "block")

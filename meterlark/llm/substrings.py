@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from meterlark.llm._keys import bits, cuts, packed, planes, unbits, unpacked, unplaned
-from meterlark.llm._shared import flat, partitions, text_bytes
+from meterlark.llm._shared import flat, give_back, partitions, text_bytes
 from meterlark.llm._words import Words, spans_of
 
 U64 = np.uint64
@@ -87,6 +87,7 @@ def _rows(table: pa.Table, kind: int) -> list[dict]:
 
 
 def _frame(rows: list[tuple], names: list[str], types: list[pa.DataType]) -> pa.Table:
+    give_back()
     columns = list(zip(*rows, strict=True)) if rows else [()] * len(names)
     return pa.Table.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types, strict=True)], names=names)
 
