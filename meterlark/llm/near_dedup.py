@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from fractions import Fraction
+from math import comb
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -12,14 +15,18 @@ from meterlark.llm._words import Words, ascii_lower, mixed
 from meterlark.llm.components import components
 
 U64, U32 = np.uint64, np.uint32
-#: Independent trees, branches of a node by level, and minwise values of a set (the first ones choose the paths).
-TREES, BRANCHES, COORDINATES = 6, (2, 1, 1, 1), 512
+#: Minwise values of a set: those of the first half choose the paths down to the leaves, the others the paths below large leaves.
+COORDINATES = 512
+#: A tree's paths, and tokens of a path (fewer where low similarities need more trees than there are values).
+PATHS, LEVELS = 2, 4
+#: Greatest probability that a pair of the asked similarity meets in no node compared, and that one of the two looks at sketches drops it.
+TREE_MISS, SKETCH_MISS = 1.5e-5, 1e-5
 #: Values looked at first when two sketches are compared.
 FIRST = 64
-#: Members compared with each other at once; larger nodes are compared block by block.
+#: Members compared with each other at once; a node with more of them outside of its largest component branches on.
 NODE = 512
-#: A pair of the asked similarity has fewer equal sketch bytes than are needed with a probability below 0.0003.
-SKETCH_SLACK = 3.5
+#: A node branches on if its children have at most this part of its comparisons; else it is compared block by block.
+LESS = 0.9
 LAST = np.iinfo(np.int64).max
 _rng = np.random.default_rng(20240607)
 _XOR = _rng.integers(0, 2**32, COORDINATES, np.uint32)
@@ -54,18 +61,37 @@ def sketches(h: np.ndarray, edge: np.ndarray) -> np.ndarray:
     return np.stack([np.minimum.reduceat((h ^ x) * m, edge) for x, m in zip(_XOR, _MUL, strict=True)], axis=1)
 
 
-def leaves(values: np.ndarray) -> np.ndarray:
-    """Node keys at the last level of each set in each tree: at every node the set follows the tokens that its branches choose."""
+def branches(least: float) -> int:
+    """Children that a set follows from a large node: enough for pairs of that similarity to go on meeting."""
+    return max(2, int(np.ceil(1.5 / least)))
+
+
+def missed(least: float, trees: int, levels: int) -> float:
+    """Probability that a pair of that similarity shares no leaf or, however deep large leaves branch, none of the nodes below."""
+    going_on = 1.0
+    for _ in range(200):
+        going_on = 1 - (1 - least * going_on) ** branches(least)
+    return (1 - least**levels * going_on) ** (PATHS * trees)
+
+
+def shape(part: int, whole: int) -> tuple[int, int]:
+    """(trees, levels): as few trees as keep TREE_MISS at similarity part / whole."""
+    for levels in range(LEVELS, 0, -1):
+        for trees in range(1, COORDINATES // 2 // (PATHS * levels) + 1):
+            if missed(part / whole, trees, levels) <= TREE_MISS:
+                return trees, levels
+    raise ValueError(f"similarity {part}/{whole} is too low for {COORDINATES} minwise values")
+
+
+def leaves(values: np.ndarray, trees: int, levels: int) -> np.ndarray:
+    """Leaf keys of each set in each tree: a set follows PATHS tokens from the root and one from each node below."""
     out, coordinate = [], 0
-    for tree in range(TREES):
-        nodes = [np.full(len(values), mixed(np.array([tree + 1], U64))[0], U64)]
-        for branches in BRANCHES:
-            down = []
-            for node in nodes:
-                for _ in range(branches):
-                    down.append(mixed(node * U64(0x9E3779B97F4A7C15) + values[:, coordinate].astype(U64) + (U64(coordinate) << U64(32))))
-                    coordinate += 1
-            nodes = down
+    for tree in range(trees):
+        nodes = [np.full(len(values), mixed(np.array([tree + 1], U64))[0], U64)] * PATHS
+        for _ in range(levels):
+            for i, node in enumerate(nodes):
+                nodes[i] = mixed(node * U64(0x9E3779B97F4A7C15) + values[:, coordinate].astype(U64) + (U64(coordinate) << U64(32)))
+                coordinate += 1
         out += nodes
     return np.stack(out, axis=1)
 
@@ -73,7 +99,7 @@ def leaves(values: np.ndarray) -> np.ndarray:
 SKETCHED = "id long, n long, f1 long, f2 long, sketch binary, nodes array<long>"
 
 
-def sketch(rows: DataFrame, k: int) -> DataFrame:
+def sketch(rows: DataFrame, k: int, trees: int, levels: int) -> DataFrame:
     """Set size, 128-bit set fingerprint, sketch (a byte per coordinate) and node keys of each row."""
 
     def work(batches):
@@ -86,7 +112,7 @@ def sketch(rows: DataFrame, k: int) -> DataFrame:
                 edge = (np.cumsum(size) - size)[has]
                 f1[has], f2[has] = np.add.reduceat(mixed(h), edge), np.add.reduceat(mixed(h ^ U64(0x5851F42D4C957F2D)), edge)
                 values = sketches(h, edge)
-                small, keys = ((values * U32(0x9E3779B1)) >> U32(24)).astype(np.uint8), leaves(values).view(np.int64).tolist()
+                small, keys = ((values * U32(0x9E3779B1)) >> U32(24)).astype(np.uint8), leaves(values, trees, levels).view(np.int64).tolist()
                 for i, row, own in zip(has.tolist(), small, keys, strict=True):
                     sketched[i], nodes[i] = row.tobytes(), own
             yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(size, pa.int64()), pa.array(f1.view(np.int64)), pa.array(f2.view(np.int64)), pa.array(sketched, pa.binary()), pa.array(nodes, pa.list_(pa.int64()))], names=["id", "n", "f1", "f2", "sketch", "nodes"])
@@ -113,9 +139,16 @@ def confirmed(pairs: DataFrame, rows: DataFrame, k: int, part: int, whole: int)
 
 
 def needed(part: int, whole: int, coordinates: int) -> int:
-    """Equal bytes of so many that a pair of similarity part / whole has, but for chance beyond SKETCH_SLACK deviations."""
-    least = part / whole
-    return int(np.floor(coordinates * (least - SKETCH_SLACK * np.sqrt(least * (1 - least) / coordinates))))
+    """Equal bytes of so many that a pair of similarity part / whole has, but for a chance of SKETCH_MISS."""
+    same = Fraction(part, whole)
+    same += (1 - same) / 256  # different values with equal bytes
+    p, below, need = float(same), 0.0, 0
+    while need < coordinates:
+        below += comb(coordinates, need) * p**need * (1 - p) ** (coordinates - need)
+        if below > SKETCH_MISS:
+            break
+        need += 1
+    return need
 
 
 def compared(members: DataFrame, part: int, whole: int) -> DataFrame:
@@ -168,15 +201,59 @@ def compared(members: DataFrame, part: int, whole: int) -> DataFrame:
     return ordered.mapInArrow(work, "a long, b long")
 
 
-def unsettled(members: DataFrame) -> DataFrame:
-    """Nodes with more than one component: node, size, top (their largest component) and its size."""
-    counts = members.groupBy("node", "comp").agg(F.count(F.lit(1)).alias("_c"))
-    nodes = counts.groupBy("node").agg(F.sum("_c").alias("size"), F.max(F.struct("_c", "comp")).alias("_t"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
-    return nodes.select("node", "size", F.col("_t.comp").alias("top"), F.col("_t._c").alias("top_size"))
+def unsettled(members: DataFrame, *more: str) -> DataFrame:
+    """Nodes with more than one component: node (and more of its own), size, top (their largest component), its size, and work (comparisons)."""
+    counts = members.groupBy("node", *more, "comp").agg(F.count(F.lit(1)).alias("_c"))
+    nodes = counts.groupBy("node", *more).agg(F.sum("_c").alias("size"), F.max(F.struct("_c", "comp")).alias("_t"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    others = F.col("size") - F.col("top_size")
+    return nodes.select("node", *more, "size", F.col("_t.comp").alias("top"), F.col("_t._c").alias("top_size")).withColumn("work", others.cast("double") * (F.col("top_size") + (others - 1) / 2))
+
+
+def branched(members: DataFrame, children: int) -> DataFrame:
+    """Members in so many children of their node, by values of the sketch that the node's key picks; the node becomes `parent`."""
+    half = COORDINATES // 2
+    at, step = F.pmod(F.xxhash64("node", F.lit(0)), F.lit(half)), 2 * F.pmod(F.xxhash64("node", F.lit(1)), F.lit(half // 2)) + 1
+    byte = lambda j: F.substring(F.col("sketch"), (half + 1 + F.pmod(at + j * step, F.lit(half))).cast("int"), F.lit(1))
+    keys = F.array(*[F.xxhash64("node", F.lit(j), byte(j)) for j in range(children)])
+    return members.select(F.col("node").alias("parent"), F.explode(keys).alias("node"), "leaf", "id", "n", "comp")
+
+
+def opened(members: DataFrame, firsts: DataFrame, children: int) -> tuple[DataFrame, DataFrame | None]:
+    """Blocks to compare, and the leaves (id, n, leaf) that branched on (None: none did).
+
+    Level by level, a node with more than NODE members outside of its largest component gives way to its children, as long as that makes
+    fewer comparisons; every other node is compared whole.
+    """
+    blocks, gone = None, None
+    while True:
+        nodes = settled(unsettled(members), "unsettled")
+        wide = nodes.where(f"size - top_size > {NODE}")
+        split = None
+        if not wide.isEmpty():
+            below = settled(branched(members.join(wide.select("node"), "node", "left_semi").join(firsts.select("id", "n", "sketch"), ["id", "n"]), children), "branched")
+            work = unsettled(below, "parent").groupBy("parent").agg(F.sum("work").alias("_work"))
+            split = settled(wide.join(work.withColumnRenamed("parent", "node"), "node", "left").where(F.coalesce("_work", F.lit(0.0)) <= LESS * F.col("work")).select("node"), "split")
+            if split.isEmpty():
+                split = None
+        ready = blocked(members, nodes if split is None else nodes.join(split, "node", "left_anti"))
+        blocks = ready if blocks is None else blocks.unionByName(ready)
+        if split is None:
+            return blocks, gone
+        if gone is None:
+            gone = members.join(split, "node", "left_semi").select("id", "n", "leaf")
+        members = below.join(split.withColumnRenamed("node", "parent"), "parent", "left_semi").drop("parent")
+
+
+def apart(firsts: DataFrame, gone: DataFrame) -> DataFrame:
+    """firsts with keys of their own in place of leaves that branched on: two members no longer count as compared there."""
+    gone = gone.groupBy("id", "n").agg(F.collect_set("leaf").alias("_gone"))
+    key = lambda node, i: F.when(F.array_contains("_gone", i), F.xxhash64("id", "n", i)).otherwise(node)
+    out = firsts.join(gone, ["id", "n"], "left")
+    return out.withColumn("nodes", F.when(F.col("_gone").isNull(), F.col("nodes")).otherwise(F.transform("nodes", key))).drop("_gone")
 
 
 def blocked(members: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Members of unsettled nodes by blocks: a small node is one block, a larger one is cut into blocks of about NODE members.
+    """Members of the nodes by blocks: a small node is one block, a larger one is cut into blocks of about NODE members.
 
     Each block of other members meets each block of hot ones, and each other one.  A node whose largest component is nearly
     all of it sends every hot member once or a few times, however large it is.
@@ -201,19 +278,21 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, part: int = 85, whole:
     Documents are sets of distinct `shingle`-word shingles; two are linked if whole * intersection >= part * union,
     confirmed on full sets.  kept: doc_id is its component's id.
 
-    Documents of one set (128-bit fingerprint) become one before anything is joined.  Each of six independent trees
-    branches a set by two minwise tokens at its root and by one at each of three further levels: a pair of similarity
-    0.85 shares no last node with probability below 0.0002.  (1) Each node's smallest id is compared with the node's
-    other members, which makes large groups of copies one component in linear work.  (2) Nodes that still hold
-    several components are compared exhaustively by sketch, members of the largest one only with the others, in blocks where a node is
-    large; what a sketch allows is confirmed on full sets.  Nothing is capped.
+    Documents of one set (128-bit fingerprint) become one before anything is joined.  Each of several independent trees
+    (eight at similarity 0.85; see shape) has two paths of four minwise tokens.  (1) Each leaf's smallest id is compared with the
+    leaf's other members, which makes large groups of copies one component in linear work.  (2) Leaves that still hold
+    several components are compared exhaustively by sketch, members of the largest one only with the others.  A node with more than
+    NODE others branches on first, each set following two or more further minwise tokens, level by level, as long as that lessens
+    the comparisons; what no branching lessens (a large family of near misses) is compared block by block.  What a sketch allows
+    is confirmed on full sets.  A pair of the asked similarity is missed with a probability below TREE_MISS + 2 * SKETCH_MISS.
+    Nothing is capped.
 
     A document without words or with null text has n_shingles 0 and is linked with nothing.  Rows of one id are one
     document, linked by any of its texts.  Null ids count as the largest id and are returned as null, component_id likewise.
     Empty tables give no rows; other columns are ignored.
     """
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("id"), F.col(text_col).cast("string").alias("text"))
-    every = settled(sketch(rows, shingle), "sketches")
+    every = settled(sketch(rows, shingle, *shape(part, whole)), "sketches")
     sets = settled(every.where("n > 0").groupBy("f1", "f2", "n").agg(F.min("id").alias("rep")), "sets")
     firsts = every.where("n > 0").join(sets.select("f1", "f2", "n", F.col("rep").alias("id")), ["f1", "f2", "n", "id"], "left_semi").dropDuplicates(["f1", "f2", "n", "id"])
     firsts = settled(firsts.select("id", "n", "sketch", "nodes"), "firsts")
@@ -232,8 +311,10 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, part: int = 85, whole:
     roots = settled(components(links), "roots")
 
     placed = settled(shared.select("node", "leaf", "id", "n").join(roots.withColumnRenamed("node", "id"), "id", "left").select("node", "leaf", "id", "n", F.coalesce("root", "id").alias("comp")), "members")
-    blocks = blocked(placed, settled(unsettled(placed), "unsettled"))
-    found = compared(blocks.join(firsts.select("id", "n", "sketch", "nodes"), ["id", "n"]), part, whole)
+    blocks, gone = opened(placed, firsts, branches(part / whole))
+    sketched = firsts if gone is None else apart(firsts, gone)
+    found = compared(blocks.join(sketched.select("id", "n", "sketch", "nodes"), ["id", "n"]), part, whole)
+    found = found if gone is None else found.distinct()
     found = settled(found.join(stars, ["a", "b"], "left_anti"), "pairs")
     if not found.isEmpty():
         roots = settled(components(links.union(confirmed(found, rows, shingle, part, whole))), "roots")

@@ -1,0 +1,46 @@
+"""Large nodes, keys of rows, text lengths: where operators once did less than the whole job."""
+
+from __future__ import annotations
+
+import random
+
+import brute
+import pytest
+from samples import frame
+
+from meterlark.llm import near_dedup
+
+
+def families(seed, common, own, groups, changed):
+    """Documents of common and own words, two of each group; the second has some of its words changed."""
+    rng = random.Random(seed)
+    rows = []
+    for g in range(groups):
+        words = [f"c{i}" for i in range(common)] + [f"g{g}w{i}" for i in range(own)]
+        other = list(words)
+        for _ in range(changed):
+            other[rng.randrange(len(other))] = f"x{rng.randrange(10**6)}"
+        rows += [(2 * g, " ".join(words)), (2 * g + 1, " ".join(other))]
+    return rows
+
+
+def test_large_nodes_branch_and_lose_nothing(spark, monkeypatch):
+    levels = []
+    real = near_dedup.branched
+    monkeypatch.setattr(near_dedup, "NODE", 8)
+    monkeypatch.setattr(near_dedup, "branched", lambda *a: levels.append(1) or real(*a))
+    rows = families(3, 60, 60, 120, 1)
+    got = {r["doc_id"]: r["component_id"] for r in near_dedup.near_duplicates(frame(spark, rows)).collect()}
+    assert len(levels) > 1
+    assert got == {i: c for i, _, c, _ in brute.near(rows)}
+
+
+@pytest.mark.parametrize("part", [80, 85])
+def test_pairs_are_missed_as_rarely_as_said(part):
+    trees, levels = near_dedup.shape(part, 100)
+    assert near_dedup.missed(part / 100, trees, levels) <= 1.5e-5
+    for n in (near_dedup.FIRST, near_dedup.COORDINATES):
+        from math import comb
+
+        p = part / 100 + (1 - part / 100) / 256
+        assert sum(comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(near_dedup.needed(part, 100, n))) <= 1e-5
