@@ -44,3 +44,10 @@ def test_pairs_are_missed_as_rarely_as_said(part):
 
         p = part / 100 + (1 - part / 100) / 256
         assert sum(comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(near_dedup.needed(part, 100, n))) <= 1e-5
+
+
+def test_a_lower_similarity_gets_more_trees(spark):
+    rows = families(5, 10, 110, 60, 4)
+    got = {r["doc_id"]: r["component_id"] for r in near_dedup.near_duplicates(frame(spark, rows), part=80).collect()}
+    assert got == {i: c for i, _, c, _ in brute.near(rows, 80, 100)} != {i: c for i, _, c, _ in brute.near(rows)}
+    assert near_dedup.shape(80, 100)[0] > near_dedup.shape(85, 100)[0]
