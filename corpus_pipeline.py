@@ -22,17 +22,38 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return docs.where(~language_of(F.col("text"), fit_centroids(docs))["rejected"])
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """docs with `_key`: the id where one row alone has it, else a hash of id and text, so that only equal rows share a key."""
+    shared = settled(docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1 or doc_id is null").select(F.col("doc_id").alias("_id"), F.lit(True).alias("_shared")), "shared")
+    if shared.isEmpty():
+        return docs.withColumn("_key", F.col("doc_id").cast("long"))
+    own = docs.join(shared.where("_id is not null"), F.col("doc_id") == F.col("_id"), "left").drop("_id")
+    return own.withColumn("_key", F.when(F.col("doc_id").isNull() | F.col("_shared"), F.xxhash64("doc_id", "text")).otherwise(F.col("doc_id").cast("long"))).drop("_shared")
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays: the one with the smallest id."""
-    kept = near_duplicates(docs).where("kept").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    """One row of each group of near-duplicates stays: the one with the smallest id (a null id is the largest).
+
+    Rows are tied by their texts alone, whatever their ids; of equal rows one stays.  Rows without words all stay.
+    """
+    rows = keyed(docs)
+    found = near_duplicates(rows, id_col="_key").select(F.col("doc_id").alias("_key"), "n_shingles", "component_id")
+    groups = settled(found.groupBy("_key", "n_shingles", "component_id").agg(F.count(F.lit(1)).alias("_n")), "groups")
+    ids = rows.select("_key", "doc_id").distinct()
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("_null"), "doc_id", "_key", "n_shingles", "_n"))
+    kept = settled(groups.join(ids, "_key").groupBy("component_id").agg(first.alias("_f")).select("_f._key", (F.expr("_f._n > 1 and _f.n_shingles > 0")).alias("_equal")), "kept")
+    left = rows.join(kept.where("not _equal").select("_key"), "_key", "left_semi")
+    if not kept.where("_equal").isEmpty():
+        left = left.unionByName(rows.join(kept.where("_equal").select("_key"), "_key", "left_semi").dropDuplicates(["_key"]))
+    return left.select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold benchmark passages go."""
+    """Rows that hold benchmark passages go, and only they: other rows of their id stay."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    dirty = decontaminate(docs, benchmark).where("contaminated").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(dirty, F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti")
+    rows = keyed(docs)
+    dirty = decontaminate(rows, benchmark, id_col="_key").where("contaminated").select(F.col("doc_id").alias("_key")).distinct()
+    return rows.join(dirty, "_key", "left_anti").select(*docs.columns)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

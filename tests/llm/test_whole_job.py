@@ -6,8 +6,9 @@ import random
 
 import brute
 import pytest
-from samples import frame
+from samples import BASE, PASSAGE, frame
 
+import corpus_pipeline
 from meterlark.llm import near_dedup
 
 
@@ -51,3 +52,15 @@ def test_a_lower_similarity_gets_more_trees(spark):
     got = {r["doc_id"]: r["component_id"] for r in near_dedup.near_duplicates(frame(spark, rows), part=80).collect()}
     assert got == {i: c for i, _, c, _ in brute.near(rows, 80, 100)} != {i: c for i, _, c, _ in brute.near(rows)}
     assert near_dedup.shape(80, 100)[0] > near_dedup.shape(85, 100)[0]
+
+
+def test_stages_tell_rows_apart(spark, tmp_path):
+    """Null and repeated ids tie nothing and drop nothing by themselves; copies go whatever their ids."""
+    other, third, fourth = (BASE.replace("word", w) for w in ("other", "third", "fourth"))
+    rows = [(1, BASE), (None, BASE), (None, other), (2, other), (None, third), (None, third), (3, fourth), (3, fourth), (3, PASSAGE), (4, ""), (4, "")]
+    stay = corpus_pipeline.near_dedup(spark, frame(spark, rows), "").select("doc_id", "text").collect()
+    assert sorted(map(tuple, stay), key=repr) == sorted([(1, BASE), (2, other), (None, third), (3, fourth), (3, PASSAGE), (4, ""), (4, "")], key=repr)
+    spark.createDataFrame([(1, PASSAGE)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = [(None, PASSAGE), (None, BASE), (3, PASSAGE), (3, other), (3, other), (5, third)]
+    stay = corpus_pipeline.decontamination(spark, frame(spark, rows), str(tmp_path)).select("doc_id", "text").collect()
+    assert sorted(map(tuple, stay), key=repr) == sorted([(None, BASE), (3, other), (3, other), (5, third)], key=repr)
