@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import os
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -13,6 +14,8 @@ SCHEMA = "path string, line_no long, value string"
 #: Bytes read at once; and bytes of one file in one partition, cut at line ends.
 BLOCK = 1 << 20
 SPAN = 64 << 20
+#: Bytes before an offset that tell whether the file is still the one read: more than the 64 of the reference, as lines may end alike.
+TAIL = 4096
 
 
 @dataclass
@@ -80,8 +83,26 @@ class _Batch(DataSourceReader):
         yield from lines_of(partition)
 
 
+def tail_hash(path: str, place: int) -> str:
+    """A hash of the TAIL bytes before a place: another one tells that the file was rewritten."""
+    with open(path, "rb") as f:
+        begin = max(0, place - TAIL)
+        f.seek(begin)
+        return hashlib.blake2b(f.read(place - begin), digest_size=8).hexdigest()
+
+
+def rewritten(path: str, place: int, tail: str) -> bool:
+    try:
+        return tail_hash(path, place) != tail
+    except FileNotFoundError:
+        return False
+
+
 class _Stream(DataSourceStreamReader):
-    """Offsets: file to [inode, place after the last complete line].  A file that shrank or was put in place anew is read from its start."""
+    """Offsets: file to [inode, place after the last complete line, hash of the bytes before it].
+
+    A file that shrank, was put in place anew, or was rewritten in place (other bytes before the last place) is read from its start.
+    """
 
     def __init__(self, roots: list[str]):
         self.roots, self.known = roots, {}
@@ -95,7 +116,11 @@ class _Stream(DataSourceStreamReader):
             try:
                 at = os.stat(path)
                 was = self.known.get(path)
-                out[path] = was[1] if was and was[0] == (at.st_ino, at.st_size, at.st_mtime_ns) else [at.st_ino, last_line_end(path, at.st_size)]
+                if was and was[0] == (at.st_ino, at.st_size, at.st_mtime_ns):
+                    out[path] = was[1]
+                    continue
+                place = last_line_end(path, at.st_size)
+                out[path] = [at.st_ino, place, tail_hash(path, place)]
                 self.known[path] = ((at.st_ino, at.st_size, at.st_mtime_ns), out[path])
             except FileNotFoundError:
                 continue
@@ -103,9 +128,12 @@ class _Stream(DataSourceStreamReader):
 
     def partitions(self, start, end):
         out = []
-        for path, (inode, place) in sorted(end.items()):
-            node, begin = start.get(path, (inode, 0))
-            out += pieces(path, begin if node == inode and begin <= place else 0, place)
+        for path, (inode, place, *tail) in sorted(end.items()):
+            node, begin, *was = start.get(path, (inode, 0))  # offsets of older checkpoints have no hash
+            if [node, begin, *was] == [inode, place, *tail]:
+                continue
+            kept = node == inode and begin <= place and not (was and rewritten(path, begin, was[0]))
+            out += pieces(path, begin if kept else 0, place)
         return out or [Piece(os.devnull, 0, 0)]
 
     def read(self, partition):

@@ -182,3 +182,21 @@ def test_ledger(spark, tmp_path):
     rows = read_ledger(spark, path)
     assert sorted(r["key"] for r in rows.collect()) == [-7, 5, 2**60]
     assert [plain(tuple(r)) for r in only_in_ledger(rows, spark.createDataFrame([(5,)], "key long")).collect()] == [["claude", 2]]
+
+
+def test_a_file_rewritten_in_place_is_read_anew(spark, tmp_path):
+    root, log, check = tmp_path / "projects", str(tmp_path / "log"), str(tmp_path / "check")
+    root.mkdir()
+    path = root / "a.jsonl"
+    expected = set()
+    for numbers in (range(3), range(3, 9), range(9, 15), range(15, 21)):  # the second is longer than the first, the others as long as it
+        text = "".join(line_a(100 + i) + "\n" for i in numbers)
+        with open(path, "r+" if path.exists() else "w") as f:  # the inode stays
+            f.write(text)
+        expected |= {ledger_key_of(f"c\x1fr{100 + i}\x1fm{100 + i}") for i in numbers}
+        assert ingest.follow(spark, [str(root)], log, check, provider="a").awaitTermination(120)
+        assert {r["key"] for r in spark.read.parquet(log).select("key").collect()} == expected
+    with open(path, "a") as f:
+        f.write(line_a(200) + "\n")
+    assert ingest.follow(spark, [str(root)], log, check, provider="a").awaitTermination(120)
+    assert spark.read.parquet(log).count() == len(expected) + 1
