@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import zlib
-from bisect import bisect_left, insort
+from bisect import insort
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -40,8 +40,8 @@ def cut_pieces(docs: DataFrame, vocabulary: str, *, size: int = 2048, end_id: in
 def patterns(histogram: dict[int, int], size: int) -> list[tuple[tuple[int, ...], int]]:
     """Packing patterns and how often each is used, for counts of pieces by length.
 
-    Lengths are placed longest first.  A length goes to the open packs with the least room that
-    takes it, then to the next, and opens new packs for what is left; packs that are
+    Lengths are placed longest first.  A length goes to the shortest open packs, those with the
+    most room, then to the next, and opens new packs for what is left; packs that are
     alike are one pattern with a count, so work follows the lengths and not the pieces.
     """
     done: list[tuple[tuple[int, ...], int]] = []
@@ -60,18 +60,17 @@ def patterns(histogram: dict[int, int], size: int) -> list[tuple[tuple[int, ...]
     for length in sorted(histogram, reverse=True):
         left = histogram[length]
         while left:
-            at = bisect_left(rooms, length)
-            if at == len(rooms):
+            if not rooms or rooms[-1] < length:
                 each = size // length  # a new pack may take several of this length
                 if left >= each:
                     put((length,) * each, left // each, size - each * length)
                 if left % each:
                     put((length,) * (left % each), 1, size - (left % each) * length)
                 break
-            room = rooms[at]
+            room = rooms[-1]
             pattern, count = open_[room].pop()
             if not open_[room]:
-                del open_[room], rooms[at]
+                del open_[room], rooms[-1]
             used = min(count, left)
             if count > used:
                 put(pattern, count - used, room)

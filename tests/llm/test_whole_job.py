@@ -10,6 +10,7 @@ from samples import BASE, PASSAGE, frame
 
 import corpus_pipeline
 from meterlark.llm import near_dedup
+from meterlark.llm.packing import patterns
 
 
 def families(seed, common, own, groups, changed):
@@ -64,3 +65,7 @@ def test_stages_tell_rows_apart(spark, tmp_path):
     rows = [(None, PASSAGE), (None, BASE), (3, PASSAGE), (3, other), (3, other), (5, third)]
     stay = corpus_pipeline.decontamination(spark, frame(spark, rows), str(tmp_path)).select("doc_id", "text").collect()
     assert sorted(map(tuple, stay), key=repr) == sorted([(None, BASE), (3, other), (3, other), (5, third)], key=repr)
+
+
+def test_the_shortest_pack_comes_first():
+    assert sorted(patterns({60: 1, 50: 1, 40: 1}, 100)) == [((50, 40), 1), ((60,), 1)]
