@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from meterlark.llm._shared import slices
-from meterlark.llm._spans import Span, free_of, listed
+from meterlark.llm._spans import Span, listed
 
 ORDER = {"assign": 0, "access": 1, "hex": 2, "entropy": 3}
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -20,11 +20,12 @@ NAMED = ("passw", "secret", "token", "api")
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
-#: Known harmless shapes: digits alone, dates and UUIDs, words joined by marks, paths, one repeated unit.
+#: Known harmless shapes: digits alone, dates and UUIDs, letters of one case, words (capitals within, too) joined by marks, paths, one repeated unit.
 ALLOWED = [
     re.compile(r"[0-9_=+/-]+"),
     re.compile(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}"),
-    re.compile(r"[A-Za-z+/_=-]+"),
+    re.compile(r"[a-z+/_=-]+|[A-Z+/_=-]+"),
+    re.compile(r"(?:[+/_=-]++|[A-Z]*+[a-z]{2,}+|[A-Z][a-z](?=[+/_=-]|$|(?:[A-Z][a-z])?[A-Z][a-z]{3})|[A-Z]{2,}+|(?<![A-Za-z])[A-Za-z](?![A-Za-z]))++"),  # linear: nothing is tried anew
     re.compile(r"(.{1,8}?)\1+.{0,7}"),
 ]
 #: (class, characters, least entropy in bits of a full window): per character class.
@@ -73,7 +74,7 @@ def entropy_spans(text: str) -> list[Span]:
     out: list[Span] = []
     for m in CANDIDATE.finditer(text):
         found = m[0]
-        if any(x.fullmatch(found) for x in ALLOWED) or not any(c.isdigit() for c in found):
+        if any(x.fullmatch(found) for x in ALLOWED):
             continue
         characters = set(found)
         least = next(bits for _, allowed, bits in CLASSES if characters <= allowed)
@@ -82,6 +83,18 @@ def entropy_spans(text: str) -> list[Span]:
     return out
 
 
+def uncovered(span: Span, known: list[Span]) -> list[Span]:
+    """The parts of a span that no known span covers."""
+    kind, at, end = span
+    out: list[Span] = []
+    for _, a, b in sorted(known, key=lambda s: s[1:]):
+        if a < end and b > at:
+            if a > at:
+                out.append((kind, at, a))
+            at = b
+    return [*out, (kind, at, end)] if at < end else out
+
+
 KINDS = ("assign", "access", "hex")
 
 
@@ -97,7 +110,7 @@ def secrets_of(text: Column, redact: bool = False) -> Column:
             base, every, masked = [], [], []
             for x in part.column("text").to_pylist():
                 known = base_spans(x or "")
-                spans = known + [s for s in entropy_spans(x or "") if free_of(s[1:], known)]
+                spans = known + [part for s in entropy_spans(x or "") for part in uncovered(s, known)]
                 for n, kind in zip(counts, KINDS, strict=True):
                     n.append(sum(s[0] == kind for s in known))
                 base.append(listed(known, ORDER))
@@ -113,7 +126,7 @@ def secrets_of(text: Column, redact: bool = False) -> Column:
 def scan_secrets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", redact: bool = False) -> DataFrame:
     """One row per input row: doc_id, n_assign, n_access, n_hex, base (spans as text), spans (base and entropy spans).
 
-    Spans count code points, end exclusive; entropy spans overlap no base span.  redact adds `redacted`: the text
+    Spans count code points, end exclusive; entropy spans are cut where base spans lie.  redact adds `redacted`: the text
     with each span (overlaps merged) replaced by `[SECRET]`, null where the text is null.
     Null text: empty, no spans.  Null ids stay null; repeated rows repeat; an empty table gives an empty one; other
     columns are ignored.  Whole texts are scanned, in time linear in their length.  Map-only.
