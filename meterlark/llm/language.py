@@ -15,9 +15,13 @@ from meterlark.llm._shared import slices, text_bytes
 from meterlark.llm._words import BLANK
 
 #: Hashed features: trigrams of bytes of the text in lower case, each run of white space as one space.
-WIDTH = 4096
+WIDTH = 1 << 14
 #: Texts turned into vectors at once.
-BLOCK = 256
+BLOCK = 64
+#: Classes of length (powers of two of a text's trigrams), cosines told apart, and rows that a class's line is drawn from at least.
+LENGTHS, STEPS, ENOUGH = 40, 1000, 200
+#: The line stands at this part of the labelled rows' own cosine, as texts not learned from (cut ones, say) lie lower.
+MARGIN = 2 / 3
 UNKNOWN = "und"
 
 
@@ -32,11 +36,31 @@ def grams(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     b = np.where(blank, np.uint8(32), data)[keep].astype(np.uint32)
     if len(b) < 3:
         return np.zeros((n, WIDTH), np.float32)
-    h = ((b[:-2] << np.uint32(16) | b[1:-1] << np.uint32(8) | b[2:]) * np.uint32(0x9E3779B1)) >> np.uint32(20)
+    h = ((b[:-2] << np.uint32(16) | b[1:-1] << np.uint32(8) | b[2:]) * np.uint32(0x9E3779B1)) >> np.uint32(33 - WIDTH.bit_length())
     same = doc[:-2] == doc[2:]
     return np.bincount(doc[2:][same] * WIDTH + h[same], minlength=n * WIDTH).reshape(n, WIDTH).astype(np.float32)
 
 
+def lengths(counts: np.ndarray) -> np.ndarray:
+    """The class of length of each row of counts."""
+    return np.minimum(np.log2(counts.sum(axis=1, dtype=np.float64) + 1).astype(np.int64), LENGTHS - 1)
+
+
+def lines(histogram: np.ndarray, part: float) -> np.ndarray:
+    """For each class of length the cosine below which at most that part of the rows lies, of a histogram by class and cosine.
+
+    A class with fewer than ENOUGH rows takes its neighbours in, one on each side at a time.
+    """
+    out = np.zeros(LENGTHS)
+    for c in range(LENGTHS):
+        near = 0
+        while histogram[max(0, c - near) : c + near + 1].sum() < ENOUGH and near < LENGTHS:
+            near += 1
+        upto = np.cumsum(histogram[max(0, c - near) : c + near + 1].sum(axis=0))
+        out[c] = int(np.searchsorted(upto, part * upto[-1], side="right")) / STEPS if upto[-1] else 0.0
+    return out
+
+
 def blocks(part: pa.RecordBatch):
     """(first row, counts) of BLOCK texts at a time."""
     data, offsets = text_bytes(pc.utf8_lower(part.column("text")))
@@ -72,7 +96,7 @@ class Centroids:
     languages: list[str]  # of each centroid
     vectors: np.ndarray
     idf: np.ndarray
-    least: float  # cosine below which a text is rejected
+    least: np.ndarray  # cosine below which a text is rejected, by class of length
 
     def nearest(self, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         close = weighed(counts, self.idf) @ self.vectors.T
@@ -80,13 +104,14 @@ class Centroids:
         return best, np.clip(close[np.arange(len(best)), best], 0, 1)
 
 
-def fit_centroids(labelled: DataFrame, *, per_language: int = 3, sample: int = 2000, reject: float = 0.25, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id") -> Centroids:
+def fit_centroids(labelled: DataFrame, *, per_language: int = 3, sample: int = 2000, reject: float = 0.005, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id") -> Centroids:
     """Centroids of the labelled rows (null text or lang: left out).
 
     Document frequencies cover all labelled rows, summed by feature in Spark; the driver gets one number per feature.
     Centroids are clustered from a bounded sample, the one place where rows are sampled: about
     `sample` rows in all (an equal share per language), picked by a hash of id and text, as hashed
-    vectors.  reject: a text is rejected below this part of the 1st percentile of the sample's own cosines.
+    vectors.  reject: a text is rejected below MARGIN of the cosine that this part of the labelled rows of its length stay below
+    (all labelled rows are scored; the driver gets their numbers by class of length and cosine).
     """
     rows = labelled.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).where("text is not null and lang is not null")
     spark = labelled.sparkSession
@@ -104,7 +129,7 @@ def fit_centroids(labelled: DataFrame, *, per_language: int = 3, sample: int = 2
     sizes = {k[1:]: n for k, n in sorted(found.items()) if k[0] == "l"}
     idf = np.log((1 + sum(sizes.values())) / (1 + np.array([found.get(f"f{i}", 0) for i in range(WIDTH)]))).astype(np.float32) + 1
     if not sizes:
-        return Centroids([], np.zeros((0, WIDTH), np.float32), idf, 0.0)
+        return Centroids([], np.zeros((0, WIDTH), np.float32), idf, np.zeros(LENGTHS))
     share = max(2, sample // len(sizes))
     wanted = spark.createDataFrame([(k, min(1.0, share / n)) for k, n in sizes.items()], "lang string, _share double")
     picked = rows.join(F.broadcast(wanted), "lang").where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_003)) < F.ceil(F.col("_share") * 1_000_003)).select("lang", "text")
@@ -116,17 +141,33 @@ def fit_centroids(labelled: DataFrame, *, per_language: int = 3, sample: int = 2
 
     got = picked.mapInArrow(vectors, "lang string, vector binary").toPandas()  # about `sample` rows of 8 KB
     got = got.sort_values(["lang", "vector"])
-    languages, centres, own = [], [], []
+    languages, centres = [], []
     for lang, part in got.groupby("lang", sort=True):
         x = np.stack([np.frombuffer(v, np.float16) for v in part["vector"]]).astype(np.float32) * idf
         x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
         made = clustered(x, per_language)
-        own.append((x @ made.T).max(axis=1))
         languages += [str(lang)] * len(made)
         centres.append(made)
     if not centres:
-        return Centroids([], np.zeros((0, WIDTH), np.float32), idf, 0.0)
-    return Centroids(languages, np.concatenate(centres).astype(np.float32), idf, reject * float(np.quantile(np.concatenate(own), 0.01)))
+        return Centroids([], np.zeros((0, WIDTH), np.float32), idf, np.zeros(LENGTHS))
+    model = Centroids(languages, np.concatenate(centres).astype(np.float32), idf, np.zeros(LENGTHS))
+
+    def cosines(batches):
+        seen = np.zeros(LENGTHS * STEPS, np.int64)
+        for part in slices(batches, "text"):
+            for at, counts in blocks(part):
+                _, close = model.nearest(counts)
+                lettered = np.array([any(map(str.isalpha, x)) for x in part.column("text").slice(at, len(counts)).to_pylist()], bool)
+                cell = lengths(counts) * STEPS + np.minimum((close * STEPS).astype(np.int64), STEPS - 1)
+                seen += np.bincount(cell[lettered], minlength=len(seen))
+        at = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(seen[at], pa.int64())], names=["cell", "n"])
+
+    histogram = np.zeros(LENGTHS * STEPS, np.int64)
+    for r in rows.select("text").mapInArrow(cosines, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect():  # at most LENGTHS * STEPS rows
+        histogram[r["cell"]] = r["n"]
+    model.least = MARGIN * lines(histogram.reshape(LENGTHS, STEPS), reject)
+    return model
 
 
 def language_of(text: Column, model: Centroids) -> Column:
@@ -143,9 +184,10 @@ def language_of(text: Column, model: Centroids) -> Column:
             rejected += [True] * len(texts)
             for at, counts in blocks(part) if model.languages else ():
                 best, close = model.nearest(counts)
-                for i, (j, score) in enumerate(zip(best.tolist(), close.tolist(), strict=True), at):
+                far = close < model.least[lengths(counts)]
+                for i, (j, score, out) in enumerate(zip(best.tolist(), close.tolist(), far.tolist(), strict=True), at):
                     if any(map(str.isalpha, texts[i] or "")):
-                        langs[first + i], scores[first + i], rejected[first + i] = model.languages[j], score, score < model.least
+                        langs[first + i], scores[first + i], rejected[first + i] = model.languages[j], score, out
         return pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(rejected, pa.bool_())], names=["lang_pred", "score", "rejected"])
 
     return work(text)

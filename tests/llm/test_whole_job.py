@@ -6,10 +6,13 @@ import random
 
 import brute
 import pytest
+from conftest import SMALL
+from pyspark.sql import functions as F
 from samples import BASE, PASSAGE, frame
 
 import corpus_pipeline
 from meterlark.llm import near_dedup, secrets
+from meterlark.llm.language import fit_centroids, identify_language
 from meterlark.llm.packing import patterns
 
 
@@ -67,6 +70,19 @@ def test_stages_tell_rows_apart(spark, tmp_path):
     assert sorted(map(tuple, stay), key=repr) == sorted([(None, BASE), (3, other), (3, other), (5, third)], key=repr)
 
 
+def test_random_letters_and_unlearned_scripts_are_rejected_at_any_length(spark):
+    docs = spark.read.parquet(SMALL.replace("0.001", "0.01") + "/documents.parquet")
+    model, rng = fit_centroids(docs), random.Random(1)
+    scripts = ["abcdefghijklmnopqrstuvwxyz", "αβγδεζηθικλμνξοπρστυφχψω", [chr(0x4E00 + i) for i in range(3000)], "абвгдежзийклмнопрстуфхцчшщъыьэюя"]
+    text = lambda letters, n: " ".join("".join(rng.choice(letters) for _ in range(rng.randint(2, 9))) for _ in range(n))
+    odd = [(100 * k + j, text(letters, n)) for k, letters in enumerate(scripts) for j, n in enumerate((50, 50, 300, 300, 2000))]
+    assert all(r["rejected"] for r in identify_language(frame(spark, odd), model).collect())
+    clean = docs.where("lang is not null and text rlike '[a-z]'").withColumn("short", F.substring("text", 1, 300))
+    for column in ("text", "short"):
+        found = [r["rejected"] for r in identify_language(clean, model, text_col=column).collect()]
+        assert sum(found) <= 0.02 * len(found), column
+
+
 def test_the_shortest_pack_comes_first():
     assert sorted(patterns({60: 1, 50: 1, 40: 1}, 100)) == [((50, 40), 1), ((60,), 1)]
 
