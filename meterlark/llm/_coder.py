@@ -2,8 +2,8 @@
 
 A text is cut where a space or other white space follows a non-space character.
 The pre-tokeniser never joins across such a place, so each chunk (white space and
-the characters after it) is encoded on its own.  A chunk's pre-tokens that are proven to be
-one token are looked up; only the others are merged.  Chunks are remembered in a
+the characters after it) is encoded on its own.  A chunk that is proven to be one token is looked up;
+every other one is merged whole, with those of its pre-tokens that are one token.  Chunks are remembered in a
 bounded table per worker process.
 """
 
