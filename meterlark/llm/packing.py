@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from meterlark.llm._coder import coder
-from meterlark.llm._shared import partitions, settled, slices
+from meterlark.llm._coder import Coder, proven
+from meterlark.llm._shared import give_back, partitions, settled, slices
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
@@ -20,9 +20,10 @@ def cut_pieces(docs: DataFrame, vocabulary: str, *, size: int = 2048, end_id: in
     """Each document's ids (with end_id after them) cut at multiples of size: full pieces and one tail."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     end = end_id.to_bytes(4, "little")
+    sent = docs.sparkSession.sparkContext.broadcast(proven(vocabulary))  # about a megabyte, whatever the input
 
     def work(batches):
-        ids_of = coder(vocabulary).ids
+        ids_of = Coder(sent.value).ids
         for part in slices(batches, "text"):
             out: tuple[list, ...] = ([], [], [], [], [])
             for doc, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist(), strict=True):
@@ -33,6 +34,8 @@ def cut_pieces(docs: DataFrame, vocabulary: str, *, size: int = 2048, end_id: in
                     for column, value in zip(out, (doc, start, len(piece) // 4, zlib.crc32(piece), n), strict=True):
                         column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
+        del ids_of
+        give_back()
 
     return rows.mapInArrow(work, PIECES)
 
@@ -102,18 +105,21 @@ def pack(docs: DataFrame, vocabulary: str, *, size: int = 2048, end_id: int = 1,
     stay null; repeated rows are packed each; an empty table gives no pieces; other columns are ignored.
 
     The pieces (few numbers each) are written once to the shared folder.  The driver sees
-    the histogram (at most size rows) and its patterns only.  Ranks within a length are made by salt:
-    a length that holds any share of all pieces is numbered in as many tasks as there are partitions.
+    the histogram (at most size rows) and its patterns only.  Each piece is numbered as it is written, and ranks within a length are made by that number's salt:
+    a length that holds any share of all pieces is numbered in as many tasks as there are partitions, and joined with its places
+    by blocks of ranks, so that none of the steps has a length as a key of its own.
     """
     spark = docs.sparkSession
-    pieces = settled(cut_pieces(docs, vocabulary, size=size, end_id=end_id, id_col=id_col, text_col=text_col), "pieces")
-    salted = pieces.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(partitions(spark))))
+    pieces = settled(cut_pieces(docs, vocabulary, size=size, end_id=end_id, id_col=id_col, text_col=text_col).withColumn("_row", F.monotonically_increasing_id()), "pieces")
+    salted = pieces.withColumn("_salt", F.pmod("_row", F.lit(partitions(spark))))
     counts = salted.groupBy("length", "_salt").agg(F.count(F.lit(1)).alias("_n"))
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("_n").alias("n")).collect()}  # at most `size` rows
     before = counts.select("length", "_salt", (F.sum("_n").over(W.partitionBy("length").orderBy("_salt")) - F.col("_n")).alias("_before"))
-    places = spark.createDataFrame(slots(patterns(histogram, size)), "_length long, _lo long, _hi long, _sequence long, offset long")
-    ranked = salted.withColumn("_in", F.row_number().over(W.partitionBy("length", "_salt").orderBy("doc_id", "start", "ids_crc32")) - 1)
-    ranked = ranked.join(before, ["length", "_salt"]).withColumn("_rank", F.col("_before") + F.col("_in"))
-    return ranked.join(places, (F.col("length") == F.col("_length")) & (F.col("_rank") >= F.col("_lo")) & (F.col("_rank") < F.col("_hi"))).select(
+    block = max(1, -(-sum(histogram.values()) // partitions(spark)))  # ranks of one length that are joined in one group
+    places = spark.createDataFrame(slots(patterns(histogram, size)), "length long, _lo long, _hi long, _sequence long, offset long")
+    places = places.withColumn("_block", F.explode(F.sequence(F.floor(F.col("_lo") / block), F.floor((F.col("_hi") - 1) / block))))
+    ranked = salted.withColumn("_in", F.row_number().over(W.partitionBy("length", "_salt").orderBy("_row")) - 1)
+    ranked = ranked.join(before, ["length", "_salt"]).withColumn("_rank", F.col("_before") + F.col("_in")).withColumn("_block", F.floor(F.col("_rank") / block))
+    return ranked.join(places, ["length", "_block"]).where("_rank >= _lo and _rank < _hi").select(
         "doc_id", "start", "length", "ids_crc32", "doc_tokens", (F.col("_sequence") + F.col("_rank") - F.col("_lo")).alias("sequence_id"), "offset"
     )
