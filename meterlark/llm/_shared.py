@@ -6,6 +6,8 @@ import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -16,19 +18,47 @@ SLICE_BYTES = 4 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one of our own where it is unset."""
+    """The folder all executors share: spark.checkpoint.dir.  Where it is unset, a temporary one, in local mode alone."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="meterlark-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
 
 
-def settled(df: DataFrame, label: str) -> DataFrame:
-    """df written once as a table in the shared folder and read back: lineage ends there, lost executors cost nothing."""
+#: Working tables of the innermost open scratch(): those that go when it ends, and those that go with the block around it.
+_OPEN: ContextVar[tuple[list[str], list[str]] | None] = ContextVar("scratch", default=None)
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """Tables settled inside go when the block ends without an error; kept ones go with the block around it, if any."""
+    around, own = _OPEN.get(), ([], [])
+    token = _OPEN.set(own)
+    try:
+        yield
+    finally:
+        _OPEN.reset(token)
+    gone, kept = own
+    for path in gone:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    if around is not None:
+        around[0].extend(kept)
+
+
+def settled(df: DataFrame, label: str, keep: bool = False) -> DataFrame:
+    """df written once as a table in the shared folder and read back: lineage ends there, lost executors cost nothing.
+
+    keep: the result of the scratch() block around it reads the table.
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/meterlark/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if (own := _OPEN.get()) is not None:
+        own[keep].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -66,12 +96,12 @@ def give_back() -> None:
         _TRIM(0)
 
 
-def slices(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[pa.RecordBatch]:
-    """The batches in slices of bounded text, so that memory doesn't follow the batch size; given back after each batch."""
+def slices(batches: Iterator[pa.RecordBatch], *texts: str) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of bounded text (of all named columns), so that memory doesn't follow the batch size; given back after each batch."""
     for batch in batches:
         if not batch.num_rows:
             continue
-        _, offsets = text_bytes(batch.column(text))
+        offsets = sum(text_bytes(batch.column(c))[1] for c in texts)
         at = 0
         while at < batch.num_rows:
             to = int(np.searchsorted(offsets, offsets[at] + SLICE_BYTES, side="right")) - 1

@@ -65,7 +65,7 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_pii(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", hashed(F.col("base")).alias("base_sha256"), "spans")
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", hashed(F.col("base")).alias("base_sha256"), "spans", "n_spans")
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,7 +74,7 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    held_out = F.crc32(F.encode(F.col("doc_id").cast("string"), "UTF-8")) % 4 == 2
+    held_out = F.coalesce(F.crc32(F.encode(F.col("doc_id").cast("string"), "UTF-8")) % 4 == 2, F.lit(False))
     model = fit_centroids(docs.where(~held_out))
     found = identify_language(docs, model)
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "rejected")
@@ -86,14 +86,14 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = scan_secrets(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", "n_assign", "n_access", "n_hex", hashed(F.col("base")).alias("base_sha256"), "spans")
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", hashed(F.col("base")).alias("base_sha256"), "spans", "n_spans")
 
 
 QUERIES = {f.__name__: f for f in (op1_token_counts, op2_substring_dedup, op3_near_dedup, op4_url_filters, op5_decontamination, op6_personal_data, op7_quality_rules, op8_language_id, op9_packing, op10_secret_scans)}
 
 SQL: dict[str, str] = {
     "op4_url_filters": r"""
-with pages_ as (select page_id, nullif(rtrim(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)', 1)), '.'), '') as host,
+with pages_ as (select page_id, nullif(rtrim(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?(\[[0-9A-Fa-f:.]+\]|[^/?#:@\[\]]+)', 1)), '.'), '') as host,
                        date '2024-01-01' + (page_id * 7919 % 365)::int as seen from pages),
 hosts as (select distinct host as domain from pages_ where host is not null),
 domains as (select distinct array_to_string(list_slice(string_split(domain, '.'), -2, -1), '.') as domain from hosts),

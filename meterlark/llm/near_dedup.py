@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meterlark.llm._shared import give_back, partitions, settled, slices, text_bytes
+from meterlark.llm._shared import give_back, partitions, scratch, settled, slices, text_bytes
 from meterlark.llm._words import Words, ascii_lower, mixed
 from meterlark.llm.components import components
 
@@ -127,7 +127,7 @@ def confirmed(pairs: DataFrame, rows: DataFrame, k: int, part: int, whole: int)
     joined = pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b").join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a").select("a", "b", "text_a", "text_b")
 
     def work(batches):
-        for batch in slices(batches, "text_b"):
+        for batch in slices(batches, "text_a", "text_b"):
             (h, _, size), (g, _, other) = shingle_sets(batch.column("text_a"), k), shingle_sets(batch.column("text_b"), k)
             x, y, keep = np.concatenate([[0], np.cumsum(size)]), np.concatenate([[0], np.cumsum(other)]), []
             for i in range(batch.num_rows):
@@ -292,34 +292,35 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, part: int = 85, whole:
     Empty tables give no rows; other columns are ignored.
     """
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("id"), F.col(text_col).cast("string").alias("text"))
-    every = settled(sketch(rows, shingle, *shape(part, whole)), "sketches")
-    sets = settled(every.where("n > 0").groupBy("f1", "f2", "n").agg(F.min("id").alias("rep")), "sets")
-    firsts = every.where("n > 0").join(sets.select("f1", "f2", "n", F.col("rep").alias("id")), ["f1", "f2", "n", "id"], "left_semi").dropDuplicates(["f1", "f2", "n", "id"])
-    firsts = settled(firsts.select("id", "n", "sketch", "nodes"), "firsts")
-    members = firsts.select("id", "n", F.posexplode("nodes").alias("leaf", "node"))
-    nodes = settled(members.groupBy("node").agg(F.min("id").alias("pivot"), F.count(F.lit(1)).alias("size")).where("size > 1"), "nodes")
-    shared = members.join(nodes, "node")
-    stars = shared.where("id != pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
-    sizes = firsts.groupBy("id").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
-    stars = stars.join(sizes.select(F.col("id").alias("a"), F.col("lo").alias("_lo"), F.col("hi").alias("_hi")), "a").join(sizes.select(F.col("id").alias("b"), "lo", "hi"), "b").where(f"{whole} * _hi >= {part} * lo and {whole} * hi >= {part} * _lo").select("a", "b")
-    links = settled(confirmed(settled(stars, "stars"), rows, shingle, part, whole), "links")
-
-    # ids with several sets tie them together
-    several = every.where("n > 0").groupBy("id").agg(F.min(F.struct("f1", "f2", "n")).alias("_x"), F.max(F.struct("f1", "f2", "n")).alias("_y")).where("_x != _y").select("id")
-    tied = every.where("n > 0").join(several, "id", "left_semi").join(sets, ["f1", "f2", "n"]).select(F.col("id").alias("a"), F.col("rep").alias("b"))
-    links = links.union(tied)
-    roots = settled(components(links), "roots")
-
-    placed = settled(shared.select("node", "leaf", "id", "n").join(roots.withColumnRenamed("node", "id"), "id", "left").select("node", "leaf", "id", "n", F.coalesce("root", "id").alias("comp")), "members")
-    blocks, gone = opened(placed, firsts, branches(part / whole))
-    sketched = firsts if gone is None else apart(firsts, gone)
-    found = compared(blocks.join(sketched.select("id", "n", "sketch", "nodes"), ["id", "n"]), part, whole)
-    found = found if gone is None else found.distinct()
-    found = settled(found.join(stars, ["a", "b"], "left_anti"), "pairs")
-    if not found.isEmpty():
-        roots = settled(components(links.union(confirmed(found, rows, shingle, part, whole))), "roots")
-
-    judged = every.select("id", "n", "f1", "f2").join(sets, ["f1", "f2", "n"], "left").join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left")
-    component = F.coalesce("root", "rep", "id")
-    shown = lambda c: F.when(c != LAST, c)
-    return judged.select(shown(F.col("id")).alias("doc_id"), F.col("n").alias("n_shingles"), shown(component).alias("component_id"), (component == F.col("id")).alias("kept"))
+    with scratch(docs.sparkSession):
+        every = settled(sketch(rows, shingle, *shape(part, whole)), "sketches", keep=True)
+        sets = settled(every.where("n > 0").groupBy("f1", "f2", "n").agg(F.min("id").alias("rep")), "sets", keep=True)
+        firsts = every.where("n > 0").join(sets.select("f1", "f2", "n", F.col("rep").alias("id")), ["f1", "f2", "n", "id"], "left_semi").dropDuplicates(["f1", "f2", "n", "id"])
+        firsts = settled(firsts.select("id", "n", "sketch", "nodes"), "firsts")
+        members = firsts.select("id", "n", F.posexplode("nodes").alias("leaf", "node"))
+        nodes = settled(members.groupBy("node").agg(F.min("id").alias("pivot"), F.count(F.lit(1)).alias("size")).where("size > 1"), "nodes")
+        shared = members.join(nodes, "node")
+        stars = shared.where("id != pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
+        sizes = firsts.groupBy("id").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
+        stars = stars.join(sizes.select(F.col("id").alias("a"), F.col("lo").alias("_lo"), F.col("hi").alias("_hi")), "a").join(sizes.select(F.col("id").alias("b"), "lo", "hi"), "b").where(f"{whole} * _hi >= {part} * lo and {whole} * hi >= {part} * _lo").select("a", "b")
+        links = settled(confirmed(settled(stars, "stars"), rows, shingle, part, whole), "links")
+
+        # ids with several sets tie them together
+        several = every.where("n > 0").groupBy("id").agg(F.min(F.struct("f1", "f2", "n")).alias("_x"), F.max(F.struct("f1", "f2", "n")).alias("_y")).where("_x != _y").select("id")
+        tied = every.where("n > 0").join(several, "id", "left_semi").join(sets, ["f1", "f2", "n"]).select(F.col("id").alias("a"), F.col("rep").alias("b"))
+        links = links.union(tied)
+        roots = settled(components(links), "roots", keep=True)
+
+        placed = settled(shared.select("node", "leaf", "id", "n").join(roots.withColumnRenamed("node", "id"), "id", "left").select("node", "leaf", "id", "n", F.coalesce("root", "id").alias("comp")), "members")
+        blocks, gone = opened(placed, firsts, branches(part / whole))
+        sketched = firsts if gone is None else apart(firsts, gone)
+        found = compared(blocks.join(sketched.select("id", "n", "sketch", "nodes"), ["id", "n"]), part, whole)
+        found = found if gone is None else found.distinct()
+        found = settled(found.join(stars, ["a", "b"], "left_anti"), "pairs")
+        if not found.isEmpty():
+            roots = settled(components(links.union(confirmed(found, rows, shingle, part, whole))), "roots", keep=True)
+
+        judged = every.select("id", "n", "f1", "f2").join(sets, ["f1", "f2", "n"], "left").join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left")
+        component = F.coalesce("root", "rep", "id")
+        shown = lambda c: F.when(c != LAST, c)
+        return judged.select(shown(F.col("id")).alias("doc_id"), F.col("n").alias("n_shingles"), shown(component).alias("component_id"), (component == F.col("id")).alias("kept"))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from meterlark.llm._shared import slices
-from meterlark.llm._spans import Span, listed
+from meterlark.llm._spans import Span, listed, uncovered
 
 ORDER = {"assign": 0, "access": 1, "hex": 2, "entropy": 3}
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -83,40 +83,29 @@ def entropy_spans(text: str) -> list[Span]:
     return out
 
 
-def uncovered(span: Span, known: list[Span]) -> list[Span]:
-    """The parts of a span that no known span covers."""
-    kind, at, end = span
-    out: list[Span] = []
-    for _, a, b in sorted(known, key=lambda s: s[1:]):
-        if a < end and b > at:
-            if a > at:
-                out.append((kind, at, a))
-            at = b
-    return [*out, (kind, at, end)] if at < end else out
-
-
 KINDS = ("assign", "access", "hex")
 
 
 def secrets_of(text: Column, redact: bool = False) -> Column:
-    """n_assign, n_access, n_hex, base, spans (and redacted) of a text column as a struct; other columns of the row stay in the JVM."""
-    fields = [(f"n_{k}", T.LongType(), pa.int64()) for k in KINDS] + [(c, T.StringType(), pa.string()) for c in ("base", "spans", *["redacted"] * redact)]
+    """n_assign, n_access, n_hex, base, spans, n_spans (and redacted) of a text column as a struct; other columns of the row stay in the JVM."""
+    fields = [(f"n_{k}", T.LongType(), pa.int64()) for k in KINDS] + [(c, T.StringType(), pa.string()) for c in ("base", "spans")] + [("n_spans", T.LongType(), pa.int64())] + [("redacted", T.StringType(), pa.string())] * redact
 
     @F.arrow_udf(T.StructType([T.StructField(name, kind) for name, kind, _ in fields]))
     def work(column: pa.Array) -> pa.Array:
         out = []
         for part in slices([pa.RecordBatch.from_arrays([column], names=["text"])], "text"):
             counts: tuple[list[int], ...] = ([], [], [])
-            base, every, masked = [], [], []
+            base, every, total, masked = [], [], [], []
             for x in part.column("text").to_pylist():
                 known = base_spans(x or "")
-                spans = known + [part for s in entropy_spans(x or "") for part in uncovered(s, known)]
+                spans = known + [part for _, parts in uncovered(entropy_spans(x or ""), known) for part in parts]
                 for n, kind in zip(counts, KINDS, strict=True):
                     n.append(sum(s[0] == kind for s in known))
                 base.append(listed(known, ORDER))
                 every.append(listed(spans, ORDER))
+                total.append(len(spans))
                 masked.append(redacted(x, spans) if redact else None)
-            columns = [*counts, base, every, *[masked] * redact]
+            columns = [*counts, base, every, total, *[masked] * redact]
             out.append(pa.StructArray.from_arrays([pa.array(c, t) for c, (_, _, t) in zip(columns, fields, strict=True)], names=[name for name, _, _ in fields]))
         return pa.concat_arrays(out) if out else pa.array([], pa.struct([(name, t) for name, _, t in fields]))
 
@@ -124,7 +113,7 @@ def secrets_of(text: Column, redact: bool = False) -> Column:
 
 
 def scan_secrets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", redact: bool = False) -> DataFrame:
-    """One row per input row: doc_id, n_assign, n_access, n_hex, base (spans as text), spans (base and entropy spans).
+    """One row per input row: doc_id, n_assign, n_access, n_hex, base (spans as text), spans (base and entropy spans), n_spans.
 
     Spans count code points, end exclusive; entropy spans are cut where base spans lie.  redact adds `redacted`: the text
     with each span (overlaps merged) replaced by `[SECRET]`, null where the text is null.

@@ -14,9 +14,10 @@ from meterlark.llm._words import Words, spans_of
 U64 = np.uint64
 #: Bits of a block's hash that are shipped; a chance match only costs a look at the whole window.
 BLOCK_BITS = 46
-#: Chunks of documents for each shuffle partition, and shuffle partitions for each range of hashes: a chunk sends one message
-#: to each range, so that messages are as many as the partitions squared, as blocks of a shuffle are.
-PER_PARTITION, PER_RANGE = 4, 4
+#: Bytes of text for each partition (there are spark.sql.shuffle.partitions at least), chunks of documents for each partition, and
+#: partitions for each range of hashes: a chunk sends one message to each range, so that messages are as many as the partitions
+#: squared, as blocks of a shuffle are.
+PARTITION_BYTES, PER_PARTITION, PER_RANGE = 64 << 20, 4, 4
 #: A null id stands last.
 LAST = np.iinfo(np.int64).max
 
@@ -110,12 +111,25 @@ def find_repeats(docs: DataFrame, *, window: int = 13, id_col: str = "doc_id", t
     to maximal repeats.  A passage that any number of documents share is one key per chunk, never a list of pairs.
 
     Null text: no words.  Null ids stand after all others, alike among themselves.  Rows of one id are one document to the rule
-    (they don't remove from each other) and are each returned.  Empty table: no rows.  Other columns are ignored.
+    (they don't remove from each other) and are each returned; equal rows are worked off once.  Texts without words join no chunk.
+    Ties: of documents that share a window the smallest id keeps it.  A document is worked off within one chunk, whatever
+    its length.  Empty table: no rows.  Other columns are ignored.
+
+    Windows are told apart by 96 bits of hashes, not by their words: at 10^13 windows one chance match is expected in
+    about a thousand runs.
     """
     spark = docs.sparkSession
-    chunks, ranges = PER_PARTITION * partitions(spark), max(1, partitions(spark) // PER_RANGE)
-    keyed = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    keyed = keyed.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).cast("int"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    by_id = rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("text")).alias("bytes"))
+    most, size = by_id.agg(F.max("n"), F.sum("bytes")).first()
+    parts_n = max(partitions(spark), -(-(size or 0) // PARTITION_BYTES))
+    chunks, ranges = PER_PARTITION * parts_n, max(1, parts_n // PER_RANGE)
+    worded = rows.where(F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    if (most or 0) > 1:
+        worded = worded.groupBy("doc_id", "text").agg(F.count(F.lit(1)).alias("times"))
+    else:
+        worded = worded.withColumn("times", F.lit(1).cast("long"))
+    keyed = worded.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).cast("int")).repartition(parts_n, "chunk")
     parts = keyed.groupBy("chunk")
 
     def send_blocks(key, table):
@@ -199,8 +213,15 @@ def find_repeats(docs: DataFrame, *, window: int = 13, id_col: str = "doc_id", t
             texts.append(b" ".join(data[a:b].tobytes() for a, b in zip(words.start[keep].tolist(), words.end[keep].tolist(), strict=True)).decode())
         gone = np.concatenate([[0], np.cumsum(covered)])
         return pa.Table.from_arrays(
-            [docs_.column("doc_id"), pa.array(words.count), pa.array(gone[first[1:]] - gone[first[:-1]], pa.int64()), pa.array(lists, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(texts, pa.string())],
-            names=["doc_id", "n_words", "n_removed", "removed", "kept_text"],
+            [docs_.column("doc_id"), docs_.column("times"), pa.array(words.count), pa.array(gone[first[1:]] - gone[first[:-1]], pa.int64()), pa.array(lists, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(texts, pa.string())],
+            names=["doc_id", "times", "n_words", "n_removed", "removed", "kept_text"],
         )
 
-    return parts.cogroup(blocks.unionByName(windows).groupBy("chunk")).applyInArrow(remove, "doc_id long, n_words long, n_removed long, removed array<struct<start:long,end:long>>, kept_text string")
+    columns = "n_words long, n_removed long, removed array<struct<start:long,end:long>>, kept_text string"
+    done = parts.cogroup(blocks.unionByName(windows).groupBy("chunk")).applyInArrow(remove, f"doc_id long, times long, {columns}")
+    if (most or 0) > 1:
+        done = done.withColumn("times", F.explode(F.sequence(F.lit(1).cast("long"), "times")))
+    zero = F.lit(0).cast("long")
+    blank = rows.where(~F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False)))
+    blank = blank.select("doc_id", zero.alias("n_words"), zero.alias("n_removed"), F.expr("cast(array() as array<struct<start:bigint,end:bigint>>)").alias("removed"), F.lit("").alias("kept_text"))
+    return done.drop("times").unionByName(blank)
