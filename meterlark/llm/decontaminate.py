@@ -12,8 +12,8 @@ BETWEEN_LOWER = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: Rarest words of a window that a text must hold at their places before the window is compared.
 PREFIX = 2
-#: Benchmark words that may be broadcast; more are joined by shuffle.
-BROADCAST_WORDS = 100_000
+#: Bytes of benchmark words, and of windows with their anchors, that are broadcast at most; more are joined by shuffle, in so many salts.
+BROADCAST_BYTES, SALTS = 32 << 20, 32
 WINDOW = 13
 
 
@@ -40,38 +40,52 @@ def decontaminate(docs: DataFrame, items: DataFrame, *, window: int = WINDOW, pr
 
     Words of the windows are counted over all documents; each window's `prefix` rarest words are joined with
     the documents' words; where all of them stand at their places and the window fits into the text
-    (positions and length), the text itself is compared.  Null text: no words.  Null ids are kept, rows repeat,
-    a null item id reads as the empty id; empty tables give no rows, or no hits; other columns are ignored.
+    (positions and length), the text itself is compared.  Of equally rare words the first by name and place is taken, which changes no result.
+
+    What is broadcast is measured before: the bytes of the items' distinct words, and those of their windows for each anchor.  Beyond
+    BROADCAST_BYTES words are counted before they meet the items' words, and the anchors are joined by word and salt.
+
+    Null text: no words.  Null ids are kept, rows repeat, a null item id reads as the empty id; long texts are compared
+    where candidates stand; empty tables give no rows, or no hits; other columns are ignored.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).withColumn("_k", F.coalesce("doc_id", F.lit(-(2**63))))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).withColumn("_k", F.xxhash64("doc_id", "text"))
     wins = item_windows(items, window, item_id_col, item_text_col)
     spots = wins.select("win", F.size("words").alias("len"), F.posexplode("words").alias("off", "_w")).distinct().select("win", "len", "off", F.lower("_w").alias("word"))
     vocabulary = spots.select("word").distinct()
-    small = vocabulary.count() <= BROADCAST_WORDS
-    near = F.broadcast if small else (lambda df: df)
+    few_words = (vocabulary.agg(F.sum(F.octet_length("word") + 32)).first()[0] or 0) <= BROADCAST_BYTES
+    few_windows = prefix * (wins.select("win").distinct().agg(F.sum(F.octet_length("win") + 64)).first()[0] or 0) <= BROADCAST_BYTES
 
     # Rarity over all documents; a word that no document holds counts 0.
-    counts = rows.select(F.explode(split_words(F.col("text"))).alias("_w")).select(F.lower("_w").alias("word")).join(near(vocabulary), "word").groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    counts = rows.select(F.explode(split_words(F.col("text"))).alias("_w")).select(F.lower("_w").alias("word"))
+    if few_words:
+        counts = counts.join(F.broadcast(vocabulary), "word").groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    else:
+        counts = counts.groupBy("word").agg(F.count(F.lit(1)).alias("n")).join(vocabulary, "word", "left_semi")
     ranked = spots.join(counts, "word", "left").groupBy("win", "len").agg(F.slice(F.sort_array(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "word", "off"))), 1, prefix).alias("_p"))
     anchors = ranked.select("win", "len", F.size("_p").alias("need"), F.explode("_p").alias("_a")).select(F.col("_a.word").alias("word"), F.col("_a.off").alias("off"), "win", "len", "need")
-    anchors = anchors.groupBy("word").agg(F.collect_list(F.struct("off", "win", "len", "need")).alias("at"))
 
     words = split_words(F.col("text"))
     placed = rows.select("_k", words.alias("_words")).select("_k", F.size("_words").alias("_n"), F.posexplode("_words").alias("_pos", "_w")).select("_k", "_n", "_pos", F.lower("_w").alias("word"))
-    met = placed.join(near(anchors), "word").select("_k", "_n", "_pos", F.explode("at").alias("_a")).select("_k", (F.col("_pos") - F.col("_a.off")).alias("start"), F.col("_a.off").alias("off"), F.col("_a.win").alias("win"), F.col("_a.len").alias("len"), F.col("_a.need").alias("need"), "_n")
+    if few_windows:
+        at = anchors.groupBy("word").agg(F.collect_list(F.struct("off", "win", "len", "need")).alias("at"))
+        met = placed.join(F.broadcast(at), "word").select("_k", "_n", "_pos", F.explode("at").alias("_a")).select("_k", "_n", "_pos", "_a.*")
+    else:
+        salted = anchors.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        met = placed.withColumn("_salt", F.pmod(F.xxhash64("_k", "_pos"), F.lit(SALTS)).cast("int")).join(salted, ["word", "_salt"])
+    met = met.select("_k", (F.col("_pos") - F.col("off")).alias("start"), "off", "win", "len", "need", "_n")
     met = met.where((F.col("start") >= 0) & (F.col("start") + F.col("len") <= F.col("_n")))
     candidates = met.select("_k", "start", "len", "win", "need", "off").distinct().groupBy("_k", "start", "len", "win", "need").count().where(F.col("count") >= F.col("need"))
     asked = candidates.groupBy("_k").agg(F.collect_list(F.struct("start", "len", "win")).alias("_asked"))
 
-    compared = rows.join(asked, "_k", "left").select("doc_id", "_k", F.xxhash64("text").alias("_h"), words.alias("_words"), "_asked")
+    compared = rows.join(asked, "_k", "left").select("doc_id", "_k", words.alias("_words"), "_asked")
     same = lambda c: lower_ascii(F.array_join(F.slice("_words", c["start"] + 1, c["len"]), " ")) == c["win"]
-    compared = compared.select("doc_id", "_k", "_h", F.size("_words").cast("long").alias("n_words"), F.filter("_asked", same).alias("_hits"))
-    judged = compared.select("doc_id", "_k", "_h", "n_words", F.coalesce(F.size(F.array_distinct(F.flatten(F.transform("_hits", lambda c: F.sequence(c["start"], c["start"] + c["len"] - 1))))), F.lit(0)).cast("long").alias("n_hit"), F.array_distinct(F.transform("_hits", lambda c: c["win"])).alias("_wins"))
+    compared = compared.select("doc_id", "_k", F.size("_words").cast("long").alias("n_words"), F.filter("_asked", same).alias("_hits"))
+    judged = compared.select("doc_id", "_k", "n_words", F.coalesce(F.size(F.array_distinct(F.flatten(F.transform("_hits", lambda c: F.sequence(c["start"], c["start"] + c["len"] - 1))))), F.lit(0)).cast("long").alias("n_hit"), F.array_distinct(F.transform("_hits", lambda c: c["win"])).alias("_wins"))
     judged = judged.withColumn("n_hit", F.when(F.size("_wins") > 0, F.col("n_hit")).otherwise(F.lit(0).cast("long")))
     return _with_items(judged, wins)
 
 
 def _with_items(judged: DataFrame, wins: DataFrame) -> DataFrame:
-    named = judged.where(F.size("_wins") > 0).select("_k", "_h", F.explode("_wins").alias("win")).join(wins.select("win", "item").distinct(), "win").groupBy("_k", "_h").agg(F.sort_array(F.collect_set("item")).alias("_items"))
-    out = judged.join(named, ["_k", "_h"], "left")
+    named = judged.where(F.size("_wins") > 0).select("_k", F.explode("_wins").alias("win")).join(wins.select("win", "item").distinct(), "win").groupBy("_k").agg(F.sort_array(F.collect_set("item")).alias("_items"))
+    out = judged.join(named, "_k", "left")
     return out.select("doc_id", "n_words", "n_hit", F.coalesce(F.size("_items"), F.lit(0)).cast("long").alias("n_items"), F.coalesce(F.array_join("_items", ","), F.lit("")).alias("items"), ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"))
