@@ -9,60 +9,77 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meterlark.llm._shared import settled
+from meterlark.llm._shared import scratch, settled
 from meterlark.llm.decontaminate import decontaminate
 from meterlark.llm.language import fit_centroids, language_of
 from meterlark.llm.near_dedup import near_duplicates
 from meterlark.llm.packing import pack
 from meterlark.llm.secrets import secrets_of
 
+#: Columns that the stages add and take away again; other columns of documents may have any name but these.
+KEY, SHARED = "__row_key", "__shared_id"
+
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the identifier rejects (no text, no letter, or far from every language) go."""
+    """Documents that the identifier rejects (no text, no letter, or far from every language) go; the columns stay as they are.
+
+    It learns from the rows that have a text and a lang.  Null text goes; a null id is of no account; of repeated rows all
+    stay or all go; where nothing can be learned (an empty table, no lang) every document is rejected.
+    """
     return docs.where(~language_of(F.col("text"), fit_centroids(docs))["rejected"])
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """docs with `_key`: the id where one row alone has it, else a hash of id and text, so that only equal rows share a key."""
-    shared = settled(docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1 or doc_id is null").select(F.col("doc_id").alias("_id"), F.lit(True).alias("_shared")), "shared")
+    """docs with a key: the id where one row alone has it, else a hash of id and text, so that only equal rows share a key."""
+    ids = docs.select(F.col("doc_id").alias(SHARED)).groupBy(SHARED).agg(F.count(F.lit(1)).alias("n"))
+    shared = settled(ids.where(f"n > 1 or {SHARED} is null").select(SHARED), "shared")
+    own = F.col("doc_id").cast("long")
     if shared.isEmpty():
-        return docs.withColumn("_key", F.col("doc_id").cast("long"))
-    own = docs.join(shared.where("_id is not null"), F.col("doc_id") == F.col("_id"), "left").drop("_id")
-    return own.withColumn("_key", F.when(F.col("doc_id").isNull() | F.col("_shared"), F.xxhash64("doc_id", "text")).otherwise(F.col("doc_id").cast("long"))).drop("_shared")
+        return docs.withColumn(KEY, own)
+    rows = docs.join(shared.where(f"{SHARED} is not null"), F.col("doc_id") == F.col(SHARED), "left")
+    return rows.withColumn(KEY, F.when(F.col("doc_id").isNull() | F.col(SHARED).isNotNull(), F.xxhash64("doc_id", "text")).otherwise(own)).drop(SHARED)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near-duplicates stays: the one with the smallest id (a null id is the largest).
 
-    Rows are tied by their texts alone, whatever their ids; of equal rows one stays.  Rows without words all stay.
+    Rows are near-duplicates from a similarity of 0.8 of their 5-word shingles on.  They are tied by their texts alone, whatever
+    their ids; of equal rows one stays.  Rows without words (null or blank text) all stay.  An empty table stays empty.
     """
     rows = keyed(docs)
-    found = near_duplicates(rows, id_col="_key").select(F.col("doc_id").alias("_key"), "n_shingles", "component_id")
-    groups = settled(found.groupBy("_key", "n_shingles", "component_id").agg(F.count(F.lit(1)).alias("_n")), "groups")
-    ids = rows.select("_key", "doc_id").distinct()
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("_null"), "doc_id", "_key", "n_shingles", "_n"))
-    kept = settled(groups.join(ids, "_key").groupBy("component_id").agg(first.alias("_f")).select("_f._key", (F.expr("_f._n > 1 and _f.n_shingles > 0")).alias("_equal")), "kept")
-    left = rows.join(kept.where("not _equal").select("_key"), "_key", "left_semi")
-    if not kept.where("_equal").isEmpty():
-        left = left.unionByName(rows.join(kept.where("_equal").select("_key"), "_key", "left_semi").dropDuplicates(["_key"]))
+    found = near_duplicates(rows, shingle=5, part=80, whole=100, id_col=KEY).select(F.col("doc_id").alias(KEY), "n_shingles", "component_id")
+    groups = settled(found.groupBy(KEY, "n_shingles", "component_id").agg(F.count(F.lit(1)).alias("n")), "groups")
+    ids = rows.select(KEY, "doc_id").distinct()
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", KEY, "n_shingles", "n"))
+    kept = settled(groups.join(ids, KEY).groupBy("component_id").agg(first.alias("f")).select(f"f.{KEY}", F.expr("f.n > 1 and f.n_shingles > 0").alias("equal")), "kept")
+    left = rows.join(kept.where("not equal").select(KEY), KEY, "left_semi")
+    if not kept.where("equal").isEmpty():
+        left = left.unionByName(rows.join(kept.where("equal").select(KEY), KEY, "left_semi").dropDuplicates([KEY]))
     return left.select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows that hold benchmark passages go, and only they: other rows of their id stay."""
+    """Rows that hold benchmark passages go, and only they: other rows of their id stay.
+
+    Null text holds none; of repeated rows all stay or all go; an empty table of documents or items changes nothing.
+    """
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     rows = keyed(docs)
-    dirty = decontaminate(rows, benchmark, id_col="_key").where("contaminated").select(F.col("doc_id").alias("_key")).distinct()
-    return rows.join(dirty, "_key", "left_anti").select(*docs.columns)
+    dirty = decontaminate(rows, benchmark, id_col=KEY).where("contaminated").select(F.col("doc_id").alias(KEY)).distinct()
+    return rows.join(dirty, KEY, "left_anti").select(*docs.columns)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets are replaced by a mark; every document stays."""
-    return docs.withColumn("text", secrets_of(F.col("text"), redact=True)["redacted"]).withColumn("n_chars", F.length("text").cast("long"))
+    """Secrets are replaced by a mark, and n_chars, where there is such a column, counts what is left; every row stays.
+
+    Null text stays null (and n_chars becomes null); null ids and repeated rows are of no account.
+    """
+    out = docs.withColumn("text", secrets_of(F.col("text"), redact=True)["redacted"])
+    return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """What is left, in sequences of 2048 ids."""
+    """What is left, in sequences of 2048 ids; null text is empty, repeated rows are packed each, no rows give no pieces."""
     return pack(docs, public_tokenizers.path("byte_bpe_50k.json"), size=2048, end_id=1)
 
 
@@ -73,7 +90,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages one after another; a stage's working tables go once its result is written."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = settled(stage(spark, docs, sf_dir), name)
+        with scratch(spark):
+            out = stage(spark, docs, sf_dir)
+            done = settled(out, name, keep=True)
+        docs = done
     return STAGES[-1][1](spark, docs, sf_dir)
