@@ -110,9 +110,28 @@ def comparisons(spark: SparkSession, sf_dir: str) -> DataFrame:
     return account_groups.compared(own)
 
 
-@query()
+#: The detector as a fold: one comparison of each pair a step.
+PAIR_FOLD_SQL = f"""{ROUND_SQL.replace("with ", "with recursive ", 1)}, compared as (select a.identity || '|' || b.identity as pair, a.at_ms as at_a, b.at_ms as at_b, bool_and(abs(a.resets_at - b.resets_at) <= 2000) as agree_, bool_and(a.utilization = b.utilization) as use_, abs(a.at_ms - b.at_ms) <= 60000 as close_,
+  list({{'kind': a.kind, 'u': a.utilization, 'r': a.resets_at}} order by a.kind) as kinds_
+  from w a join w b on a.round = b.round and a.provider = b.provider and a.kind = b.kind and a.identity < b.identity and abs(a.at_ms - b.at_ms) <= 600000 and least(a.resets_at, b.resets_at) > greatest(a.at_ms, b.at_ms) group by a.identity, b.identity, a.at_ms, b.at_ms),
+steps as (select *, row_number() over (partition by pair order by at_a, at_b) as n from compared where close_ or not agree_),
+fold as (
+  select pair, 0::bigint as n, 0 as agree, 0 as disagree, 0 as inconclusive, false as linked, null::bigint as detected_at, null::bigint as at_a, null::bigint as at_b, null::bigint as agreed_at, null::struct(kind varchar, u double, r bigint)[] as kinds from (select distinct pair from steps)
+  union all
+  select pair, n, case kind when 'same' then streak + 1 when 'pause' then agree else 0 end, case kind when 'same' then 0 when 'pause' then disagree else disagree + 1 end, (kind = 'pause')::int,
+    linked_, case when linked_ then coalesce(detected_at, case when kind = 'same' then greatest(at_a_, at_b_) end) end, at_a_, at_b_,
+    case kind when 'same' then at_a_ when 'pause' then agreed_at end, case kind when 'same' then kinds_ when 'pause' then kinds end
+  from (select *, case kind when 'same' then linked or (streak >= 1 and moved and used) when 'pause' then linked else linked and disagree + 1 < 2 end as linked_ from (
+    select f.* exclude (n), s.n, s.at_a as at_a_, s.at_b as at_b_, s.kinds_, case when s.agree_ and s.use_ then 'same' when s.agree_ and f.inconclusive = 0 then 'pause' else 'apart' end as kind,
+      case when s.at_a - f.agreed_at <= 660000 then f.agree else 0 end as streak, len(list_filter(s.kinds_, lambda k: k.u > 0)) > 0 as used,
+      coalesce(len(list_filter(s.kinds_, lambda k: len(list_filter(f.kinds, lambda o: o.kind = k.kind and abs(o.r - k.r) < 900000 and o.u <> k.u)) > 0)) > 0, false) as moved
+    from fold f join steps s on s.pair = f.pair and s.n = f.n + 1 and (f.at_a is null or (s.at_a > f.at_a and s.at_b > f.at_b)))))
+select pair, agree, disagree, inconclusive, linked, detected_at, at_a, at_b, agreed_at from fold where n > 0 qualify row_number() over (partition by pair order by n desc) = 1"""
+
+
+@query(PAIR_FOLD_SQL)
 def pair_states(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The link detector over all comparisons: an automaton per pair, held against a plain fold by the tests."""
+    """The link detector over all comparisons, by windows; its SQL is a fold, step by step."""
     return account_groups.pair_states(comparisons(spark, sf_dir)).drop("kinds")
 
 

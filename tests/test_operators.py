@@ -157,26 +157,68 @@ def test_recorded_events_do_not_repeat(spark):
     assert sorted(map(str, again.collect())) == sorted(map(str, found.select(*columns).collect()))
 
 
+def folded(comparisons, state=None):
+    """The rules of a pair's state told one comparison at a time."""
+    s = dict(state) if state else None
+    for at_a, at_b, shared, agree, use, close, u, r in comparisons:
+        if not shared or (agree and not close) or (s and (at_a <= s["at_a"] or at_b <= s["at_b"])):
+            continue
+        s = s or {"agree": 0, "disagree": 0, "inconclusive": 0, "linked": False, "detected_at": None, "agreed_at": None, "window": None}
+        s |= {"at_a": at_a, "at_b": at_b}
+        if agree and not use and not s["inconclusive"]:
+            s["inconclusive"] = 1
+            continue
+        s["inconclusive"] = 0
+        if agree and use:
+            goes_on = s["agreed_at"] is not None and at_a - s["agreed_at"] <= 660_000
+            s["agree"] = s["agree"] + 1 if goes_on else 1
+            if s["agree"] >= 2 and goes_on and abs(s["window"][1] - r) < 900_000 and s["window"][0] != u > 0 and not s["linked"]:
+                s |= {"linked": True, "detected_at": max(at_a, at_b)}
+            s |= {"disagree": 0, "agreed_at": at_a, "window": (u, r)}
+        else:
+            s |= {"agree": 0, "disagree": s["disagree"] + 1, "agreed_at": None, "window": None}
+            if s["disagree"] >= 2:
+                s |= {"linked": False, "detected_at": None}
+    return s
+
+
+def pair_rows(spark, of_pairs):
+    rows = [(p, p.split("|")[0], p.split("|")[1], at_a, at_b, shared, agree, use, close, [("w", u, r)]) for p, own in of_pairs.items() for at_a, at_b, shared, agree, use, close, u, r in own]
+    return spark.createDataFrame(rows, account_groups.COMPARISON)
+
+
+SHOWN = ("agree", "disagree", "inconclusive", "linked", "detected_at", "at_a", "at_b", "agreed_at")
+
+
 def test_pair_states_equal_a_fold(spark):
-    comparisons = catalog_limits.comparisons(spark, SMALL)
-    want = {}
-    for r in sorted(comparisons.collect(), key=lambda r: (r["at_a"], r["at_b"])):
-        c = r.asDict(recursive=True)
-        want[c["pair"]] = account_groups.advanced(want.get(c["pair"]), c)
-    want = {k: v for k, v in want.items() if v is not None}
-    got = {r["pair"]: r.asDict(recursive=True) for r in account_groups.pair_states(comparisons).collect()}
-    assert {k: (v["agree"], v["disagree"], v["linked"], v["agreed_at"]) for k, v in got.items()} == {k: (v["agree"], v["disagree"], v["linked"], v["agreed_at"]) for k, v in want.items()}
-
-
-def test_links_need_movement_and_break_on_two_disagreements():
-    c = lambda at, u, agree=True, use=True: {"pair": "a|b", "a": "a", "b": "b", "at_a": at, "at_b": at + 1000, "shared": 1, "resets_agree": agree, "same_use": use, "close": True, "kinds": [{"kind": "w", "u": u, "r": 10**12}]}
-    s = account_groups.advanced(account_groups.advanced(None, c(0, 0.5)), c(300_000, 0.5))
-    assert not s["linked"]
-    s = account_groups.advanced(s, c(600_000, 0.6))
-    assert s["linked"]
-    s = account_groups.advanced(s, c(900_000, 0.7, agree=False))
-    assert s["linked"] and s["disagree"] == 1
-    assert not account_groups.advanced(s, c(1_200_000, 0.8, agree=False))["linked"]
+    import random
+
+    rng, first, later = random.Random(4), {}, {}
+    for p in range(300):
+        at, rows = 0, []
+        for _ in range(rng.randint(1, 14)):
+            at += rng.choice([0, 300_000, 300_000, 600_000, 900_000])
+            rows.append((at, at + rng.randint(-20_000, 20_000) + 50_000, rng.choice([0, 1, 1, 1, 1, 1]), rng.random() < 0.85, rng.random() < 0.75, rng.random() < 0.9, rng.choice([0.0, 0.5, 0.5, 0.6]), rng.choice([10**12, 10**12, 10**12 + 10**6])))
+        cut = rng.randint(0, len(rows))
+        rows = sorted(dict((r[0], r) for r in rows).values())
+        rows = [r for i, r in enumerate(rows) if all(r[1] > q[1] for q in rows[:i])]
+        first[f"a{p}|b"], later[f"a{p}|b"] = rows[:cut], rows[cut:]
+    shown = lambda s: None if s is None else tuple(s[c] for c in SHOWN)
+    of = lambda df: {r["pair"]: shown(r) for r in df.collect()}
+    whole = {p: first[p] + later[p] for p in first}
+    want = {p: shown(folded(own)) for p, own in whole.items() if folded(own)}
+    assert of(account_groups.pair_states(pair_rows(spark, whole))) == want
+    assert sum(w[3] for w in want.values()) > 10
+    stored = account_groups.pair_states(pair_rows(spark, first))
+    assert of(account_groups.pair_states(pair_rows(spark, later), stored)) == want
+
+
+def test_links_need_movement_and_break_on_two_disagreements(spark):
+    c = lambda at, u, agree=True, use=True: (at, at + 1000, 1, agree, use, True, u, 10**12)
+    steps = [c(0, 0.5), c(300_000, 0.5), c(600_000, 0.6), c(900_000, 0.7, agree=False), c(1_200_000, 0.8, agree=False)]
+    found = {r["pair"]: r for r in account_groups.pair_states(pair_rows(spark, {f"a|b{n}": steps[:n] for n in range(2, 6)})).collect()}
+    assert [found[f"a|b{n}"]["linked"] for n in range(2, 6)] == [False, True, True, False]
+    assert found["a|b4"]["disagree"] == 1
 
 
 def test_groups():
