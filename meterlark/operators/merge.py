@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from meterlark.functions.models import PLACEHOLDER
@@ -84,12 +85,13 @@ def accounts_interned(stored: DataFrame, seen: DataFrame) -> DataFrame:
     seen: provider, identity, label, explicit (boolean), seq.  New ids follow the largest stored one, by first sight.
     """
     new = seen.groupBy("provider", "identity").agg(F.max_by("label", F.struct("explicit", "seq")).alias("n_label"), F.max("explicit").alias("explicit"), F.min("seq").alias("seq"))
-    both = stored.join(new, ["provider", "identity"], "full_outer")
-    from pyspark.sql import Window as W
-
-    last = F.coalesce(F.max("id").over(W.partitionBy()), F.lit(0))
-    rank = F.row_number().over(W.orderBy(F.col("id").isNotNull(), "seq", "provider", "identity"))
-    return both.select(F.coalesce("id", (last + rank).cast("int")).alias("id"), "provider", "identity", F.when(F.col("label").isNull() | F.coalesce("explicit", F.lit(False)), F.coalesce("n_label", "label")).otherwise(F.col("label")).alias("label"))
+    # only new accounts are numbered: a handful of a pass, however many are stored
+    last = stored.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_last"))
+    fresh = new.join(stored.select("provider", "identity"), ["provider", "identity"], "left_anti").join(last, F.lit(True))
+    fresh = fresh.select((F.col("_last") + F.row_number().over(W.orderBy("seq", "provider", "identity"))).cast("int").alias("id"), "provider", "identity", F.col("n_label").alias("label"))
+    known = stored.join(new, ["provider", "identity"], "left")
+    named = F.when(F.col("label").isNull() | F.coalesce("explicit", F.lit(False)), F.coalesce("n_label", "label")).otherwise(F.col("label"))
+    return known.select("id", "provider", "identity", named.alias("label")).unionByName(fresh)
 
 
 def recovered(usage: DataFrame, copy: DataFrame, dropped: DataFrame, copy_dropped: DataFrame) -> tuple[DataFrame, DataFrame]:

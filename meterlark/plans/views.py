@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -11,6 +11,8 @@ from meterlark.functions.models import pretty_model
 from meterlark.operators.pricing import measures, shown
 from meterlark.plans.periods import Range, activity_range, resolve_period
 from meterlark.plans.usage import UsageQueries, slot_day
+from meterlark.sources.local import local_table
+from meterlark.sources.rates import RateTable
 
 
 def spend_columns(q: UsageQueries, now: int) -> DataFrame:
@@ -73,3 +75,45 @@ def spark_level(value: Column, levels: int = 7) -> Column:
 def column_edges(n: int, width: int) -> list[int]:
     """Where each of n columns begins in a width, and the end."""
     return [i * width // n for i in range(n + 1)]
+
+
+def account_list(accounts: DataFrame, groups: DataFrame, status: DataFrame, usage: DataFrame, current: str | None) -> DataFrame:
+    """Every root: id, label, provider, group (null: none), known (whether it or one of its group has a sign-in state), last_seen, is_current.
+
+    accounts: id, provider, identity, label.  groups: identity, group.  status: identity of each root with a state.
+    """
+    grouped = accounts.join(groups, "identity", "left")
+    stated = status.select("identity").distinct()
+    own = grouped.join(stated.withColumn("_own", F.lit(True)), "identity", "left")
+    by_group = groups.join(stated, "identity", "left_semi").select("group").distinct().withColumn("_group", F.lit(True))
+    seen = usage.groupBy("acct").agg(F.max("ts").alias("last_seen"))
+    out = own.join(by_group, "group", "left").join(seen, F.col("id") == F.col("acct"), "left")
+    return out.select(F.col("identity").alias("id"), "label", "provider", "group", F.coalesce("_own", "_group", F.lit(False)).alias("known"), "last_seen", F.coalesce(F.col("identity") == F.lit(current), F.lit(False)).alias("is_current"))
+
+
+def rate_cards(table: RateTable, bundled: RateTable, spark: SparkSession, now: int) -> DataFrame:
+    """Each model's card in force now: rates, fast pair, threshold, the model it is estimated as, and its source.
+
+    source: `alias` where another model's card stands in, `override` where the bundled card or its fast pair differs, else `bundled`.
+    """
+    rates = ["input", "output", "cache_read", "cache_write", "lc_threshold"]
+    current = lambda t: t.dimension(spark).where((F.col("from_ms") <= now) & (F.col("to_ms") > now))
+    standard = lambda t: current(t).where("tier = 0").select("model_key", *rates, "estimated")
+    fast = lambda t: current(t).where("tier = 1 and status = 'priced'").select("model_key", F.col("input").alias("fast_input"), F.col("output").alias("fast_output"))
+    cards = lambda t: standard(t).join(fast(t), "model_key", "left")
+    known = cards(bundled)
+    shown = [*rates, "fast_input", "fast_output"]
+    both = cards(table).join(known.select("model_key", *(F.col(c).alias(f"_{c}") for c in shown), F.lit(True).alias("_known")), "model_key", "left")
+    targets = [(k, [m for t, m in spans if t <= now][-1]) for k, spans in table.aliases.items() if any(t <= now for t, _ in spans)]
+    both = both.join(local_table(spark, targets, "model_key string, _target string"), "model_key", "left")
+    same = F.col("_known").isNotNull()
+    for c in shown:
+        same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    as_other = F.when(F.col("estimated"), F.col("_target"))
+    source = F.when(as_other.isNotNull(), "alias").when(same, "bundled").otherwise("override")
+    return both.select("model_key", "input", "output", F.coalesce("cache_read", F.col("input") * 0.1).alias("cache_read"), "cache_write", "fast_input", "fast_output", "lc_threshold", as_other.alias("estimated_as"), source.alias("source"))
+
+
+def timings(runs: DataFrame) -> DataFrame:
+    """Runs, median and 95th percentile (between neighbours) of `taken` by name."""
+    return runs.groupBy("name").agg(F.count(F.lit(1)).alias("runs"), F.percentile("taken", 0.5).alias("median"), F.percentile("taken", 0.95).alias("p95"))

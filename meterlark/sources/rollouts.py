@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from meterlark.functions.keys import SEPARATOR, ledger_key
 from meterlark.functions.models import PLACEHOLDER
 from meterlark.functions.timestamps import timestamp_ms
-from meterlark.sources.transcripts import as_told, is_object, kind_of, text, whole_number
+from meterlark.sources.transcripts import as_told, is_boolean, is_object, text, whole_number
 
 #: Service tiers that are fast; the longest pause within a replayed burst; fork times at or below are seconds.
 FAST_TIERS = ("fast", "priority")
@@ -42,7 +42,7 @@ def _triple(v: Column, path: str) -> Column:
 
 def _told(v: Column, path: str) -> Column:
     """The counts as key material, comma-joined: truth values by name, what isn't a whole number of at least 0 as 0; '' without counts."""
-    one = lambda p: F.when(kind_of(v, p) == "BOOLEAN", as_told(v, p)).otherwise(_counter(v, p).cast("string"))
+    one = lambda p: F.when(is_boolean(v, p), as_told(v, p)).otherwise(_counter(v, p).cast("string"))
     return F.when(is_object(v, path), F.concat_ws(",", *(one(f"{path}.{c}") for c in TRIPLE))).otherwise("")
 
 

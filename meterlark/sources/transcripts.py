@@ -31,37 +31,43 @@ def candidate() -> Column:
     return marked() & has("assistant") & ~has('"token_count"') & ~has('"turn_context"')
 
 
+def raw(v: Column, path: str) -> Column:
+    """The JSON text at a path (a string in its quotes): null where there is nothing.  One look at the variant tells kind and value."""
+    return F.to_json(F.try_variant_get(v, path, "variant"))
+
+
 def whole_number(v: Column, path: str) -> Column:
     """A JSON integer as itself, true as 1; false, floats, strings and others as 0."""
-    x = F.try_variant_get(v, path, "variant")
-    kind = F.schema_of_variant(x)
-    return F.coalesce(F.when(kind == "BIGINT", F.try_variant_get(v, path, "long")).when(kind == "BOOLEAN", F.try_variant_get(v, path, "boolean").cast("long")), F.lit(0).cast("long"))
+    whole = F.schema_of_variant(F.try_variant_get(v, path, "variant")).isin("BIGINT", "BOOLEAN")  # a float without a fraction is no integer
+    return F.coalesce(F.when(whole, F.regexp_replace(raw(v, path), "^true$", "1").try_cast("long")), F.lit(0).cast("long"))
 
 
 def is_object(v: Column, path: str) -> Column:
-    return F.coalesce(F.startswith(F.schema_of_variant(F.try_variant_get(v, path, "variant")), F.lit("OBJECT")), F.lit(False))
+    return F.coalesce(F.startswith(raw(v, path), F.lit("{")), F.lit(False))
 
 
-def text(v: Column, path: str) -> Column:
-    """A JSON string as itself; anything else is null."""
-    return F.when(F.schema_of_variant(F.try_variant_get(v, path, "variant")) == "STRING", F.try_variant_get(v, path, "string"))
+def is_text(v: Column, path: str) -> Column:
+    return F.coalesce(F.startswith(raw(v, path), F.lit('"')), F.lit(False))
 
 
-def kind_of(v: Column, path: str) -> Column:
-    return F.coalesce(F.schema_of_variant(F.try_variant_get(v, path, "variant")), F.lit("VOID"))
+def is_boolean(v: Column, path: str) -> Column:
+    return F.coalesce(raw(v, path).isin("true", "false"), F.lit(False))
+
+
+def text(v: Column, path: str) -> Column:
+    """A JSON string as itself; anything else is null."""
+    return F.when(is_text(v, path), F.try_variant_get(v, path, "string"))
 
 
 def truthy(v: Column, path: str) -> Column:
     """Whether a JSON value counts as stated: not null, false, zero or empty."""
-    kind, shown = kind_of(v, path), F.try_variant_get(v, path, "string")
-    number = F.coalesce(F.try_variant_get(v, path, "double") != 0, F.lit(False))
-    return F.when(kind == "VOID", False).when(kind == "STRING", shown != "").when(kind == "BOOLEAN", shown == "true").when(F.rlike(kind, F.lit("^(BIGINT|DOUBLE|FLOAT|DECIMAL)")), number).otherwise(~shown.isin("[]", "{}"))
+    return F.coalesce(~F.rlike(raw(v, path), F.lit(r"^(null|false|\"\"|\[\]|\{\}|-?0*(\.0*)?([eE][+-]?[0-9]+)?)$")), F.lit(False))
 
 
 def as_told(v: Column, path: str) -> Column:
     """A JSON value as key material: a string itself, a whole number in digits, `True`, `False`, null as ''."""
     shown = F.coalesce(F.try_variant_get(v, path, "string"), F.lit(""))
-    return F.when(kind_of(v, path) == "BOOLEAN", F.initcap(shown)).otherwise(shown)
+    return F.when(is_boolean(v, path), F.initcap(shown)).otherwise(shown)
 
 
 def parse(lines: DataFrame) -> DataFrame:
@@ -85,7 +91,7 @@ def parse(lines: DataFrame) -> DataFrame:
 
 def odd_model(v: Column) -> Column:
     """A model that is stated but isn't text: such a line is malformed."""
-    return truthy(v, "$.message.model") & (kind_of(v, "$.message.model") != "STRING")
+    return truthy(v, "$.message.model") & ~is_text(v, "$.message.model")
 
 
 def path_order(path: Column) -> Column:
