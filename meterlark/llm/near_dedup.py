@@ -27,6 +27,8 @@ FIRST = 64
 NODE = 512
 #: A node branches on if its children have at most this part of its comparisons; else it is compared block by block.
 LESS = 0.9
+#: Shingles whose sets are held at once, about, as pairs of a block are confirmed.
+TILE = 4_000_000
 LAST = np.iinfo(np.int64).max
 _rng = np.random.default_rng(20240607)
 _XOR = _rng.integers(0, 2**32, COORDINATES, np.uint32)
@@ -123,7 +125,7 @@ def sketch(rows: DataFrame, k: int, trees: int, levels: int) -> DataFrame:
 def confirmed(pairs: DataFrame, rows: DataFrame, k: int, part: int, whole: int) -> DataFrame:
     """The pairs (a, b) whose full sets have whole * intersection >= part * union."""
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    texts = settled(rows.join(ids, "id", "left_semi"), "texts")
+    texts = settled(rows.join(ids, "id", "left_semi").dropDuplicates(["id", "text"]), "texts")
     joined = pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b").join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a").select("a", "b", "text_a", "text_b")
 
     def work(batches):
@@ -138,6 +140,45 @@ def confirmed(pairs: DataFrame, rows: DataFrame, k: int, part: int, whole: int)
     return joined.mapInArrow(work, "a long, b long").distinct()
 
 
+def confirmed_by_block(pairs: DataFrame, rows: DataFrame, sizes: DataFrame, k: int, part: int, whole: int) -> DataFrame:
+    """The pairs (a, b, node, block) whose full sets have whole * intersection >= part * union, as (a, b).
+
+    The pairs of a block share its members, so a text goes to a block once and not once for each of its pairs.  A block of more than
+    TILE shingles is cut: members fall into parts by hash, and each two parts that have pairs are one tile.  In a tile texts come by id,
+    each with the smaller ids it is to be compared with, whose sets are held.  sizes: id, n.
+    """
+    sides = pairs.select("node", "block", F.explode(F.array("a", "b")).alias("id")).distinct().join(sizes, "id")
+    cuts = sides.groupBy("node", "block").agg(F.ceil(F.sum("n") / TILE).cast("long").alias("_parts"))
+    own = lambda c: F.pmod(F.xxhash64(c), F.col("_parts"))
+    tiles = pairs.join(cuts, ["node", "block"]).withColumn("tile", F.xxhash64("node", "block", F.least(own("a"), own("b")), F.greatest(own("a"), own("b"))))
+    asked = tiles.select("tile", F.explode(F.array(F.struct(F.greatest("a", "b").alias("id"), F.least("a", "b").alias("with")), F.struct(F.least("a", "b").alias("id"), F.lit(None).cast("long").alias("with")))).alias("x")).select("tile", "x.*")
+    asked = settled(asked.groupBy("tile", "id").agg(F.collect_set("with").alias("earlier")), "asked")
+    texts = settled(rows.join(asked.select("id").distinct(), "id", "left_semi").dropDuplicates(["id", "text"]), "texts")
+
+    def work(batches):
+        tile, held = None, {}
+        for batch in slices(batches, "text"):
+            h, _, size = shingle_sets(batch.column("text"), k)
+            edge, a, b = np.concatenate([[0], np.cumsum(size)]), [], []
+            for i, (this, own, earlier) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("tile", "id", "earlier")), strict=True)):
+                if this != tile:
+                    tile, held = this, {}
+                mine = h[edge[i] : edge[i + 1]].copy()
+                for other in earlier:
+                    for theirs in held.get(other, ()):
+                        both = len(np.intersect1d(mine, theirs, assume_unique=True))
+                        if both and whole * both >= part * (len(mine) + len(theirs) - both):
+                            a.append(other)
+                            b.append(own)
+                held.setdefault(own, []).append(mine)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+        held.clear()
+        give_back()
+
+    placed = asked.join(texts, "id").repartition(partitions(pairs.sparkSession), "tile").sortWithinPartitions("tile", "id")
+    return placed.select("tile", "id", "earlier", "text").mapInArrow(work, "a long, b long").distinct()
+
+
 def needed(part: int, whole: int, coordinates: int) -> int:
     """Equal bytes of so many that a pair of similarity part / whole has, but for a chance of SKETCH_MISS."""
     same = Fraction(part, whole)
@@ -152,7 +193,7 @@ def needed(part: int, whole: int, coordinates: int) -> int:
 
 
 def compared(members: DataFrame, part: int, whole: int) -> DataFrame:
-    """Pairs of a block's members of different components whose sketches and sizes allow the similarity.
+    """Pairs (a, b, node, block) of a block's members of different components whose sketches and sizes allow the similarity.
 
     members: node, leaf, block, cross, hot, id, comp, n, sketch, nodes.  A pair that meets in several nodes comes from
     the first of them (leaf: the node's place among its members' nodes).  hot: of the node's largest component, whose members
@@ -179,7 +220,8 @@ def compared(members: DataFrame, part: int, whole: int) -> DataFrame:
             a += [int(ids[i])] * len(near)
             b += ids[near].tolist()
         a, b = np.array(a, np.int64), np.array(b, np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+        node, block = (pa.array(np.full(len(a), rows[c][0], np.int64)) for c in ("node", "block"))
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), node, block], names=["a", "b", "node", "block"])
 
     def work(batches):
         key, rows = None, {c: [] for c in columns}
@@ -198,7 +240,7 @@ def compared(members: DataFrame, part: int, whole: int) -> DataFrame:
 
     spark = members.sparkSession
     ordered = members.select(*columns).repartition(partitions(spark), "node", "block").sortWithinPartitions("node", "block")
-    return ordered.mapInArrow(work, "a long, b long")
+    return ordered.mapInArrow(work, "a long, b long, node long, block long")
 
 
 def unsettled(members: DataFrame, *more: str) -> DataFrame:
@@ -315,10 +357,10 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, part: int = 85, whole:
         blocks, gone = opened(placed, firsts, branches(part / whole))
         sketched = firsts if gone is None else apart(firsts, gone)
         found = compared(blocks.join(sketched.select("id", "n", "sketch", "nodes"), ["id", "n"]), part, whole)
-        found = found if gone is None else found.distinct()
+        found = found if gone is None else found.groupBy("a", "b").agg(F.min(F.struct("node", "block")).alias("_b")).select("a", "b", "_b.*")
         found = settled(found.join(stars, ["a", "b"], "left_anti"), "pairs")
         if not found.isEmpty():
-            roots = settled(components(links.union(confirmed(found, rows, shingle, part, whole))), "roots", keep=True)
+            roots = settled(components(links.union(confirmed_by_block(found, rows, sizes.select("id", F.col("hi").alias("n")), shingle, part, whole))), "roots", keep=True)
 
         judged = every.select("id", "n", "f1", "f2").join(sets, ["f1", "f2", "n"], "left").join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left")
         component = F.coalesce("root", "rep", "id")
