@@ -51,13 +51,28 @@ def ingest_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return transcripts.stats(transcript_lines(spark, sf_dir))
 
 
-@query()
+def paired_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Transcript lines of which each two share a message, in one file or two; every ninth has no time."""
+    e = F.col("event_id")
+    untimed = F.regexp_replace("value", '"timestamp":"[^"]*"', '"timestamp":"soon"')
+    request = F.concat(F.lit('"requestId":"r'), F.floor(e / 2), F.lit('"'))
+    rows = transcript_lines(spark, sf_dir).join(numbered(spark, sf_dir).select("path", "line_no", "event_id"), ["path", "line_no"])
+    return rows.withColumn("value", F.when(e % 9 == 4, untimed).otherwise(F.col("value"))).select("path", "line_no", F.regexp_replace(F.col("value"), F.lit('"requestId":"r[0-9]+"'), request).alias("value"))
+
+
+@query(f"""with {NUMBERED}, parsed as (select event_id // 2 as key, path, line_no, case when event_id % 9 <> 4 then ms end as ts, 'model-' || event_id % 5 as model, event_id * 13 % 900 as inp, event_id * 17 % 700 as outp, event_id * 19 % 9000 as cr,
+  case when (event_id % 4 = 0 or event_id * 23 % 80 = 0) and event_id % 3 <> 0 and event_id * 7 % 40 + event_id * 11 % 30 > 0 then event_id * 7 % 40 + event_id * 11 % 30 when event_id % 4 = 0 then 0 else event_id * 23 % 80 end as cc,
+  case when event_id % 3 <> 0 then event_id * 7 % 40 end as e5, case when event_id % 3 <> 0 then event_id * 11 % 30 end as e1, case when event_id % 6 = 0 then 1 else 0 end as tier
+  from numbered where event_id % 10 <> 9 and event_id % 8 <> 7 and event_id % 16 <> 5),
+first_ as (select key, min({{'path': path, 'line_no': line_no, 'ts': ts, 'model': model}}) as f from parsed where ts is not null group by key)
+select f.path as path, f.ts as ts, f.model as model, max(inp) as inp, max(outp) as outp, max(cr) as cr, max(cc) as cc, max(e5) as e5, max(e1) as e1, max(tier) as tier
+from parsed p join first_ using (key) where (p.path, p.line_no) >= (f.path, f.line_no) group by key, f""")
 def transcript_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Usage of the transcripts' keys (a 64-bit digest that SQL lacks), folded in path and line order."""
-    return transcripts.folded(transcripts.parse(transcript_lines(spark, sf_dir)))
+    return transcripts.folded(transcripts.parse(paired_lines(spark, sf_dir))).drop("key")
 
 
-def rollout_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+def rollout_lines(spark: SparkSession, sf_dir: str, rows: DataFrame | None = None) -> DataFrame:
     e = F.col("event_id")
     x = e % 97 * 10
     named = lambda a, b, c: F.struct(a.alias("input_tokens"), b.alias("cached_input_tokens"), c.alias("output_tokens"))
@@ -65,7 +80,7 @@ def rollout_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     line = F.when(e % 5 == 0, F.to_json(F.struct(F.lit("turn_context").alias("type"), F.col("at").alias("timestamp"), F.struct(F.concat(F.lit("gpt-"), e % 3).alias("model")).alias("payload")))).when(
         e % 5 == 1, F.to_json(F.struct(F.lit("event_msg").alias("type"), F.col("at").alias("timestamp"), F.struct(F.lit("thread_settings_applied").alias("type"), F.struct(F.when(e % 2 == 0, "fast").otherwise("flex").alias("service_tier")).alias("thread_settings")).alias("payload")))).otherwise(
         F.to_json(F.struct(F.lit("event_msg").alias("type"), F.col("at").alias("timestamp"), F.struct(F.lit("token_count").alias("type"), F.struct(total.alias("total_token_usage"), last.alias("last_token_usage")).alias("info")).alias("payload"))))
-    return numbered(spark, sf_dir).select("path", "line_no", line.alias("value"))
+    return (numbered(spark, sf_dir) if rows is None else rows).select("path", "line_no", line.alias("value"))
 
 
 @query(f"""with {NUMBERED}, counts as (select path, line_no, ms as ts, case when event_id % 7 <> 0 then [event_id % 97 * 10, event_id % 97 * 10 // 2, event_id % 97 * 10 // 3] end as total, [event_id % 97 * 10 % 50, event_id % 97 * 10 % 20, event_id % 97 * 10 % 11] as last_ from numbered where event_id % 5 >= 2),
@@ -87,9 +102,49 @@ def forward_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rollouts.carried(rollouts.parse(rollout_lines(spark, sf_dir))).select("path", "line_no", "model", "tier")
 
 
-@query()
+#: Lines of a parent that its child's file begins with; the parent's line at whose time the child was forked off.
+HEAD, FORK = 12, 8
+
+
+def forked_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rollouts of which every second of three is forked from the one before and retells its head; every third one's parent is gone and its head a burst."""
+    u, zone = F.col("user_id"), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"
+    rows = numbered(spark, sf_dir)
+    first = rows.where("line_no = 0").select("user_id", F.to_timestamp("at").alias("_first"))
+    quick = F.date_format(F.timestamp_millis(F.unix_millis("_first") + 400 * F.col("line_no")), zone)
+    rows = rows.join(first, "user_id").withColumn("at", F.when((u % 3 == 2) & (F.col("line_no") < 5), quick).otherwise(F.col("at")))
+    lines = rollout_lines(spark, sf_dir, rows).withColumn("user_id", F.regexp_extract("path", r"s(\d+)\.jsonl$", 1).cast("long"))
+    path = lambda x: F.concat(F.lit("/logs/sessions/s"), x, F.lit(".jsonl"))
+    own = lines.select("path", (F.col("line_no") + F.when(u % 3 == 1, HEAD + 1).when(u % 3 == 2, 1).otherwise(0)).alias("line_no"), "value")
+    users = rows.select("user_id").distinct().where("user_id % 3 != 0")
+    heads = lines.where((u % 3 == 0) & (F.col("line_no") < HEAD)).select((u + 1).alias("user_id"), (F.col("line_no") + 1).alias("line_no"), "value").join(users, "user_id", "left_semi")
+    forks = rows.where((u % 3 == 0) & (F.col("line_no") == FORK)).select((u + 1).alias("user_id"), F.col("at").alias("fork"))
+    told = F.struct(F.lit("session_meta").alias("type"), F.col("fork").alias("timestamp"), F.struct(F.when(u % 3 == 1, F.concat(F.lit("s"), u - 1)).otherwise("gone").alias("forked_from_id")).alias("payload"))
+    metas = users.join(forks, "user_id", "left").select(path("user_id").alias("path"), F.lit(0).cast("long").alias("line_no"), F.to_json(told).alias("value"))
+    return own.unionByName(heads.select(path("user_id").alias("path"), "line_no", "value")).unionByName(metas)
+
+
+@query(f"""with {NUMBERED}, firsts as (select user_id, ms as ms0 from numbered where line_no = 0),
+own as (select user_id as u, event_id as e, line_no as n, case when user_id % 3 = 2 and line_no < 5 then ms0 + 400 * line_no else ms end as ms from numbered join firsts using (user_id)),
+lines as (select u, n + case u % 3 when 1 then {HEAD + 1} when 2 then 1 else 0 end as n, e, ms from own union all select u + 1, n + 1, e, ms from own where u % 3 = 0 and n < {HEAD} and u + 1 in (select u from own)),
+forks as (select u + 1 as u, ms as fork from own where u % 3 = 0 and n = {FORK}),
+said as (select u, n, ms, e, coalesce(last_value(case when e % 5 = 0 then 'gpt-' || e % 3 end ignore nulls) over back, first_value(case when e % 5 = 0 then 'gpt-' || e % 3 end ignore nulls) over ahead, 'codex-unattributed') as model,
+  coalesce(last_value(case when e % 5 = 1 then (e % 2 = 0)::int end ignore nulls) over back, 0) as tier from lines
+  window back as (partition by u order by n rows between unbounded preceding and current row), ahead as (partition by u order by n rows between current row and unbounded following)),
+counts as (select *, case when e % 7 <> 0 then [e % 97 * 10, e % 97 * 10 // 2, e % 97 * 10 // 3] end as total, [e % 97 * 10 % 50, e % 97 * 10 % 20, e % 97 * 10 % 11] as last_ from said where e % 5 >= 2),
+probes as (select u, nth_value(ms, 1) over w as t1, nth_value(ms, 2) over w as t2 from counts window w as (partition by u order by n rows between unbounded preceding and unbounded following)),
+lagged as (select *, last_value(total ignore nulls) over (partition by u order by n rows between unbounded preceding and 1 preceding) as was from counts),
+used as (select *, case when total is null or was is null then last_ when total = was then null when total[1] >= was[1] and total[2] >= was[2] and total[3] >= was[3] then [total[1] - was[1], total[2] - was[2], total[3] - was[3]]
+  when total = last_ or (total[1] < was[1] and total[2] < was[2] and total[3] < was[3]) then total else last_ end as x from lagged),
+events_ as (select *, row_number() over (partition by u order by n) as i from used where x is not null and not (x[1] = 0 and x[3] = 0)),
+met as (select c.*, t1, t2, coalesce(c.x = p.x and (fork is null or p.ms <= fork), false) as same from events_ c left join events_ p on c.u % 3 = 1 and p.u = c.u - 1 and p.i = c.i left join forks f on f.u = c.u left join (select distinct * from probes) q on q.u = c.u),
+told as (select *, bool_and(same) over (partition by u order by n) as retold, bool_and(coalesce(ms - coalesce(prior, t1) between 0 and 1000, false)) over (partition by u order by n) as close from (select *, lag(ms) over (partition by u order by n) as prior from met)),
+judged as (select *, u % 3 <> 0 and case when max(retold::int) over (partition by u) > 0 then retold else coalesce(t2 - t1 between 0 and 1000, false) and close end as inherited from told),
+one as (select u, ms, total, last_, min({{'n': n, 'model': model, 'tier': tier}}) as f, max(x[1] - least(x[1], x[2])) as inp, max(x[3]) as outp, max(least(x[1], x[2])) as cr from judged where not inherited group by u, ms, total, last_)
+select '/logs/sessions/s' || u || '.jsonl' as path, ms as ts, f.model as model, inp, outp, cr, f.tier as tier from one""")
 def rollout_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rollouts.usage_rows(rollouts.parse(rollout_lines(spark, sf_dir)))
+    """Usage of rollouts, some of which retell their parent's head or begin with a burst: what they inherit isn't counted again."""
+    return rollouts.usage_rows(rollouts.parse(forked_lines(spark, sf_dir))).select("path", "ts", "model", "inp", "outp", "cr", "tier")
 
 
 # --- merging and models ----------------------------------------------------------------------------------------------

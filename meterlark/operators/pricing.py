@@ -13,16 +13,16 @@ from meterlark.sources.local import is_small
 def priced(usage: DataFrame, rates: DataFrame) -> DataFrame:
     """Each row with model_key, price status (`priced`, `unpriced`, `unpriced-tier`), cost in nanos and is_estimated.
 
-    One equi-join on model and tier with the interval as residual; the dimension has a few rows per model and is broadcast
+    A stored table may have model_key already; else it is worked out for each row.  One equi-join on model and tier with the interval as residual; the dimension has a few rows per model and is broadcast
     where its size is known to be small.
     """
-    rows = usage.withColumn("model_key", normalize_model(F.col("model"))).withColumn("tier", F.least(F.col("tier"), F.lit(1)))
+    rows = (usage if "model_key" in usage.columns else usage.withColumn("model_key", normalize_model(F.col("model")))).withColumn("tier", F.least(F.col("tier"), F.lit(1)))
     dim = rates.withColumnRenamed("model_key", "_key").withColumnRenamed("tier", "_tier")
     joined = rows.join(F.broadcast(dim) if is_small(rates) else dim, (F.col("model_key") == F.col("_key")) & (F.col("tier") == F.col("_tier")) & (F.col("ts") >= F.col("from_ms")) & (F.col("ts") < F.col("to_ms")), "left")
     joined = joined.withColumn("is_long", is_long())
     status = F.when(F.col("status").isNull(), "unpriced").when((F.col("status") == "priced") & F.col("is_long") & F.col("lc_unpriced"), "unpriced-tier").otherwise(F.col("status"))
     joined = joined.withColumn("price_status", status)
-    return joined.select(*usage.columns, "model_key", "price_status", "is_long", F.when(F.col("price_status") == "priced", nanos(row_cost())).alias("nanos"), F.coalesce("estimated", F.lit(False)).alias("is_estimated"))
+    return joined.select(*(c for c in usage.columns if c != "model_key"), "model_key", "price_status", "is_long", F.when(F.col("price_status") == "priced", nanos(row_cost())).alias("nanos"), F.coalesce("estimated", F.lit(False)).alias("is_estimated"))
 
 
 def measures() -> list[Column]:

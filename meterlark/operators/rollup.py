@@ -53,7 +53,7 @@ def repriced(usage: DataFrame, rollup: DataFrame, rates: DataFrame, lo_ms: int,
     hours' rows are read.  Sums of prompt tokens bound every row's, so a bucket below the threshold holds no long row.
     """
     from meterlark.functions.models import normalize_model
-    from meterlark.operators.pricing import measures, priced, summed
+    from meterlark.operators.pricing import measures, priced
 
     first, last = -(-lo_ms // HOUR_MS), hi_ms // HOUR_MS
     buckets = rollup.where((F.col("hour") >= first) & (F.col("hour") < last))
@@ -64,13 +64,15 @@ def repriced(usage: DataFrame, rollup: DataFrame, rates: DataFrame, lo_ms: int,
     by_rows = F.coalesce(F.col("inp") + F.col("cr") + F.col("cc") > F.col("_limit"), F.lit(False)) | cut
     keyed = keyed.withColumn("_by_rows", by_rows)
     # a bucket stands for two rows: with buckets, and the cache writes without
-    plain = keyed.where("not _by_rows").select(F.col("hour").alias("key"), "acct", begin.alias("ts"), "model", "inp", "outp", "cr", (F.col("cc") - F.col("ccx")).alias("cc"), "e5", "e1", "tier", "n")
-    extra = keyed.where("not _by_rows and ccx > 0").select(F.col("hour").alias("key"), "acct", begin.alias("ts"), "model", *(F.lit(0).cast("long").alias(c) for c in ("inp", "outp", "cr")), F.col("ccx").alias("cc"), F.lit(None).cast("long").alias("e5"), F.lit(None).cast("long").alias("e1"), "tier", F.lit(0).cast("long").alias("n"))
-    whole = priced(plain.unionByName(extra), rates)
-    from_sums = whole.groupBy("model_key", "tier").agg(*[m for m in measures()], F.sum("n").alias("_n")).drop("records").withColumnRenamed("_n", "records")
-    hours = keyed.where("_by_rows").select("hour", "acct", "model", "tier")
-    ranged = usage.where((F.col("ts") >= lo_ms) & (F.col("ts") < hi_ms)).withColumn("hour", F.floor(F.col("ts") / HOUR_MS).cast("long"))
-    edges = ranged.where((F.col("hour") < first) | (F.col("hour") >= last))
-    inside = ranged.where((F.col("hour") >= first) & (F.col("hour") < last)).join(hours, ["hour", "acct", "model", "tier"], "left_semi")
-    from_rows = priced(edges.unionByName(inside).drop("hour"), rates).groupBy("model_key", "tier").agg(*measures())
-    return from_sums.unionByName(from_rows).groupBy("model_key", "tier").agg(*summed())
+    told = keyed.where("not _by_rows")
+    none, zero = F.lit(None).cast("long"), F.lit(0).cast("long")
+    plain = F.struct("inp", "outp", "cr", (F.col("cc") - F.col("ccx")).alias("cc"), "e5", "e1", "n")
+    extra = F.struct(zero.alias("inp"), zero.alias("outp"), zero.alias("cr"), F.col("ccx").alias("cc"), none.alias("e5"), none.alias("e1"), zero.alias("n"))
+    both = told.select(F.col("hour").alias("key"), "acct", begin.alias("ts"), "model", "tier", F.explode(F.when(F.col("ccx") > 0, F.array(plain, extra)).otherwise(F.array(plain))).alias("x"))
+    columns = ["key", "acct", "ts", "model", "inp", "outp", "cr", "cc", "e5", "e1", "tier", "n"]
+    # one scan of the rows: those of the edges, and those of hours whose sums don't price
+    hours = keyed.where("_by_rows").select("hour", "acct", "model", "tier", F.lit(True).alias("_read"))
+    ranged = usage.where((F.col("ts") >= lo_ms) & (F.col("ts") < hi_ms)).withColumn("hour", F.floor(F.col("ts") / HOUR_MS).cast("long")).join(hours, ["hour", "acct", "model", "tier"], "left")
+    rows = ranged.where((F.col("hour") < first) | (F.col("hour") >= last) | F.col("_read")).withColumn("n", F.lit(1).cast("long"))
+    every = both.select("*", "x.*").select(*columns).unionByName(rows.select(*columns))
+    return priced(every, rates).groupBy("model_key", "tier").agg(*measures(), F.sum("n").alias("_n")).drop("records").withColumnRenamed("_n", "records")
