@@ -171,9 +171,14 @@ def wait_advice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return forecasts.should_wait(forecast(spark, sf_dir), AT, "America/Toronto", cost=5.0, model="anthropic/model-11").select("identity", "wait", "utilization", "resets_at", "wait_s")
 
 
-@query()
+@query(f"""{FORECAST_SQL}, card as (select *, case when k is not null and pace > 0 then now_u + k * pace * ((resets_at - {AT}) / 3600000::double) end as at_reset, len = 604800000 as week_, len in (18000000, 604800000) as told_, case kind when 'five_hour' then 0 when 'seven_day' then 1 else 2 end as rank_ from forecast where scope is null),
+by_ as (select identity, max(resets_at) filter (utilization >= 1 and resets_at > {AT}) as until, min(projected_at) as hits_at, min({{'r': rank_, 'k': kind, 'v': at_reset}}) filter (week_) as week, max(pace) filter (not weekly) as recent,
+  max({{'u': utilization, 'w': case when week_ then 'week' else '5h' end}}) filter (told_ and resets_at > {AT} and utilization >= {forecasts.WARNING}) as high, bool_or(projected_at is null and k is not null and pace > 0) as safe from card group by identity),
+said as (select *, case when until is not null then 'full' when hits_at is not null then 'hits' when week.v >= {forecasts.WARNING} then 'week' when not coalesce(recent > 0, false) then 'idle' when safe then 'safe' else 'unknown' end as verdict from by_)
+select identity, verdict, coalesce(until, hits_at) // 1000 as at_s, round(case verdict when 'week' then week.v when 'idle' then high.u end, 6) as utilization, case when verdict = 'idle' then high.w end as named from said""")
 def card_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return forecasts.verdicts(forecast(spark, sf_dir), AT)
+    out = forecasts.verdicts(forecast(spark, sf_dir), AT)
+    return out.select("identity", "verdict", F.floor(F.col("at") / 1000).cast("long").alias("at_s"), F.round("utilization", 6).alias("utilization"), "named")
 
 
 @query(f"""with {T.priced_sql(T.USAGE_EVENTS_SQL)}, {GROUPS_SQL} select grp as "group", coalesce(sum(nanos), 0)::double / 1e9::double / 24::double as cost_per_h, coalesce(sum(inp + outp + cr + cc), 0)::double / 24::double as tokens_per_h
