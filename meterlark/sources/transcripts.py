@@ -8,16 +8,24 @@ from pyspark.sql import functions as F
 from meterlark.functions.keys import SEPARATOR, ledger_key
 from meterlark.functions.models import SYNTHETIC
 from meterlark.functions.timestamps import timestamp_ms
+from meterlark.streaming.lines import register
 
 COUNTS = ("inp", "outp", "cr", "cc", "e5", "e1", "tier")
 
 
 def read_lines(spark: SparkSession, *roots: str) -> DataFrame:
-    """Complete lines of every *.jsonl file below the roots: path, line_no, value.  An unfinished last line is left out; invalid UTF-8 is replaced."""
+    """Complete lines of every *.jsonl file below the roots: path, line_no, value.  An unfinished last line is left out; invalid UTF-8 is replaced.
+
+    Files in folders that every executor sees are read in pieces of 64 MB, however long they are; line_no is then the byte a line
+    begins at.  Of other stores (s3a:, hdfs:) each file is one row first, so files there must be below 2 GB; line_no counts lines.
+    """
+    if all(":" not in r or r.startswith("file:") for r in roots):
+        register(spark)
+        return spark.read.format("appended_lines").option("path", ",".join(roots)).load()
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.jsonl").load(list(roots))
     lines = files.select("path", F.split(F.make_valid_utf8(F.col("content").cast("string")), "\n").alias("_l"))
     lines = lines.select("path", F.posexplode(F.slice("_l", 1, F.greatest(F.size("_l") - 1, F.lit(0)))).alias("line_no", "value"))
-    return lines.withColumn("value", F.rtrim(F.col("value"), F.lit("\r")))
+    return lines.select("path", F.col("line_no").cast("long").alias("line_no"), F.rtrim(F.col("value"), F.lit("\r")).alias("value"))
 
 
 def marked() -> Column:

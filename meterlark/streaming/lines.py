@@ -151,7 +151,7 @@ class AppendedLines(DataSource):
         return SCHEMA
 
     def _roots(self) -> list[str]:
-        return [p.removeprefix("file://") for p in self.options["path"].split(",") if p]
+        return [p.removeprefix("file://").removeprefix("file:") for p in self.options["path"].split(",") if p]
 
     def reader(self, schema):
         return _Batch(self._roots())

@@ -3,15 +3,16 @@
 from __future__ import annotations
 
 import json
+import re
 import random
 import time
+from datetime import UTC, datetime, timedelta
 
 import pytest
 from comparing import plain
 from pyspark.sql import functions as F
 
 from meterlark.functions.keys import ledger_key_of
-from meterlark.functions.timestamps import timestamp_of
 from meterlark.sources import rollouts, transcripts
 from meterlark.sources.ledger import only_in_ledger, read_ledger
 from meterlark.streaming import ingest, states
@@ -56,6 +57,38 @@ def test_fold_takes_the_first_timed_line_and_later_maxima(spark):
     assert {r["outp"] for r in transcripts.folded(transcripts.parse(frame(spark, lines)), known).collect()} == {7, 1}
 
 
+def plain_timestamp(text):
+    """Epoch ms by the standard library; 24:00 is the next midnight, no offset is UTC, half to even."""
+    if not text:
+        return None
+    text, ahead = re.subn(r"(?<=[T ])24:00(:00(?:[.,]0+)?)?(?=$|Z|[+-])", "00:00", text)
+    try:
+        at = datetime.fromisoformat(text) + timedelta(days=ahead)
+    except (ValueError, OverflowError):
+        return None
+    micros = (at if at.tzinfo else at.replace(tzinfo=UTC)) - datetime(1970, 1, 1, tzinfo=UTC)
+    whole, rest = divmod(micros // timedelta(microseconds=1), 1000)
+    return whole + (rest > 500 or (rest == 500 and whole % 2))
+
+
+def test_times_of_random_shapes(spark):
+    from meterlark.functions.timestamps import timestamp_ms
+
+    rng = random.Random(3)
+
+    def one():
+        y, mo, d, w, k = rng.choice([1969, 1999, 2000, 2024, 2026, rng.randint(1, 9990)]), rng.randint(0, 13), rng.randint(0, 32), rng.randint(0, 54), rng.randint(0, 8)
+        day = rng.choice([f"{y:04}-{mo:02}-{d:02}", f"{y:04}{mo:02}{d:02}", f"{y:04}-W{w:02}-{k}", f"{y:04}-W{w:02}", f"{y:04}W{w:02}{k}", f"{y:04}-{mo:02}{d:02}"])
+        h, mi, sec, f = rng.choice([0, 5, 23, 25]), rng.choice([0, 30, 59, 60]), rng.choice([0, 1, 59, 60]), rng.choice(["", ".5", ",25", ".0005", ".0015", ".1234567"])
+        time = rng.choice([f"{h:02}", f"{h:02}:{mi:02}", f"{h:02}:{mi:02}:{sec:02}{f}", f"{h:02}{mi:02}{sec:02}{f}", f"{h:02}:{mi:02}{sec:02}", "24:00", "24:00:00"])
+        return day + rng.choice(["", rng.choice("T x") + time + rng.choice(["", "Z", "+01:00", "-0530", "+02", "+24:00", "z"]), "T"])
+
+    texts = [one() for _ in range(3000)]
+    got = [r[0] for r in spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i long, t string").select(timestamp_ms(F.col("t")).alias("ms"), "i").orderBy("i").select("ms").collect()]
+    want = [plain_timestamp(t) for t in texts]
+    assert [(t, g, w) for t, g, w in zip(texts, got, want, strict=True) if g != w] == [] and sum(w is not None for w in want) > 500
+
+
 @pytest.mark.parametrize(("text", "ms"), [
     ("2026-06-01T00:00:00.000Z", 1780272000000), ("2026-W23-1", 1780272000000), ("20260601T000000+0100", 1780268400000), ("2026-06-01 00:00", 1780272000000), ("2026-05-31T24:00:00Z", 1780272000000),
     ("2026-06-01T00:00:00.0005Z", 1780272000000), ("2026-06-01T00:00:00.0015Z", 1780272000002), ("nonsense", None), ("", None), (None, None),
@@ -63,7 +96,7 @@ def test_fold_takes_the_first_timed_line_and_later_maxima(spark):
 def test_timestamps(spark, text, ms):
     from meterlark.functions.timestamps import timestamp_ms
 
-    assert timestamp_of(text) == ms
+    assert plain_timestamp(text) == ms
     assert spark.createDataFrame([(text,)], "t string").select(timestamp_ms(F.col("t"))).first()[0] == ms
 
 
@@ -200,3 +233,25 @@ def test_a_file_rewritten_in_place_is_read_anew(spark, tmp_path):
         f.write(line_a(200) + "\n")
     assert ingest.follow(spark, [str(root)], log, check, provider="a").awaitTermination(120)
     assert spark.read.parquet(log).count() == len(expected) + 1
+
+
+def test_batch_lines_are_read_in_pieces(spark, tmp_path, monkeypatch):
+    """Long files are cut at line ends; what order and first lines mean stays the same."""
+    from meterlark.streaming import lines as source
+
+    folder = tmp_path / "projects" / "x"
+    folder.mkdir(parents=True)
+    made = [line_a(i) for i in range(200)]
+    (folder / "a.jsonl").write_bytes("\n".join(made).encode() + b"\r\nbad \xff bytes\nunfinished")
+    (folder / "notes.txt").write_text("no\n")
+    cut = source.pieces(str(folder / "a.jsonl"), 0, 1000)
+    assert len(cut) == 1
+    monkeypatch.setattr(source, "SPAN", 1000)
+    size = (folder / "a.jsonl").stat().st_size
+    told = [row for p in source.pieces(str(folder / "a.jsonl"), 0, source.last_line_end(str(folder / "a.jsonl"), size)) for row in source.lines_of(p)]
+    assert [v for _, _, v in told] == [*made, "bad \ufffd bytes"]
+    found = transcripts.read_lines(spark, str(tmp_path)).orderBy("line_no").collect()
+    assert [r["value"] for r in found] == [*made, "bad \ufffd bytes"] and found[0]["line_no"] == 0
+    assert [r["value"] for r in found] == [v for _, _, v in told]
+    other = transcripts.read_lines(spark, f"file:{tmp_path}").collect()
+    assert len(other) == len(found)
