@@ -38,7 +38,7 @@ class Proven:
     """A vocabulary file and what the driver has proven of it; sent to the tasks."""
 
     path: str
-    whole: dict[str, int]  # the strings that, as a text alone, encode as one token
+    whole: dict[str, bytes]  # the strings that, as a text alone, encode as one token, with its id
     special: list[str]
     ranks: dict[bytes, int] | None  # for a faster merger of plain Latin text, where merge order and id order agree
     unmerged: frozenset[str]  # strings of the vocabulary that merges don't reach
@@ -60,8 +60,7 @@ def proven(path: str) -> Proven:
         raise ValueError(f"{path}: the shortcut needs a plain byte-level pre-tokeniser")
     special = [x["content"] for x in said.get("added_tokens", [])]
     known = {library.decode([i], skip_special_tokens=False): i for i in library.get_vocab(with_added_tokens=False).values()}
-    found = library.encode_batch(list(known), add_special_tokens=False)
-    whole = {s: i for (s, i), e in zip(known.items(), found, strict=True) if e.ids == [i] and s not in special}
+    whole = {s: i.to_bytes(4, "little") for s, i in known.items() if s not in special and library.encode(s, add_special_tokens=False).ids == [i]}
     return Proven(path, whole, special, _ranks(said["model"], special), frozenset(known) - frozenset(whole))
 
 
@@ -101,8 +100,7 @@ class Coder:
     """Token ids of texts; made anew for each task, so that it takes no memory of later ones."""
 
     def __init__(self, table: Proven):
-        self.table = table
-        self.whole = {s: i.to_bytes(4, "little") for s, i in table.whole.items()}
+        self.table, self.whole = table, table.whole
         self.plain = _Memo(self.chunk)
         self.spaced = _Memo(lambda word: self.chunk(f" {word}"))
 

@@ -12,9 +12,10 @@ from contextvars import ContextVar
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: A batch is worked off in slices of about so many bytes of text (one longer text is a slice).
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -62,6 +63,15 @@ def settled(df: DataFrame, label: str, keep: bool = False) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Bytes that a side may take, counted, to be sent to every executor; and those of a row of keys in a broadcast table.
+BROADCAST_BYTES, KEY_BYTES = 32 << 20, 64
+
+
+def sent_if_few(keys: DataFrame) -> DataFrame:
+    """A written table of keys, to be broadcast if a count of its rows shows that they are few; else it is joined by shuffle."""
+    return F.broadcast(keys) if keys.count() * KEY_BYTES <= BROADCAST_BYTES else keys
+
+
 def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meterlark.llm._shared import give_back, partitions, scratch, settled, slices, text_bytes
+from meterlark.llm._shared import give_back, partitions, scratch, sent_if_few, settled, slices, text_bytes
 from meterlark.llm._words import Words, ascii_lower, mixed
 from meterlark.llm.components import components
 
@@ -124,8 +124,8 @@ def sketch(rows: DataFrame, k: int, trees: int, levels: int) -> DataFrame:
 
 def confirmed(pairs: DataFrame, rows: DataFrame, k: int, part: int, whole: int) -> DataFrame:
     """The pairs (a, b) whose full sets have whole * intersection >= part * union."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    texts = settled(rows.join(ids, "id", "left_semi").dropDuplicates(["id", "text"]), "texts")
+    ids = settled(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ids")
+    texts = settled(rows.join(sent_if_few(ids), "id", "left_semi").dropDuplicates(["id", "text"]), "texts")
     joined = pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b").join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a").select("a", "b", "text_a", "text_b")
 
     def work(batches):
@@ -153,7 +153,8 @@ def confirmed_by_block(pairs: DataFrame, rows: DataFrame, sizes: DataFrame, k: i
     tiles = pairs.join(cuts, ["node", "block"]).withColumn("tile", F.xxhash64("node", "block", F.least(own("a"), own("b")), F.greatest(own("a"), own("b"))))
     asked = tiles.select("tile", F.explode(F.array(F.struct(F.greatest("a", "b").alias("id"), F.least("a", "b").alias("with")), F.struct(F.least("a", "b").alias("id"), F.lit(None).cast("long").alias("with")))).alias("x")).select("tile", "x.*")
     asked = settled(asked.groupBy("tile", "id").agg(F.collect_set("with").alias("earlier")), "asked")
-    texts = settled(rows.join(asked.select("id").distinct(), "id", "left_semi").dropDuplicates(["id", "text"]), "texts")
+    ids = settled(asked.select("id").distinct(), "ids")
+    texts = settled(rows.join(sent_if_few(ids), "id", "left_semi").dropDuplicates(["id", "text"]), "texts")
 
     def work(batches):
         tile, held = None, {}
@@ -326,7 +327,8 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, part: int = 85, whole:
     several components are compared exhaustively by sketch, members of the largest one only with the others.  A node with more than
     NODE others branches on first, each set following two or more further minwise tokens, level by level, as long as that lessens
     the comparisons; what no branching lessens (a large family of near misses) is compared block by block.  What a sketch allows
-    is confirmed on full sets.  A pair of the asked similarity is missed with a probability below TREE_MISS + 2 * SKETCH_MISS.
+    is confirmed on full sets.  Texts to be confirmed are picked by a broadcast of their ids if a count shows that these are few, else by a join.
+    A pair of the asked similarity is missed with a probability below TREE_MISS + 2 * SKETCH_MISS.
     Nothing is capped.
 
     A document without words or with null text has n_shingles 0 and is linked with nothing.  Rows of one id are one
