@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meterlark.llm._shared import scratch, settled
+from meterlark.llm._shared import scratch, sent_if_few, settled
 from meterlark.llm.decontaminate import decontaminate
 from meterlark.llm.language import fit_centroids, language_of
 from meterlark.llm.near_dedup import near_duplicates
@@ -52,9 +52,11 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ids = rows.select(KEY, "doc_id").distinct()
     first = F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", KEY, "n_shingles", "n"))
     kept = settled(groups.join(ids, KEY).groupBy("component_id").agg(first.alias("f")).select(f"f.{KEY}", F.expr("f.n > 1 and f.n_shingles > 0").alias("equal")), "kept")
-    left = rows.join(kept.where("not equal").select(KEY), KEY, "left_semi")
-    if not kept.where("equal").isEmpty():
-        left = left.unionByName(rows.join(kept.where("equal").select(KEY), KEY, "left_semi").dropDuplicates([KEY]))
+    equal = settled(kept.where("equal").select(KEY), "equal")
+    gone = settled(groups.select(KEY).join(kept, KEY, "left_anti").union(equal).distinct(), "gone")
+    left = rows.join(sent_if_few(gone), KEY, "left_anti")
+    if not equal.isEmpty():
+        left = left.unionByName(rows.join(sent_if_few(equal), KEY, "left_semi").dropDuplicates([KEY]))
     return left.select(*docs.columns)
 
 
@@ -65,8 +67,8 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     rows = keyed(docs)
-    dirty = decontaminate(rows, benchmark, id_col=KEY).where("contaminated").select(F.col("doc_id").alias(KEY)).distinct()
-    return rows.join(dirty, KEY, "left_anti").select(*docs.columns)
+    dirty = settled(decontaminate(rows, benchmark, id_col=KEY).where("contaminated").select(F.col("doc_id").alias(KEY)).distinct(), "dirty")
+    return rows.join(sent_if_few(dirty), KEY, "left_anti").select(*docs.columns)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
