@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meterlark.llm.decontaminate import decontaminate
+from meterlark.llm.filter_audit import audit_filters
 from meterlark.llm.language import fit_centroids, identify_language
 from meterlark.llm.near_dedup import near_duplicates
 from meterlark.llm.packing import pack
@@ -16,6 +17,7 @@ from meterlark.llm.secrets import scan_secrets
 from meterlark.llm.substrings import find_repeats
 from meterlark.llm.token_counts import count_tokens
 from meterlark.llm.url_lists import filter_urls, host_of
+from meterlark.llm.whitening import whiten
 
 VOCABULARY = "byte_bpe_50k.json"
 
@@ -89,7 +91,15 @@ def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_assign", "n_access", "n_hex", hashed(F.col("base")).alias("base_sha256"), "spans", "n_spans")
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_substring_dedup, op3_near_dedup, op4_url_filters, op5_decontamination, op6_personal_data, op7_quality_rules, op8_language_id, op9_packing, op10_secret_scans)}
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit_filters(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(table(spark, sf_dir, "embeddings"), components=8).withColumn("deviation", F.col("deviation").cast("long"))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_substring_dedup, op3_near_dedup, op4_url_filters, op5_decontamination, op6_personal_data, op7_quality_rules, op8_language_id, op9_packing, op10_secret_scans, op11_filter_audit, op13_embedding_whitening)}
 
 SQL: dict[str, str] = {
     "op4_url_filters": r"""
@@ -117,5 +127,26 @@ items as (select doc_id, count(*) as n_items, string_agg(item, ',' order by item
 select d.doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items, sha256(coalesce(s, '')) as items_sha256,
        coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(w) as contaminated
 from d left join words using (doc_id) left join items using (doc_id)
+""",
+    "op11_filter_audit": r"""
+with d as (select coalesce(doc_id, 9223372036854775807) as id, doc_id, coalesce(source, '') as part, coalesce(text, '') as t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+l as (select doc_id, bool_or(coalesce(quality = 1, false)) as good, bool_or(coalesce(toxic = 1, false)) as toxic from labels where doc_id is not null group by doc_id),
+m as (select part, coalesce(good, false) as good, coalesce(toxic, false) as toxic,
+             (len(w) < 200)::int + 2 * (100 * len(list_distinct(w)) < 50 * len(w))::int + 4 * (100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 2 * length(t))::int
+             + 8 * regexp_matches(t, '[#$%&*|]')::int + 16 * (id > min(id) over (partition by t))::int as fails
+      from d left join l on d.doc_id = l.doc_id),
+c as (select part, fails, count(*) as n, count(*) filter (good) as good, count(*) filter (toxic) as toxic from m group by part, fails),
+f as (select unnest(['A', 'B', 'C', 'D', 'E']) as k, unnest([1, 2, 4, 8, 16]) as b),
+o as (select p.k || q.k || r.k || s.k || t.k as filter_order from f p, f q, f r, f s, f t where p.b + q.b + r.b + s.b + t.b = 31 and len(list_distinct([p.k, q.k, r.k, s.k, t.k])) = 5),
+steps as (select filter_order, step, f.b, coalesce((select sum(g.b) from f g where position(g.k in filter_order) < step), 0)::int as before
+          from o, unnest([1, 2, 3, 4, 5]) as u(step), f where f.k = substr(filter_order, step, 1)),
+r as (select part, filter_order, step, b, sum(case when fails & (before | b) = 0 then n else 0 end)::bigint as kept,
+             sum(case when fails & b <> 0 and fails & before = 0 then n else 0 end)::bigint as removed,
+             sum(case when fails & b <> 0 and fails & before <> 0 then n else 0 end)::bigint as redundant,
+             sum(case when fails = b then n else 0 end)::bigint as unique_fails,
+             sum(case when fails & b <> 0 and fails & before = 0 then good else 0 end)::bigint as good_lost,
+             sum(case when fails & b <> 0 and fails & before = 0 then toxic else 0 end)::bigint as toxic_lost
+      from c, steps group by part, filter_order, step, b)
+select part, filter_order, step::int as step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, (sum(removed) over (partition by part, b))::bigint as shapley from r
 """,
 }
