@@ -17,6 +17,7 @@ from meterlark.llm.secrets import scan_secrets
 from meterlark.llm.substrings import find_repeats
 from meterlark.llm.token_counts import count_tokens
 from meterlark.llm.url_lists import filter_urls, host_of
+from meterlark.llm.vector_dedup import near_vectors
 from meterlark.llm.whitening import whiten
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -95,11 +96,15 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit_filters(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op12_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(table(spark, sf_dir, "embeddings"), cosine=0.98)
+
+
 def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whiten(table(spark, sf_dir, "embeddings"), components=8).withColumn("deviation", F.col("deviation").cast("long"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_substring_dedup, op3_near_dedup, op4_url_filters, op5_decontamination, op6_personal_data, op7_quality_rules, op8_language_id, op9_packing, op10_secret_scans, op11_filter_audit, op13_embedding_whitening)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_substring_dedup, op3_near_dedup, op4_url_filters, op5_decontamination, op6_personal_data, op7_quality_rules, op8_language_id, op9_packing, op10_secret_scans, op11_filter_audit, op12_embedding_dedup, op13_embedding_whitening)}
 
 SQL: dict[str, str] = {
     "op4_url_filters": r"""
@@ -148,5 +153,13 @@ r as (select part, filter_order, step, b, sum(case when fails & (before | b) = 0
              sum(case when fails & b <> 0 and fails & before = 0 then toxic else 0 end)::bigint as toxic_lost
       from c, steps group by part, filter_order, step, b)
 select part, filter_order, step::int as step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, (sum(removed) over (partition by part, b))::bigint as shapley from r
+""",
+    "op12_embedding_dedup": r"""
+with recursive v as (select row_number() over () as r, vec_id, label, list_transform(embedding, lambda c: c::double) as e from embeddings),
+u as (select r, label, e from v where label is not null and e is not null and len(e) > 0 and len(list_filter(e, lambda c: c is null or not isfinite(c))) = 0 and len(list_filter(e, lambda c: c <> 0)) > 0),
+k as (select a.r as a, b.r as b from u a join u b on a.label = b.label and len(a.e) = len(b.e) and a.r <> b.r where list_cosine_similarity(a.e, b.e) >= 0.98),
+w as (select r as a, r as b from v union select w.a, k.b from w join k on w.b = k.a),
+c as (select w.a as r, min(v.vec_id) as component_id from w join v on v.r = w.b group by w.a)
+select v.vec_id, (select count(*) from k where k.a = v.r) as n_links, c.component_id, coalesce(v.vec_id = c.component_id, c.component_id is null) as kept from v join c using (r)
 """,
 }
