@@ -36,7 +36,7 @@ def whiten(vectors: DataFrame, components: int = 8, id_col: str = "vec_id", vect
     frequent the greatest is taken), as no covariance is theirs.  Null ids and repeated rows stay, each a row of the fit.  A
     component without variance beyond rounding (fewer rows than dimensions, equal rows) is whitened to 0 and left out of
     identity_error.  Signs: the entry of a component that is largest in size is positive.  No usable rows, or empty vectors, give no rows.
-    deviation is exact at any size.  The driver sees sums and Gramians, of the size of the dimensions alone.
+    deviation is exact at any size; an entry whose whole number is no long raises an arithmetic error.  The driver sees sums and Gramians, of the size of the dimensions alone.
     """
     spark = vectors.sparkSession
     kept = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("v")).where(usable(F.col("v")))
@@ -44,8 +44,9 @@ def whiten(vectors: DataFrame, components: int = 8, id_col: str = "vec_id", vect
     if lengths is None or not lengths["d"]:
         return spark.createDataFrame([], SCHEMA)
     dims, n = lengths["d"], lengths["n"]
-    kept = kept.where(F.size("v") == dims)
-    whole = kept.select("vec_id", F.transform("v", lambda c: F.floor(SCALE * c.cast("double")) + SHIFT).alias("x"))
+    # the guard is within the expression: a filter may be evaluated after it
+    x = F.when(usable(F.col("v")), F.transform("v", lambda c: F.floor(SCALE * c.cast("double")) + SHIFT))
+    whole = kept.where(F.size("v") == dims).select("vec_id", x.alias("x"))
     sums = whole.select(F.posexplode("x").alias("i", "c")).groupBy("i").agg(F.sum(F.col("c").cast("decimal(38,0)")).alias("s")).collect()
     total = [int(r["s"]) for r in sorted(sums, key=lambda r: r["i"])]
     s = F.array(*[F.lit(v).cast("decimal(38,0)") for v in total]) if max(map(abs, total)) >= 2**62 else F.array(*[F.lit(v).cast("long") for v in total])
