@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
@@ -30,8 +31,8 @@ def grams(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     n = len(offsets) - 1
     blank = BLANK[data]
     keep = ~blank
-    keep[:1] |= blank[:1]
     keep[1:] |= blank[1:] & ~blank[:-1]
+    keep[(offsets[:-1] - offsets[0])[np.diff(offsets) > 0]] = True  # a text's own first blank, whatever the text before it ends in
     doc = np.repeat(np.arange(n), np.diff(offsets))[keep]
     b = np.where(blank, np.uint8(32), data)[keep].astype(np.uint32)
     if len(b) < 3:
@@ -139,7 +140,10 @@ def fit_centroids(labelled: DataFrame, *, per_language: int = 3, sample: int = 2
             for at, counts in blocks(part):
                 yield pa.RecordBatch.from_arrays([part.column("lang").slice(at, len(counts)), pa.array([x.astype(np.float16).tobytes() for x in np.log1p(counts)], pa.binary())], names=["lang", "vector"])
 
-    got = picked.mapInArrow(vectors, "lang string, vector binary").toPandas()  # about `sample` rows of 8 KB
+    got = picked.mapInArrow(vectors, "lang string, vector binary").toPandas()  # about `sample` rows of 32 KB
+    if lost := sorted(set(sizes) - set(got["lang"])):  # where there are many languages a draw may miss one: its row of the least hash stands for it
+        least = rows.join(F.broadcast(spark.createDataFrame([(k,) for k in lost], "lang string")), "lang").groupBy("lang").agg(F.min_by("text", F.xxhash64("doc_id", "text")).alias("text"))
+        got = pd.concat([got, least.select("lang", "text").mapInArrow(vectors, "lang string, vector binary").toPandas()])
     got = got.sort_values(["lang", "vector"])
     languages, centres = [], []
     for lang, part in got.groupby("lang", sort=True):

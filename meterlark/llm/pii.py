@@ -305,7 +305,11 @@ def segments(text: str, start: int, end: int) -> list[list[tuple[str, int, int]]
     return out
 
 
-EMAIL = re.compile(r"[A-Za-z0-9._%+-]+\s*(@|[(\[]?\s*at\s*[)\]]?)\s*[A-Za-z0-9-]+((\.|\s*[(\[]?\s*dot\s*[)\]]?\s*)[A-Za-z0-9-]+)+", re.IGNORECASE | re.ASCII)
+#: White space at most on either side of an address's `at`, `dot` or bracket; wider gaps (padding of tables, say) end an address.
+GAP = 16
+_GAP = rf"\s{{0,{GAP}}}+"
+# possessive throughout, so that each character is looked at a bounded number of times
+EMAIL = re.compile(rf"[A-Za-z0-9._%+-]++{_GAP}(@|[(\[]?{_GAP}at{_GAP}[)\]]?){_GAP}[A-Za-z0-9-]++((\.|{_GAP}[(\[]?{_GAP}dot{_GAP}[)\]]?{_GAP})[A-Za-z0-9-]++)++", re.IGNORECASE | re.ASCII)
 
 
 def holds(kind: str, found: str) -> bool:
