@@ -280,4 +280,4 @@ def rollup_repriced(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("model_key", "tier", F.col("inp").alias("input"), F.col("outp").alias("output"), F.col("cr").alias("cache_read"), F.col("cc").alias("cache_write"), "records", F.round(F.col("nanos").cast("double") / F.lit(1e9), 2).alias("cost"))
 
 
-from meterlark import catalog_ingest, catalog_limits, catalog_stores, catalog_told  # noqa: E402, F401  register their queries
+from meterlark import catalog_ingest, catalog_kept, catalog_limits, catalog_stores, catalog_told  # noqa: E402, F401  register their queries

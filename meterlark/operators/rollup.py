@@ -2,22 +2,24 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meterlark.schema import HOUR_MS
+from meterlark.schema import DAY_MS, HOUR_MS
 from meterlark.sources.local import is_small
 
 KEYS = ("hour", "acct", "model", "tier")
 SUMS = ("inp", "outp", "cr", "cc", "e5", "e1", "ccx", "n")
 
 
-def _as_sums(usage: DataFrame) -> DataFrame:
+def _as_sums(usage: DataFrame, *more: str) -> DataFrame:
     zero = F.lit(0).cast("long")
     return usage.select(
         F.floor(F.col("ts") / HOUR_MS).cast("long").alias("hour"), "acct", "model", "tier", "inp", "outp", "cr", "cc",
         F.coalesce("e5", zero).alias("e5"), F.coalesce("e1", zero).alias("e1"),
-        F.when(F.col("e5").isNull() & F.col("e1").isNull(), F.col("cc")).otherwise(zero).alias("ccx"), F.lit(1).cast("long").alias("n"),
+        F.when(F.col("e5").isNull() & F.col("e1").isNull(), F.col("cc")).otherwise(zero).alias("ccx"), F.lit(1).cast("long").alias("n"), *more,
     )
 
 
@@ -32,6 +34,12 @@ def maintained(rollup: DataFrame, before: DataFrame, after: DataFrame) -> DataFr
     return rollup.select(*KEYS, *SUMS).unionByName(minus).unionByName(_as_sums(after)).groupBy(*KEYS).agg(*(F.sum(c).alias(c) for c in SUMS)).where("n > 0")
 
 
+def signed(changes: DataFrame) -> DataFrame:
+    """Signed sums of changed rows (sign -1 taken back, 1 put in): what is to be added to the rollup; buckets that stay the same are left out."""
+    sums = _as_sums(changes, "sign").groupBy(*KEYS).agg(*(F.sum(F.col(c) * F.col("sign")).alias(c) for c in SUMS))
+    return sums.where(reduce(lambda x, c: x | (F.col(c) != 0), SUMS, F.lit(False)))
+
+
 def drift(rollup: DataFrame, usage: DataFrame) -> DataFrame:
     """Buckets that differ from a rebuild, either way: none in a healthy store."""
     fresh = built(usage).select(*KEYS, *SUMS)
@@ -51,12 +59,17 @@ def repriced(usage: DataFrame, rollup: DataFrame, rates: DataFrame, lo_ms: int,
 
     A bucket is priced as one row unless a card changes inside its hour or the bucket could hold a long-context row; those
     hours' rows are read.  Sums of prompt tokens bound every row's, so a bucket below the threshold holds no long row.
+    Tables stored by day (usage with utc_day, a rollup with day) are read only for the range's days.
     """
     from meterlark.functions.models import normalize_model
     from meterlark.operators.pricing import measures, priced
 
     first, last = -(-lo_ms // HOUR_MS), hi_ms // HOUR_MS
     buckets = rollup.where((F.col("hour") >= first) & (F.col("hour") < last))
+    if "day" in rollup.columns:
+        buckets = buckets.where((F.col("day") >= lo_ms // DAY_MS) & (F.col("day") <= (hi_ms - 1) // DAY_MS)).drop("day")
+    if "utc_day" in usage.columns:
+        usage = usage.where((F.col("utc_day") >= lo_ms // DAY_MS) & (F.col("utc_day") <= (hi_ms - 1) // DAY_MS))
     limits = rates.groupBy("model_key").agg(F.min("lc_threshold").alias("_limit"), F.collect_set("from_ms").alias("_starts"))
     keyed = buckets.withColumn("_key", normalize_model(F.col("model"))).join(F.broadcast(limits) if is_small(rates) else limits, F.col("_key") == F.col("model_key"), "left").drop("model_key")
     begin = F.col("hour") * HOUR_MS

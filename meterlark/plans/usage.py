@@ -13,6 +13,7 @@ from meterlark.functions.cost import tokens, usd
 from meterlark.functions.models import model_matches, normalize_model
 from meterlark.operators.pricing import measures, priced, shown
 from meterlark.plans.periods import HOUR, Range, Zone, calendar_slices, equal_buckets, spine
+from meterlark.schema import DAY_MS
 
 #: An answer with more calendar groups than this is refused before it is computed.
 MOST_GROUPS = 500
@@ -75,7 +76,10 @@ class UsageQueries:
         return self.usage.join(self.selected().select(F.col("id").alias("acct")), "acct", "left_semi")
 
     def within(self, span: Range | None) -> DataFrame:
+        """Priced rows of a range; a table stored by utc_day is read only for its days."""
         rows = self.filtered if span is None else self.filtered.where((F.col("ts") >= span.start) & (F.col("ts") < span.end))
+        if span is not None and "utc_day" in rows.columns:
+            rows = rows.where((F.col("utc_day") >= span.start // DAY_MS) & (F.col("utc_day") <= (span.end - 1) // DAY_MS))
         return priced(rows, self.rates)
 
     def extent(self) -> tuple[int, int] | None:
