@@ -82,7 +82,8 @@ class UsageStore:
 
     def usage(self, touched: list[int] | None = None) -> DataFrame:
         """The merged rows with their bucket; those of some buckets alone, as a partition filter."""
-        rows = read(self.spark, f"{self.path}/usage/of={self.of}", f"{USAGE}, bucket int")
+        path, schema = f"{self.path}/usage/of={self.of}", f"{USAGE}, bucket int"
+        rows = read(self.spark, path, schema) if whole(self.spark, path) else self.spark.createDataFrame([], schema)
         return rows if touched is None else rows.where(F.col("bucket").isin(touched))
 
     def upto(self) -> int:
@@ -149,13 +150,17 @@ class UsageStore:
         return sorted(r["bucket"] for r in rows.select(bucket_of("key", self.of).alias("bucket")).distinct().collect())
 
     def _put(self, rows: DataFrame, buckets: int) -> None:
-        out = rows.withColumn("bucket", bucket_of("key", buckets)).repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-        out.partitionBy("bucket").parquet(f"{self.path}/usage/of={buckets}")
+        """Rows in place of their buckets'; a table that isn't whole yet is written as one, as only such a write marks it whole."""
+        path = f"{self.path}/usage/of={buckets}"
+        mode = "dynamic" if whole(self.spark, path) else "static"
+        out = rows.withColumn("bucket", bucket_of("key", buckets)).repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", mode)
+        out.partitionBy("bucket").parquet(path)
 
     def split(self) -> None:
         """Twice as many buckets: for a store that has doubled.  The old ones go once the new ones are whole."""
         old = self.of
-        removed(self.spark, f"{self.path}/usage/of={2 * old}")  # of a split that was cut off
+        if not whole(self.spark, f"{self.path}/usage/of={old}"):
+            return
         self._put(self.usage().drop("bucket"), 2 * old)
         removed(self.spark, f"{self.path}/usage/of={old}")
 
