@@ -7,9 +7,12 @@ from dataclasses import replace
 from pyspark.sql import DataFrame, SparkSession
 
 from meterlark.catalog import ODD, PRICED, ROLLUP_SQL, M, q, query
+from meterlark.catalog_limits import AT, EVENTS, windows
+from meterlark.operators import limit_events
 from meterlark.operators.store import UsageStore
+from meterlark.schema import EVENT_LOG
 from meterlark.sources import tables as T
-from meterlark.sources.shared import new_folder
+from meterlark.sources.shared import new_folder, read
 
 
 def filled(spark: SparkSession, sf_dir: str) -> UsageStore:
@@ -44,3 +47,12 @@ def usage_pruned(spark: SparkSession, sf_dir: str) -> DataFrame:
     """By model over a range whose ends are inside days: of the stored changes only the range's periods are read."""
     own = replace(q(spark, sf_dir), usage=filled(spark, sf_dir).between(ODD.start, ODD.end))
     return own.by_model(ODD).drop("share")
+
+
+@query(f"{EVENTS} select * from limit_events")
+def events_recorded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Limit events from two halves of the captures, the second of which sees the first's stored events alone: the whole history's."""
+    rows, log = windows(spark, sf_dir), new_folder(spark, "events")
+    limit_events.detect(rows.where(f"at < {AT}")).write.parquet(log)
+    found = limit_events.advanced(read(spark, log, EVENT_LOG), rows.where(f"at >= {AT}"))
+    return found.withColumnRenamed("window", "win").withColumnRenamed("at", "at_ms")

@@ -123,11 +123,11 @@ def account_list(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""with caps as (select 'identity-' || (user_id % 9) as identity, case user_id % 9 % 2 when 0 then 'claude' else 'codex' end as provider, epoch_us(ts) // 1000 as at_ms, event_id as seq from events),
-one as (select identity, seq % 2 as side, max({'at': at_ms, 'seq': seq, 'provider': provider}) as c from caps where seq % 5 < 4 group by all)
+one as (select identity, seq % 2 as side, max({'at': at_ms, 'seq': seq, 'provider': provider}) as c from caps group by all)
 select identity, c.provider as provider, c.at as at_ms, side from one qualify row_number() over (partition by identity order by c.at desc, side) = 1""")
 def captures_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A cache of captures with newer ones written into it: of each identity the fresher; of equally fresh ones the stored."""
-    rows = T.captures(spark, sf_dir).where("seq % 5 < 4").withColumn("side", (F.col("seq") % 2).cast("long"))
+    rows = T.captures(spark, sf_dir).withColumn("side", (F.col("seq") % 2).cast("long"))
     newest = rows.groupBy("identity", "side").agg(F.max_by(F.struct("provider", "captured_at", "via"), F.struct("captured_at", "seq")).alias("c")).select("identity", "side", "c.*")
     out = limits_cache.merged(newest.where("side = 0"), newest.where("side = 1"))
     return out.select("identity", "provider", F.round(F.col("captured_at") * 1000).cast("long").alias("at_ms"), "side")

@@ -124,7 +124,7 @@ def days_of_zone(spark: SparkSession, sf_dir: str) -> DataFrame:
 STEPS_SQL = " ".join(f"when left_ <= {m * 60_000} then '{name}'" for m, name in limits.STEPS)
 
 
-@query(f"""{WINDOWS}, w as (select identity, seq, kind, utilization, resets_at, resets_at - at_ms as left_, at_ms, greatest(0, floor((resets_at - at_ms) / 1000::double + 0.5::double)::bigint) as s from windows where seq % 4 = 1),
+@query(f"""{WINDOWS}, w as (select identity, seq, kind, utilization, resets_at, resets_at - at_ms as left_, at_ms, greatest(0, floor((resets_at - at_ms) / 1000::double + 0.5::double)::bigint) as s from windows),
 x as (select *, floor(s / 60::double + 0.5::double)::bigint as m from w), y as (select *, m // 60 as h from x)
 select identity, seq, kind, floor(utilization * 100 + 0.5::double)::bigint || '%' as share,
   case when s < 60 then s || 's' when s < 600 then s // 60 || 'm' || case when s % 60 = 0 then '' else ' ' || s % 60 || 's' end when m < 60 then m || 'm' when h < 24 then h || 'h' || case when m % 60 = 0 then '' else ' ' || m % 60 || 'm' end else h // 24 || 'd' || case when h % 24 = 0 then '' else ' ' || h % 24 || 'h' end end as lasts,
@@ -132,7 +132,7 @@ select identity, seq, kind, floor(utilization * 100 + 0.5::double)::bigint || '%
   strftime(timezone('America/Toronto', to_timestamp(resets_at // 1000)), '%H:%M') as at_hour from y""")
 def told_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shares, durations (two ways) and clock times of windows as they are told."""
-    caps = T.captures(spark, sf_dir).where("seq % 4 = 1")
+    caps = T.captures(spark, sf_dir)
     seq = caps.select("identity", F.round(F.col("captured_at") * 1000).cast("long").alias("at"), "seq")
     rows = W.windows(caps).join(seq, ["identity", "at"])
     left = F.col("resets_at") - F.col("at")

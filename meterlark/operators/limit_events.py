@@ -71,6 +71,23 @@ def recorded(stored: DataFrame, found: DataFrame) -> DataFrame:
     return out.select(*keys, "e.label", "e.resets_at", "e.at", F.col("r.resumed_at").alias("resumed_at"))
 
 
+def advanced(stored: DataFrame, fresh: DataFrame) -> DataFrame:
+    """Stored events after new captures' windows (none older than those looked at before): the history itself isn't read again.
+
+    What is carried is the stored events.  Reached ones that nothing has closed yet take part as the captures they were found by, so that a
+    new capture can close them; new captures of an instance that is closed already decide nothing about its limit.
+    """
+    reached = stored.where("event = 'reached'")
+    none = {c: F.lit(None).cast(t) for c, t in fresh.dtypes if c not in ("identity", "kind", "label", "at", "resets_at", "utilization")}
+    carried = reached.where("resumed_at is null").select("identity", F.col("window").alias("kind"), "label", "at", "resets_at", F.lit(1.0).alias("utilization")).withColumns(none)
+    # neighbours within one instance's span are found by slots of that span: an equality join, whatever an account's share of all rows
+    slot = F.floor(F.col("resets_at") / SAME_INSTANCE_MS)
+    closed = reached.where("resumed_at is not null").select(F.col("identity").alias("_i"), F.col("window").alias("_w"), F.col("resets_at").alias("_r"), F.explode(F.array(slot - 1, slot, slot + 1)).alias("_s"))
+    over = (F.col("utilization") >= 1) & (F.col("identity") == F.col("_i")) & (F.col("kind") == F.col("_w")) & (slot == F.col("_s")) & (F.abs(F.col("resets_at") - F.col("_r")) < SAME_INSTANCE_MS)
+    late = fresh.where("utilization >= 1").join(closed, over, "left_anti")
+    return recorded(stored, detect(fresh.where("utilization is null or utilization < 1").unionByName(late).unionByName(carried)))
+
+
 def deduped(events: DataFrame, members: DataFrame) -> DataFrame:
     """Events of accounts that are one (members: identity, group) shown once per instance, with the first resume any of them has."""
     rows = events.join(members, "identity", "left")

@@ -4,6 +4,7 @@ USAGE = "key long, acct int, ts long, model string, inp long, outp long, cr long
 ROLLUP = "hour long, acct int, model string, tier int, inp long, outp long, cr long, cc long, e5 long, e1 long, ccx long, n long"
 ACCOUNTS = "id int, provider string, identity string, label string"
 LIMIT_EVENTS = "id long, acct int, kind string, window string, label string, resets_at long, at long, resumed_at long"
+EVENT_LOG = "identity string, event string, window string, label string, resets_at long, at long, resumed_at long"
 DROPPED = "key long, reason string, at long"
 BUCKET = "struct<label:string,used_percentage:double,resets_at:double,window_minutes:double>"
 CAPTURE = f"identity string, provider string, captured_at double, via string, rate_limits map<string,{BUCKET}>"
