@@ -103,3 +103,33 @@ def recovered(usage: DataFrame, copy: DataFrame, dropped: DataFrame, copy_droppe
 def plausible(rows: DataFrame, latest_ms: int = 4_102_444_800_000) -> DataFrame:
     """Salvaged rows that can be real: storable and before the year 2100."""
     return storable(rows).where(F.col("ts") <= latest_ms)
+
+
+def rekeyed(stored: DataFrame, reread: DataFrame, lineage: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(usage, report) after an account's rows are read again under another scheme of keys.
+
+    stored: the account's rows under old keys; reread: its rows as read now (merged here); lineage: old_key, new_key of each line read.
+    Rows read now take the place of those that their lines made before; rows whose lines can't be read any more stay as they were,
+    unless a row read now has their key.
+    report: category, old_rows, new_rows, old_tokens, new_tokens.  kept: the same key, alone on both sides; moved: another key, alone on both
+    sides; split: one old key has become several; merged: several old keys have become one; unread: no line of it was read, so it
+    stays; taken: unread, but its key is now another row's; fresh: read now, from no line stored before.
+    """
+    new = merged(storable(reread))
+    links = lineage.select("old_key", "new_key").where("old_key is not null and new_key is not null").distinct()
+    links = links.join(stored.select(F.col("key").alias("old_key")), "old_key", "left_semi").join(new.select(F.col("key").alias("new_key")), "new_key", "left_semi")
+    same = F.max((F.col("old_key") == F.col("new_key")).cast("int")).alias("_same")
+    outs = links.groupBy("old_key").agg(F.count(F.lit(1)).alias("_outs"), same)
+    ins = links.groupBy("new_key").agg(F.count(F.lit(1)).alias("_ins"), same)
+    of_old = links.join(ins.drop("_same"), "new_key").groupBy("old_key").agg(F.max("_ins").alias("_ins"))
+    of_new = links.join(outs.drop("_same"), "old_key").groupBy("new_key").agg(F.max("_outs").alias("_outs"))
+    category = F.when(F.col("_outs") > 1, "split").when(F.col("_ins") > 1, "merged").when(F.col("_same") == 1, "kept").when(F.col("_same") == 0, "moved")
+    tokens = F.col("inp") + F.col("outp") + F.col("cr") + F.col("cc")
+    old_told = stored.join(outs.join(of_old, "old_key").withColumnRenamed("old_key", "key"), "key", "left").join(new.select("key", F.lit(True).alias("_now")), "key", "left")
+    old_told = old_told.withColumn("category", F.coalesce(category, F.when(F.col("_now"), "taken").otherwise("unread")))
+    new_told = new.join(ins.join(of_new, "new_key").withColumnRenamed("new_key", "key"), "key", "left").withColumn("category", F.coalesce(category, F.lit("fresh")))
+    stays = old_told.where("category = 'unread'").select(*COLUMNS)
+    one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
+    counted = old_told.select("category", one.alias("o"), none.alias("n"), tokens.alias("ot"), none.alias("nt")).unionByName(new_told.select("category", none.alias("o"), one.alias("n"), none.alias("ot"), tokens.alias("nt")))
+    report = counted.groupBy("category").agg(F.sum("o").alias("old_rows"), F.sum("n").alias("new_rows"), F.sum("ot").alias("old_tokens"), F.sum("nt").alias("new_tokens"))
+    return stays.unionByName(new.select(*COLUMNS)), report

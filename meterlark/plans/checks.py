@@ -48,3 +48,33 @@ def health(usage: DataFrame, accounts: DataFrame, stored_rollup: DataFrame) -> D
     by = rows.groupBy(F.coalesce("provider", F.lit("unknown")).alias("provider")).agg(F.count(F.lit(1)).alias("rows"), F.countDistinct("acct").alias("accounts"), F.countDistinct("model").alias("models"), F.count_if(F.col("model") == PLACEHOLDER).alias("unattributed"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
     off = rollup.drift(stored_rollup, usage).agg(F.count(F.lit(1)).alias("drifted"))
     return by.join(F.broadcast(off), F.lit(True)).orderBy("provider")
+
+
+#: Why a cell differs, in the order in which a row's difference is put down to a cause; the first that holds has all of it.
+CAUSES = ("file_gone", "replayed", "row_gone", "row_new", "moved", "counts", "price")
+
+
+def causes(before: DataFrame, after: DataFrame, zone: Zone, *, files_gone: DataFrame, replayed: DataFrame) -> DataFrame:
+    """The differences of two stores' priced rows, cell by cell and cause by cause: what adds up to each cell's difference.
+
+    Rows are matched by key.  files_gone and replayed: keys of rows whose file can't be read any more, and of rows dropped as a retold
+    head.  A row whose day, account, model or tier changed is taken from one cell and put into another (`moved`); one whose counts
+    changed has its cost's change put down to them; one of the same counts was priced otherwise.  A side's keys are unique and not null.
+    """
+    total = sum((F.coalesce(c, F.lit(0)) for c in COUNTS), F.lit(0))
+
+    def told(rows: DataFrame, side: str) -> DataFrame:
+        cell = F.struct(local_day(zone).alias("day"), "acct", "model_key", "tier")
+        return rows.select(F.col("key").alias(f"{side}_key"), cell.alias(f"{side}_cell"), F.struct(*COUNTS).alias(f"{side}_counts"), total.alias(f"{side}_tokens"), F.coalesce("nanos", F.lit(0)).cast("decimal(38,0)").alias(f"{side}_nanos"))
+
+    mark = lambda keys, name: keys.select(F.col("key").alias(f"{name}_key")).distinct().withColumn(name, F.lit(True))
+    both = told(before, "a").join(told(after, "b"), F.col("a_key") == F.col("b_key"), "full_outer")
+    both = both.join(mark(files_gone, "_gone"), F.col("a_key") == F.col("_gone_key"), "left").join(mark(replayed, "_again"), F.col("a_key") == F.col("_again_key"), "left")
+    gone, new = F.col("b_key").isNull(), F.col("a_key").isNull()
+    moved = ~F.col("a_cell").eqNullSafe(F.col("b_cell"))
+    cause = F.when(gone & F.col("_gone"), "file_gone").when(gone & F.col("_again"), "replayed").when(gone, "row_gone").when(new, "row_new").when(moved, "moved").when(~F.col("a_counts").eqNullSafe(F.col("b_counts")), "counts").when(F.col("a_nanos") != F.col("b_nanos"), "price")
+    part = lambda side, sign: F.struct(F.col(f"{side}_cell").alias("cell"), (F.col(f"{side}_tokens") * sign).alias("tokens"), (F.col(f"{side}_nanos") * sign).cast("decimal(38,0)").alias("nanos"), F.lit(sign).cast("long").alias("rows"))
+    parts = F.when(gone, F.array(part("a", -1))).when(new, F.array(part("b", 1))).otherwise(F.array(part("a", -1), part("b", 1)))
+    rows = both.withColumn("cause", cause).where("cause is not null").select("cause", F.explode(parts).alias("p"))
+    sums = rows.groupBy("p.cell.day", "p.cell.acct", "p.cell.model_key", "p.cell.tier", "cause").agg(F.sum("p.tokens").alias("tokens"), F.sum("p.nanos").cast("decimal(38,0)").alias("nanos"), F.sum("p.rows").alias("rows"))
+    return sums.select(*CELL, "cause", "tokens", "nanos", "rows")
