@@ -110,28 +110,30 @@ def comparisons(spark: SparkSession, sf_dir: str) -> DataFrame:
     return account_groups.compared(own)
 
 
-#: The detector as a fold: one comparison of each pair a step.
-PAIR_FOLD_SQL = f"""{ROUND_SQL.replace("with ", "with recursive ", 1)}, compared as (select a.identity || '|' || b.identity as pair, a.at_ms as at_a, b.at_ms as at_b, bool_and(abs(a.resets_at - b.resets_at) <= 2000) as agree_, bool_and(a.utilization = b.utilization) as use_, abs(a.at_ms - b.at_ms) <= 60000 as close_,
-  list({{'kind': a.kind, 'u': a.utilization, 'r': a.resets_at}} order by a.kind) as kinds_
+#: The detector without steps: which comparisons count, where links begin and break among them, and sums between these times.
+PAIR_SQL = f"""{ROUND_SQL}, compared as (select a.identity || '|' || b.identity as pair, a.at_ms as at_a, b.at_ms as at_b, bool_and(abs(a.resets_at - b.resets_at) <= 2000) as agreeing, bool_and(a.utilization = b.utilization) as equal_use,
+  abs(a.at_ms - b.at_ms) <= 60000 as close, list({{'kind': a.kind, 'u': a.utilization, 'r': a.resets_at}} order by a.kind) as uses
   from w a join w b on a.round = b.round and a.provider = b.provider and a.kind = b.kind and a.identity < b.identity and abs(a.at_ms - b.at_ms) <= 600000 and least(a.resets_at, b.resets_at) > greatest(a.at_ms, b.at_ms) group by a.identity, b.identity, a.at_ms, b.at_ms),
-steps as (select *, row_number() over (partition by pair order by at_a, at_b) as n from compared where close_ or not agree_),
-fold as (
-  select pair, 0::bigint as n, 0 as agree, 0 as disagree, 0 as inconclusive, false as linked, null::bigint as detected_at, null::bigint as at_a, null::bigint as at_b, null::bigint as agreed_at, null::struct(kind varchar, u double, r bigint)[] as kinds from (select distinct pair from steps)
-  union all
-  select pair, n, case kind when 'same' then streak + 1 when 'pause' then agree else 0 end, case kind when 'same' then 0 when 'pause' then disagree else disagree + 1 end, (kind = 'pause')::int,
-    linked_, case when linked_ then coalesce(detected_at, case when kind = 'same' then greatest(at_a_, at_b_) end) end, at_a_, at_b_,
-    case kind when 'same' then at_a_ when 'pause' then agreed_at end, case kind when 'same' then kinds_ when 'pause' then kinds end
-  from (select *, case kind when 'same' then linked or (streak >= 1 and moved and used) when 'pause' then linked else linked and disagree + 1 < 2 end as linked_ from (
-    select f.* exclude (n), s.n, s.at_a as at_a_, s.at_b as at_b_, s.kinds_, case when s.agree_ and s.use_ then 'same' when s.agree_ and f.inconclusive = 0 then 'pause' else 'apart' end as kind,
-      case when s.at_a - f.agreed_at <= 660000 then f.agree else 0 end as streak, len(list_filter(s.kinds_, lambda k: k.u > 0)) > 0 as used,
-      coalesce(len(list_filter(s.kinds_, lambda k: len(list_filter(f.kinds, lambda o: o.kind = k.kind and abs(o.r - k.r) < 900000 and o.u <> k.u)) > 0)) > 0, false) as moved
-    from fold f join steps s on s.pair = f.pair and s.n = f.n + 1 and (f.at_a is null or (s.at_a > f.at_a and s.at_b > f.at_b)))))
-select pair, agree, disagree, inconclusive, linked, detected_at, at_a, at_b, agreed_at from fold where n > 0 qualify row_number() over (partition by pair order by n desc) = 1"""
-
-
-@query(PAIR_FOLD_SQL)
+later as (select * from compared where close or not agreeing qualify at_b > coalesce(max(at_b) over (partition by pair order by at_a, at_b rows between unbounded preceding and 1 preceding), -1)
+  and at_a > coalesce(lag(at_a) over (partition by pair order by at_a, at_b), -1)),
+decided as (select *, max(case when equal_use or not agreeing then at_a end) over (partition by pair order by at_a) as since from later),
+verdicts as (select *, case when not agreeing then 'apart' when equal_use then 'same' when row_number() over (partition by pair, since, agreeing and not equal_use order by at_a) % 2 = 0 then 'apart' else 'open' end as verdict from decided),
+neighbours as (select *, lag(verdict) over o as verdict0, lag(at_a) over o as at0, lag(uses) over o as uses0 from verdicts where verdict <> 'open' window o as (partition by pair order by at_a)),
+marks as (select *, verdict = 'same' and coalesce(verdict0 = 'same' and at_a - at0 <= 660000, false) as follows, verdict = 'apart' and coalesce(verdict0 = 'apart', false) as breaks from neighbours),
+changes as (select n.pair, n.at_a, n.at_b from (select pair, at_a, at_b, unnest(uses) as x from marks where follows) n join (select pair, at_a, unnest(uses0) as y from marks where follows) o
+    on n.pair = o.pair and n.at_a = o.at_a and x.kind = y.kind and abs(x.r - y.r) < 900000 and x.u <> y.u),
+links as (select distinct pair, at_a, at_b from changes semi join (select pair, at_a from (select pair, at_a, unnest(uses) as x from marks) where x.u > 0) using (pair, at_a)),
+bounds as (select pair, max(at_a) filter (verdict = 'same') as last_same, max(at_a) filter (verdict = 'same' and not follows) as streak_from, max(at_a) as last_at, max(at_a) filter (breaks) as broken_at from marks group by pair),
+sums as (select pair, count(*) filter (verdict = 'same' and last_same = last_at and at_a >= streak_from) as agree, count(*) filter (verdict = 'apart' and at_a > coalesce(last_same, -1)) as disagree from marks join bounds using (pair) group by pair),
+since as (select pair, min(greatest(at_a, at_b)) as detected_at from links join bounds using (pair) where at_a > coalesce(broken_at, -1) group by pair),
+ends as (select pair, max(at_a) as at_a, max(at_b) as at_b, (arg_max(verdict, at_a) = 'open')::int as inconclusive from verdicts group by pair)
+select pair, coalesce(agree, 0)::int as agree, coalesce(disagree, 0)::int as disagree, inconclusive, detected_at is not null as linked, detected_at, at_a, at_b, case when last_same = last_at then last_same end as agreed_at
+from ends left join bounds using (pair) left join sums using (pair) left join since using (pair)"""
+
+
+@query(PAIR_SQL)
 def pair_states(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The link detector over all comparisons, by windows; its SQL is a fold, step by step."""
+    """The link detector over all comparisons, by windows; its SQL tells the times at which links begin and break."""
     return account_groups.pair_states(comparisons(spark, sf_dir)).drop("kinds")
 
 
