@@ -211,10 +211,16 @@ def activity_rebucketed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return q(spark, sf_dir).rebucketed(ODD, 72, 18)
 
 
-@query(f"""with {T.rates_sql()}, lagged as (select model_key, rtier::int as tier, from_ms, input, output, lag(input) over w as old_input, lag(output) over w as old_output, lag(from_ms) over w as prior from rates window w as (partition by model_key, rtier order by from_ms))
-select model_key, tier, from_ms, input, output, old_input, old_output from lagged where prior is not null and (input is distinct from old_input or output is distinct from old_output)""")
+@query(f"""{PRICED}, lagged as (select model_key, rtier::int as tier, from_ms, input, output, lag(input) over w as old_input, lag(output) over w as old_output, lag(from_ms) over w as prior from rates window w as (partition by model_key, rtier order by from_ms))
+select l.model_key, l.tier, from_ms, input, output, old_input, old_output, count(key) filter (ts >= from_ms) as records_since, count(key) filter (ts < from_ms) as records_before from lagged l left join (select key, ts, model_key, tier from priced) p on p.model_key = l.model_key and p.tier = l.tier
+where prior is not null and (input is distinct from old_input or output is distinct from old_output) group by l.model_key, l.tier, from_ms, input, output, old_input, old_output""")
 def price_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return q(spark, sf_dir).price_changes(Range(1, 2**52))
+    """Price changes, with the rows of their model and tier before and since."""
+    base = q(spark, sf_dir)
+    changes, rows = base.price_changes(Range(1, 2**52)), base.within(None).select("key", "ts", F.col("model_key").alias("_model"), F.col("tier").alias("_tier"))
+    both = changes.join(rows, (F.col("model_key") == F.col("_model")) & (F.col("tier") == F.col("_tier")), "left")
+    count = lambda when: F.count(F.when(when, F.col("key")))
+    return both.groupBy(*changes.columns).agg(count(F.col("ts") >= F.col("from_ms")).alias("records_since"), count(F.col("ts") < F.col("from_ms")).alias("records_before"))
 
 
 @query(f'{PRICED} select model_key as "group", grouping(model_key)::int as is_total, {M} from priced group by grouping sets ((model_key), ())')

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meterlark.catalog import query, usage
+from meterlark.catalog import PRICED, query, usage
 from meterlark.catalog_ingest import NUMBERED, numbered
 from meterlark.catalog_limits import GROUPS
 from meterlark.functions.keys import group_id, root_identity
+from meterlark.functions.models import normalize_model
 from meterlark.functions.timestamps import timestamp_ms
 from meterlark.operators import account_groups, alerts, merge
 from meterlark.plans import views
@@ -182,24 +183,27 @@ def parsed_times(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- rate cards and alerts' life ---------------------------------------------------------------------------------------------
 
 
-@query(f"with {T.rates_sql()}, one as (select distinct from_ms from rates where from_ms > 0 and rtier = 0) select from_ms, count(*) over () as n from one")
+@query(f"with {T.USAGE_SQL}, {T.rates_sql()}, one as (select distinct from_ms from rates where from_ms > 0 and rtier = 0) select from_ms, count(*) over () as n, (select count(*) from usage where ts >= from_ms) as records_since from one")
 def rate_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every instant at which some price changes."""
+    """Every instant at which some price changes, with the rows since: one scan, as the instants are those of the cards."""
     found = T.rate_table().boundaries()
-    return local_table(spark, [(t, len(found)) for t in found], "from_ms long, n long")
+    counts = usage(spark, sf_dir).agg(F.array(*(F.struct(F.lit(t).alias("from_ms"), F.lit(len(found)).cast("long").alias("n"), F.count_if(F.col("ts") >= t).alias("records_since")) for t in found)).alias("x"))
+    return counts.select(F.inline("x"))
 
 
-@query(f"""with {T.rates_sql()}, card as (select * from rates where rtier = 0 and from_ms <= 904608000000 and to_ms > 904608000000), fast as (select * from rates where rtier = 1 and from_ms <= 904608000000 and to_ms > 904608000000 and rstatus = 'priced')
+@query(f"""{PRICED}, used as (select model_key, count(*) as records from priced group by model_key), card as (select * from rates where rtier = 0 and from_ms <= 904608000000 and to_ms > 904608000000), fast as (select * from rates where rtier = 1 and from_ms <= 904608000000 and to_ms > 904608000000 and rstatus = 'priced')
 select c.model_key, c.input, c.output, coalesce(c.cache_read, c.input * 0.1::double) as cache_read, c.cache_write, f.input as fast_input, f.output as fast_output, c.lc_threshold,
-  case when c.model_key = 'model-51' then 'model-31' end as estimated_as, case when c.model_key = 'model-51' then 'alias' when c.model_key in ('model-12', 'model-99') then 'override' else 'bundled' end as source
+  case when c.model_key = 'model-51' then 'model-31' end as estimated_as, case when c.model_key = 'model-51' then 'alias' when c.model_key in ('model-12', 'model-99') then 'override' else 'bundled' end as source, coalesce(u.records, 0) as records
 from (select * from card where model_key <> 'model-12' union all select * replace (7.5::double as input, 30::double as output, null::double as cache_read) from card where model_key = 'model-12'
   union all select * replace ('model-99' as model_key, 7.5::double as input, 30::double as output, null::double as cache_read, null::double as cache_write, null::bigint as lc_threshold) from card where model_key = 'model-12') c
-left join (select * from fast where model_key not in ('model-12', 'model-99')) f on f.model_key = c.model_key""")
+left join (select * from fast where model_key not in ('model-12', 'model-99')) f on f.model_key = c.model_key left join used u on u.model_key = c.model_key""")
 def rate_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each model's card now, its fast pair, and where it comes from: bundled, a user's own, or another model's by alias."""
+    """Each model's card now, its fast pair, and where it comes from: bundled, a user's own, or another model's by alias; with the rows it is for."""
     card = '{"input": 7.5, "output": 30}'
     bundled = T.rate_table()
-    return views.rate_cards(bundled.overridden('{"models": {"model-12": %s, "model-99": %s}}' % (card, card)), bundled, spark, 904_608_000_000)
+    records = usage(spark, sf_dir).groupBy(normalize_model(F.col("model")).alias("model_key")).agg(F.count(F.lit(1)).alias("_n"))
+    cards = views.rate_cards(bundled.overridden('{"models": {"model-12": %s, "model-99": %s}}' % (card, card)), bundled, spark, 904_608_000_000)
+    return cards.join(records, "model_key", "left").withColumn("records", F.coalesce("_n", F.lit(0).cast("long"))).drop("_n")
 
 
 @query("""with calls as (select user_id % 50 as session, epoch_us(ts) // 1000 as at_ms, event_id as seq, event_type as tool from events), recent as (select * from calls where (select max(at_ms) from calls) - at_ms <= 600000 * 50)

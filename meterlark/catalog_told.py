@@ -16,6 +16,7 @@ from meterlark.operators import alerts
 from meterlark.operators import windows as W
 from meterlark.plans import documents, views
 from meterlark.plans.periods import Zone, resolve_period
+from meterlark.plans.usage import local_day
 from meterlark.sources import tables as T
 from meterlark.sources.local import local_table
 
@@ -110,15 +111,17 @@ def periods_resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
     return local_table(spark, rows, "now long, name string, lo long, hi long")
 
 
-@query("""with days as (select unnest(generate_series(date '2023-12-25', date '2025-01-07', interval 1 day))::date as day)
-select day, date_trunc('week', day)::date as week, date_trunc('month', day)::date as month, epoch_ms(timezone('America/Toronto', day::timestamp)) as starts, epoch_ms(timezone('America/Toronto', (day + 1)::timestamp)) - epoch_ms(timezone('America/Toronto', day::timestamp)) as length from days""")
+@query(f"""with {T.USAGE_EVENTS_SQL}, days as (select unnest(generate_series(date '2023-12-25', date '2025-01-07', interval 1 day))::date as day)
+select day, date_trunc('week', day)::date as week, date_trunc('month', day)::date as month, epoch_ms(timezone('America/Toronto', day::timestamp)) as starts, epoch_ms(timezone('America/Toronto', (day + 1)::timestamp)) - epoch_ms(timezone('America/Toronto', day::timestamp)) as length, (select count(*) from usage where timezone('America/Toronto', to_timestamp(ts / 1000))::date = day) as records from days""")
 def days_of_zone(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A year's days with their week, month, first instant and length."""
+    """A year's days with their week, month, first instant, length and rows."""
     from meterlark.plans.periods import unit_start
 
     zone, days = Zone(ZONE), [date(2023, 12, 25) + timedelta(days=i) for i in range(380)]
     rows = [(d, unit_start(d, "week"), unit_start(d, "month"), zone.start_of(d), zone.start_of(d + timedelta(days=1)) - zone.start_of(d)) for d in days]
-    return local_table(spark, rows, "day date, week date, month date, starts long, length long")
+    days = local_table(spark, rows, "day date, week date, month date, starts long, length long")
+    records = T.usage_events(spark, sf_dir).groupBy(local_day(zone).alias("day")).agg(F.count(F.lit(1)).alias("_n"))
+    return days.join(records, "day", "left").withColumn("records", F.coalesce("_n", F.lit(0).cast("long"))).drop("_n")
 
 
 STEPS_SQL = " ".join(f"when left_ <= {m * 60_000} then '{name}'" for m, name in limits.STEPS)
