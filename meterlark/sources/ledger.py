@@ -68,8 +68,8 @@ def read_ledger(spark: SparkSession, path: str) -> DataFrame:
     """Plausible usage rows of known accounts and models: provider, identity, label and the columns of usage, tier 0."""
     spark.dataSource.register(Ledger)
     table = lambda name: spark.read.format("usage_ledger").option("path", path).option("table", name).load()
-    rows = table("usage").join(F.broadcast(table("models")).withColumnRenamed("id", "model").withColumnRenamed("name", "_m"), "model").withColumn("model", F.col("_m")).drop("_m")
-    rows = rows.join(F.broadcast(table("accounts")).withColumnRenamed("id", "acct"), "acct")
+    rows = table("usage").join(table("models").withColumnRenamed("id", "model").withColumnRenamed("name", "_m"), "model").withColumn("model", F.col("_m")).drop("_m")
+    rows = rows.join(table("accounts").withColumnRenamed("id", "acct"), "acct")
     return storable(rows.withColumn("tier", F.lit(0)))
 
 

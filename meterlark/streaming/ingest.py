@@ -32,9 +32,13 @@ def usage_of(log: DataFrame, accounts: DataFrame, provider: str) -> DataFrame:
         rows = transcripts.folded(log.drop("day").dropDuplicates(["path", "line_no", "key"]))
     else:
         rows = rollouts.usage_rows(log.drop("day").dropDuplicates(["path", "line_no"]))
-    near = rows.join(F.broadcast(accounts), F.startswith(F.col("path"), F.concat(F.rtrim(F.col("root"), F.lit("/")), F.lit("/"))))
-    owned = near.groupBy("path", "key").agg(F.max_by("acct", F.length("root")).alias("acct"))
-    return merge.merged(merge.storable(rows.join(owned, ["path", "key"]).select(*merge.COLUMNS)))
+    # each path once, with the folders above it: roots are met by equality
+    names = F.split("path", "/")
+    above = F.transform(F.sequence(F.lit(1), F.size(names) - 1), lambda n: F.array_join(F.slice(names, 1, n), "/"))
+    paths = rows.select("path").distinct().where(F.size(names) > 1).select("path", F.explode(above).alias("_folder"))
+    roots = accounts.select("acct", F.rtrim(F.col("root"), F.lit("/")).alias("_root"))
+    owned = paths.join(roots, F.col("_folder") == F.col("_root")).groupBy("path").agg(F.max_by("acct", F.length("_root")).alias("acct"))
+    return merge.merged(merge.storable(rows.join(owned, "path").select(*merge.COLUMNS)))
 
 
 def changed(before: DataFrame, after: DataFrame) -> DataFrame:
