@@ -5,6 +5,8 @@ space or other white space follows a non-space character: the pre-tokeniser neve
 (white space and the characters after it) is encoded on its own.  A chunk that is such a string is looked up; another is split into its
 pre-tokens, those that are such strings are looked up, and only what remains is merged.  Chunks are remembered within a bound of
 bytes as long as the coder lives, which is one task.
+
+Where words seldom come again the memory costs more than it saves: `merged_whole` gives a plain Latin text to the merger as it is.
 """
 
 from __future__ import annotations
@@ -27,8 +29,11 @@ RARE = re.compile(f"[{SPACE[:1]}{SPACE[2:5]}{SPACE[6:]}]")
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Below this code point all Unicode versions agree on letters, numbers and spaces.
 LATIN = "\u0250"
+BEYOND = re.compile(f"[{LATIN}-\U0010ffff]")
 #: Characters of a text worked off at once, and those of the longest chunk that is split here and remembered.
 PIECE, LONGEST = 1 << 20, 500
+#: White space that is too long to be merged here.
+LONG_SPACE = re.compile(f"[{SPACE}]{{{LONGEST}}}")
 #: Bytes that remembered chunks may take in a generation, and what one takes besides its characters and ids.
 REMEMBERED, ENTRY = 36 << 20, 180
 
@@ -96,6 +101,16 @@ class _Memo(dict):
         return found
 
 
+def _short(text: str) -> bool:
+    """Whether the text's pre-tokens are short: it has a space in any LONGEST characters, and no such run of white space with spaces."""
+    at = 0
+    while len(text) - at >= LONGEST:
+        at = text.rfind(" ", at, at + LONGEST) + 1
+        if not at:
+            return False
+    return not ("  " in text or " \n" in text or RARE.search(text)) or LONG_SPACE.search(text) is None
+
+
 class Coder:
     """Token ids of texts; made anew for each task, so that it takes no memory of later ones."""
 
@@ -158,6 +173,20 @@ class Coder:
             return self.alone(text)
         return b"".join(map(self._piece, self._pieces(text))) if len(text) > PIECE else self._piece(text)
 
+    def merged_whole(self, text: str) -> bytes:
+        """As ids(), but plain Latin text goes to the merger as a whole; any other text to ids()."""
+        if not self.mergeable or any(x in text for x in self.table.special) or not (text.isascii() or BEYOND.search(text) is None):
+            return self.ids(text)
+        return b"".join([self._merged_piece(x) if _short(x) else self._piece(x) for x in self._pieces(text)])
+
+    @cached_property
+    def mergeable(self) -> bool:
+        """Whether the merger is right for all plain Latin text: no such string of the vocabulary is one that merges don't reach."""
+        return self.table.ranks is not None and not any(BEYOND.search(x) is None for x in self.table.unmerged)
+
+    def _merged_piece(self, text: str) -> bytes:
+        return self.merger.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False).tobytes()
+
     def count(self, text: str) -> int:
         return len(self.ids(text)) // 4
 

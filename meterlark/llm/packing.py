@@ -23,7 +23,7 @@ def cut_pieces(docs: DataFrame, vocabulary: str, *, size: int = 2048, end_id: in
     sent = docs.sparkSession.sparkContext.broadcast(proven(vocabulary))  # about a megabyte, whatever the input
 
     def work(batches):
-        ids_of = Coder(sent.value).ids
+        ids_of = Coder(sent.value).merged_whole
         for part in slices(batches, "text"):
             out: tuple[list, ...] = ([], [], [], [], [])
             for doc, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist(), strict=True):
