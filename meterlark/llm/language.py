@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from meterlark.llm._shared import slices, text_bytes
+from meterlark.llm._shared import give_back, slices, text_bytes
 from meterlark.llm._words import BLANK
 
 #: Hashed features: trigrams of bytes of the text in lower case, each run of white space as one space.
@@ -24,6 +24,8 @@ LENGTHS, STEPS, ENOUGH = 40, 1000, 200
 #: The line stands at this part of the labelled rows' own cosine, as texts not learned from (cut ones, say) lie lower.
 MARGIN = 2 / 3
 UNKNOWN = "und"
+#: A feature of a sampled vector on its way to the driver; such vectors sort, as bytes, as the whole rows of 16-bit numbers do.
+ENTRY = np.dtype([("left", ">u2"), ("value", "<f2")])
 
 
 def grams(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -76,6 +78,23 @@ def weighed(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
 
 
+def packed(row: np.ndarray) -> bytes:
+    """The features of a vector that are not zero: how far each is from the end (WIDTH and less), and its value."""
+    at = np.flatnonzero(row)
+    out = np.empty(len(at), ENTRY)
+    out["left"], out["value"] = WIDTH - at, row[at]
+    return out.tobytes()
+
+
+def unpacked(vectors) -> np.ndarray:
+    """Whole rows of packed vectors."""
+    x = np.zeros((len(vectors), WIDTH), np.float32)
+    for row, vector in zip(x, vectors, strict=True):
+        entries = np.frombuffer(vector, ENTRY)
+        row[WIDTH - entries["left"].astype(np.int64)] = entries["value"]
+    return x
+
+
 def clustered(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     """Up to k centroids of length one, from spread-out first rows (spherical k-means)."""
     picked = [0]
@@ -138,20 +157,24 @@ def fit_centroids(labelled: DataFrame, *, per_language: int = 3, sample: int = 2
     def vectors(batches):
         for part in slices(batches, "text"):
             for at, counts in blocks(part):
-                yield pa.RecordBatch.from_arrays([part.column("lang").slice(at, len(counts)), pa.array([x.astype(np.float16).tobytes() for x in np.log1p(counts)], pa.binary())], names=["lang", "vector"])
+                yield pa.RecordBatch.from_arrays([part.column("lang").slice(at, len(counts)), pa.array([packed(x) for x in np.log1p(counts)], pa.binary())], names=["lang", "vector"])
 
-    got = picked.mapInArrow(vectors, "lang string, vector binary").toPandas()  # about `sample` rows of 32 KB
+    got = picked.mapInArrow(vectors, "lang string, vector binary").toPandas()  # about `sample` rows, four bytes for each trigram of a text (64 KB at most)
     if lost := sorted(set(sizes) - set(got["lang"])):  # where there are many languages a draw may miss one: its row of the least hash stands for it
         least = rows.join(F.broadcast(spark.createDataFrame([(k,) for k in lost], "lang string")), "lang").groupBy("lang").agg(F.min_by("text", F.xxhash64("doc_id", "text")).alias("text"))
         got = pd.concat([got, least.select("lang", "text").mapInArrow(vectors, "lang string, vector binary").toPandas()])
     got = got.sort_values(["lang", "vector"])
     languages, centres = [], []
     for lang, part in got.groupby("lang", sort=True):
-        x = np.stack([np.frombuffer(v, np.float16) for v in part["vector"]]).astype(np.float32) * idf
+        x = unpacked(part["vector"])
+        x *= idf
         x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
         made = clustered(x, per_language)
         languages += [str(lang)] * len(made)
         centres.append(made)
+        del x  # before the next language's rows are made
+    del got
+    give_back()
     if not centres:
         return Centroids([], np.zeros((0, WIDTH), np.float32), idf, np.zeros(LENGTHS))
     model = Centroids(languages, np.concatenate(centres).astype(np.float32), idf, np.zeros(LENGTHS))

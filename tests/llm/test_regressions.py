@@ -11,7 +11,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from meterlark.llm import _coder
-from meterlark.llm.language import grams
+from meterlark.llm.language import WIDTH, grams, packed, unpacked
 from meterlark.llm.pii import holds
 
 
@@ -38,6 +38,15 @@ def test_grams_of_a_text_are_its_own():
     assert counted("abc def\n", " hello")[1].sum() == 4
 
 
+def test_sampled_vectors_take_room_by_their_trigrams_and_sort_as_whole_rows():
+    rows = np.log1p(counted("", "x", "abc def", "abc", "abc abc abc abd", "the end of the line\n" * 50, "Anblewh sttible athawh", "\u00e8onai aiai"))
+    sent = [packed(x) for x in rows]
+    assert max(map(len, sent)) < 4 * 64 < 2 * WIDTH
+    assert (unpacked(sent) == rows.astype(np.float16).astype(np.float32)).all()
+    whole = [x.astype(np.float16).tobytes() for x in rows]
+    assert sorted(range(len(rows)), key=sent.__getitem__) == sorted(range(len(rows)), key=whole.__getitem__)
+
+
 PARTS = ["the", " of", "'s", "'ll", "0", "42", ".", "--", " ", "  ", "\n", "\n\n", "\t", "\r\n", "\x0b", "\x1c", "\x1f", "\x85", "\xa0", "\xaa", "\xb2", "\xbd", "\xdf", "\xe9", "\u01c5", "\u024f", "Zq", "_", "\x00"]
 
 
