@@ -135,9 +135,7 @@ select identity, seq, kind, floor(utilization * 100 + 0.5::double)::bigint || '%
   strftime(timezone('America/Toronto', to_timestamp(resets_at // 1000)), '%H:%M') as at_hour from y""")
 def told_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shares, durations (two ways) and clock times of windows as they are told."""
-    caps = T.captures(spark, sf_dir)
-    seq = caps.select("identity", F.round(F.col("captured_at") * 1000).cast("long").alias("at"), "seq")
-    rows = W.windows(caps).join(seq, ["identity", "at"])
+    rows = W.windows(T.captures(spark, sf_dir).where("identity is not null"), "seq")
     left = F.col("resets_at") - F.col("at")
     return rows.select("identity", "seq", "kind", limits.percent(F.col("utilization")).alias("share"), limits.duration(left).alias("lasts"), limits.compact(left).alias("short"), F.date_format(limits.local(F.col("resets_at"), ZONE), "HH:mm").alias("at_hour"))
 

@@ -68,15 +68,15 @@ def _gathered(rows: DataFrame, provider: str, via: str) -> DataFrame:
     return rows.groupBy("identity", "captured_at").agg(limits.cast(f"map<string,{BUCKET}>").alias("rate_limits")).select("identity", F.lit(provider).alias("provider"), "captured_at", F.lit(via).alias("via"), "rate_limits")
 
 
-def windows(captures: DataFrame) -> DataFrame:
-    """The well-formed windows of captures, one row each: at and resets_at in ms, utilization, label, length, scope, rank."""
-    rows = captures.select("identity", "provider", "captured_at", F.explode("rate_limits").alias("kind", "_b"))
+def windows(captures: DataFrame, *own: str) -> DataFrame:
+    """The well-formed windows of captures, one row each: at and resets_at in ms, utilization, label, length, scope, rank; last the capture's `own` columns."""
+    rows = captures.select("identity", "provider", "captured_at", *own, F.explode("rate_limits").alias("kind", "_b"))
     rows = rows.where(finite(F.col("captured_at")) & finite(F.col("_b.used_percentage")) & finite(F.col("_b.resets_at")))
     label = window_label(F.col("kind"), F.col("_b.label"), F.col("_b.window_minutes"))
     ms = lambda c: F.floor(F.col(c) * 1000 + 0.5).cast("long")
     return rows.select(
         "identity", "provider", ms("captured_at").alias("at"), "kind", label.alias("label"), (F.col("_b.used_percentage") / 100).alias("utilization"), ms("_b.resets_at").alias("resets_at"),
-        window_minutes(F.col("kind"), F.col("_b.label"), F.col("_b.window_minutes")).alias("minutes"), window_scope(F.col("provider"), F.col("kind"), label).alias("scope"), order_rank(F.col("kind")).alias("rank"),
+        window_minutes(F.col("kind"), F.col("_b.label"), F.col("_b.window_minutes")).alias("minutes"), window_scope(F.col("provider"), F.col("kind"), label).alias("scope"), order_rank(F.col("kind")).alias("rank"), *own,
     )
 
 
