@@ -15,7 +15,8 @@ from meterlark.plans import checks
 from meterlark.plans.periods import Zone
 from meterlark.schema import EVENT_LOG
 from meterlark.sources import tables as T
-from meterlark.sources.shared import new_folder, read
+from meterlark.sources.local import estimated_bytes
+from meterlark.sources.shared import kept, new_folder, read, removed
 
 
 def filled(spark: SparkSession, sf_dir: str) -> UsageStore:
@@ -97,19 +98,32 @@ rows_ as (select new_key as key, acct, ts, model, case when share = 1 then inp e
 now_ as (select key, min({{'acct': acct, 'ts': ts, 'model': model}}) as f, max(inp) as inp, max(outp) as outp, max(cr) as cr, max(cc) as cc, max(e5) as e5, max(e1) as e1, max(tier) as tier from rows_ group by key)"""
 
 
-def _rekeyed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    stored = usage(spark, sf_dir)
+#: Shares of keys in which a store is re-keyed at most, and bytes of line items for each.
+SHARES, SHARE_BYTES = 4, 32 << 20
+
+
+def _reread(stored: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(the rows read again, lineage)."""
     k, scheme = F.col("key"), F.expr("key div 10 % 4")
     to = F.when(scheme == 0, F.array(k)).when(scheme == 1, F.array(k + 1_000_000_000_000)).when(scheme == 2, F.array(F.expr("2000000000000 + key div 40"))).otherwise(F.array(3_000_000_000_000 + k * 2, 3_000_000_000_001 + k * 2))
     lines = stored.where("key div 10 % 10 != 9").select("*", F.posexplode(to).alias("_n", "_new"))
     rows = lines.withColumn("inp", F.when(F.col("_n") == 0, F.col("inp")).otherwise(F.lit(0).cast("long"))).withColumn("key", F.col("_new")).select(*merge.COLUMNS)
-    return merge.rekeyed(stored, rows, lines.select(k.alias("old_key"), F.col("_new").alias("new_key")))
+    return rows, lines.select(k.alias("old_key"), F.col("_new").alias("new_key"))
 
 
 @query(f"""{REKEYED_SQL} select key, f.acct as acct, f.ts as ts, f.model as model, {", ".join(merge.COUNTERS)} from now_ union all select key, acct, ts, model, {", ".join(merge.COUNTERS)} from usage where key // 10 % 10 = 9""")
 def rekeyed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Usage after all lines but a tenth are read again under another scheme of keys."""
-    return _rekeyed(spark, sf_dir)[0]
+    """Usage after all lines but a tenth are read again under another scheme of keys; each step is stored by shares of the keys."""
+    shares = min(SHARES, 1 + estimated_bytes(T.table(spark, sf_dir, "lineitem")) // SHARE_BYTES)
+    before, met = new_folder(spark, "usage"), new_folder(spark, "links")
+    stored = kept(usage(spark, sf_dir), "key", shares, before)
+    reread, lineage = _reread(stored)
+    new = kept(merge.merged(merge.storable(reread)), "key", shares, new_folder(spark, "reread"))
+    links = kept(merge.links_read(lineage, new), "new_key", shares, met)
+    rows = new.unionByName(kept(merge.unread(stored, new, links), "key", shares, new_folder(spark, "unread")))
+    removed(spark, before)
+    removed(spark, met)
+    return rows
 
 
 @query(f"""{REKEYED_SQL}, met as (select new_key, count(*) as m from links group by new_key),
@@ -119,4 +133,5 @@ both_ as (select coalesce(category, 'unread') as category, 1 as o, 0 as n, inp +
 select category, sum(o)::bigint as old_rows, sum(n)::bigint as new_rows, sum(ot)::bigint as old_tokens, sum(nt)::bigint as new_tokens from both_ group by category""")
 def rekeyed_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What became of the stored rows: kept, moved, merged, split or not read again."""
-    return _rekeyed(spark, sf_dir)[1]
+    stored = usage(spark, sf_dir)
+    return merge.rekeyed(stored, *_reread(stored))[1]

@@ -116,8 +116,9 @@ def rekeyed(stored: DataFrame, reread: DataFrame, lineage: DataFrame) -> tuple[D
     stays; taken: unread, but its key is now another row's; fresh: read now, from no line stored before.
     """
     new = merged(storable(reread))
-    links = lineage.select("old_key", "new_key").where("old_key is not null and new_key is not null").distinct()
-    links = links.join(stored.select(F.col("key").alias("old_key")), "old_key", "left_semi").join(new.select(F.col("key").alias("new_key")), "new_key", "left_semi")
+    told = lineage.select("old_key", "new_key").where("old_key is not null and new_key is not null").distinct()
+    links = links_read(told.join(stored.select(F.col("key").alias("old_key")), "old_key", "left_semi"), new)
+    rows = unread(stored, new, links).unionByName(new.select(*COLUMNS))
     same = F.max((F.col("old_key") == F.col("new_key")).cast("int")).alias("_same")
     outs = links.groupBy("old_key").agg(F.count(F.lit(1)).alias("_outs"), same)
     ins = links.groupBy("new_key").agg(F.count(F.lit(1)).alias("_ins"), same)
@@ -128,8 +129,18 @@ def rekeyed(stored: DataFrame, reread: DataFrame, lineage: DataFrame) -> tuple[D
     old_told = stored.join(outs.join(of_old, "old_key").withColumnRenamed("old_key", "key"), "key", "left").join(new.select("key", F.lit(True).alias("_now")), "key", "left")
     old_told = old_told.withColumn("category", F.coalesce(category, F.when(F.col("_now"), "taken").otherwise("unread")))
     new_told = new.join(ins.join(of_new, "new_key").withColumnRenamed("new_key", "key"), "key", "left").withColumn("category", F.coalesce(category, F.lit("fresh")))
-    stays = old_told.where("category = 'unread'").select(*COLUMNS)
     one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
     counted = old_told.select("category", one.alias("o"), none.alias("n"), tokens.alias("ot"), none.alias("nt")).unionByName(new_told.select("category", none.alias("o"), one.alias("n"), none.alias("ot"), tokens.alias("nt")))
     report = counted.groupBy("category").agg(F.sum("o").alias("old_rows"), F.sum("n").alias("new_rows"), F.sum("ot").alias("old_tokens"), F.sum("nt").alias("new_tokens"))
-    return stays.unionByName(new.select(*COLUMNS)), report
+    return rows, report
+
+
+def links_read(lineage: DataFrame, new: DataFrame) -> DataFrame:
+    """Old and new keys of the lines whose row is among those read now."""
+    links = lineage.select("old_key", "new_key").where("old_key is not null and new_key is not null")
+    return links.join(new.select(F.col("key").alias("new_key")), "new_key", "left_semi").select("old_key", "new_key")
+
+
+def unread(stored: DataFrame, new: DataFrame, links: DataFrame) -> DataFrame:
+    """Stored rows that no link leads away from and whose key no row read now has."""
+    return stored.select(*COLUMNS).join(links.select(F.col("old_key").alias("key")), "key", "left_anti").join(new.select("key"), "key", "left_anti")

@@ -21,6 +21,11 @@ def local_table(spark: SparkSession, rows: Sequence[tuple], schema: str) -> Data
     return spark.createDataFrame(pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, arrow.types, strict=True)], schema=arrow), schema=fields)
 
 
+def estimated_bytes(df: DataFrame) -> int:
+    """The optimiser's own estimate; of unknown sizes a very large one.  Runs no job."""
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+
+
 def is_small(df: DataFrame, limit: int = BROADCAST_BYTES) -> bool:
     """Whether the optimiser's own estimate is within the limit; unknown sizes are large.  Runs no job."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) <= limit
+    return estimated_bytes(df) <= limit

@@ -4,8 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Whether a query's shuffle files go when it ends; otherwise they stay until the driver collects its garbage.
+FREED = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -53,3 +59,25 @@ def read(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """A folder's Parquet files; a folder that isn't there yet is an empty table.  Partition columns are told by the schema."""
     files, place = _place(spark, path)
     return spark.read.schema(schema).parquet(path) if files.exists(place) else spark.createDataFrame([], schema)
+
+
+@contextmanager
+def shuffles_freed(spark: SparkSession) -> Iterator[None]:
+    before = spark.conf.get(FREED, None)
+    spark.conf.set(FREED, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(FREED) if before is None else spark.conf.set(FREED, before)
+
+
+def kept(df: DataFrame, key: str, shares: int, path: str) -> DataFrame:
+    """The whole table written to a folder, one share of its keys after another, and read from there: of shuffle files only a share's are on disk at a time.
+
+    The filter of a share reaches the scans where rows are grouped and joined by the key.
+    """
+    with shuffles_freed(df.sparkSession):
+        for i in range(shares):
+            share = df if shares == 1 else df.where(F.pmod(F.xxhash64(key), F.lit(shares)) == i)
+            share.write.mode("append").option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
